@@ -5,17 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstone.llm import minhash
+from wardstone.llm import decontaminate, linededup, minhash, quality
 from wardstone.tables import read_table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+       FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(13, len(w)) AS n FROM b WHERE len(w) > 0))),
+p AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+h AS (SELECT DISTINCT doc_id, i, n, item_id FROM p JOIN bw USING (n, win)),
+c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_boilerplate(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("text_md5"))
+
+
+OP4_SQL = r"""
+WITH l AS (SELECT doc_id, coalesce(source, '') AS host, i, line, nullif(trim(line, ' ' || chr(9) || chr(13)), '') AS bare
+           FROM (SELECT doc_id, source, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line
+                 FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+n AS (SELECT coalesce(source, '') AS host, count(*) AS pages FROM documents GROUP BY 1),
+bad AS (SELECT host, bare FROM (SELECT DISTINCT host, doc_id, bare FROM l WHERE bare IS NOT NULL) JOIN n USING (host) GROUP BY host, bare, pages HAVING count(*) >= 10 AND count(*) > 0.1 * pages),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(bad.bare) AS n_dropped, string_agg(CASE WHEN bad.bare IS NULL THEN line END, chr(10) ORDER BY i) AS text
+      FROM l LEFT JOIN bad ON l.host = bad.host AND l.bare = bad.bare GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines, CASE WHEN d.text IS NULL THEN 0 ELSE n_dropped END AS n_dropped,
+       CASE WHEN d.text IS NOT NULL THEN length(coalesce(k.text, '')) END AS n_chars_kept, CASE WHEN d.text IS NOT NULL THEN md5(coalesce(k.text, '')) END AS text_md5
+FROM documents d JOIN k USING (doc_id)
+"""
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def queries() -> dict:
-    return {"op7_minhash_near_dedup": op7_minhash_near_dedup}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op4_line_dedup, op7_minhash_near_dedup, op8_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op4_line_dedup": OP4_SQL}
