@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstone.llm import decontaminate, linededup, minhash, quality
+from wardstone.llm import decontaminate, license, linededup, minhash, quality, secrets, tokenfiles, wfst
+from wardstone.llm.common import shared_path
 from wardstone.tables import read_table
 
 
@@ -49,6 +50,30 @@ FROM documents d JOIN k USING (doc_id)
 """
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file, the same on the driver and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.encode(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    path, folder = tokenizer_path("word_bpe_49k.json"), shared_path(spark, "tokens")
+    shards, buckets = tokenfiles.write_tokens(docs, folder, path, end_id=1)
+    width = tokenfiles.Encoder(path, 1).width
+    return tokenfiles.read_tokens(tokenfiles.document_keys(docs), folder, shards, buckets, width).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
@@ -59,8 +84,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op4_line_dedup, op7_minhash_near_dedup, op8_quality_classifier)}
+    found = (op1_benchmark_decontamination, op3_secret_scan, op4_line_dedup, op5_sentencepiece, op6_token_files, op7_minhash_near_dedup, op8_quality_classifier, op9_license_scan)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
