@@ -1,3 +1,55 @@
-STAGES = []
+"""From raw documents to token ids: quality, lines, near-duplicates, benchmark contamination, encoding."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardstone.llm import catalog, decontaminate, linededup, minhash, quality, wfst
+from wardstone.llm.common import shared_table
+from wardstone.tables import read_table
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of a source go; every document stays."""
+    kept = linededup.drop_boilerplate(docs).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return minhash.drop_near_duplicates(docs, percent=85)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document's text."""
+    return wfst.encode(docs, catalog.tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality", good_documents),
+    ("line dedup", without_boilerplate),
+    ("near-dedup", one_of_each),
+    ("decontamination", uncontaminated),
+    ("encoding", encoded),
+]
+
+#: The classifier's and the encoder's rows can't be expressed in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = shared_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstone.llm import decontaminate, license, linededup, minhash, quality, secrets, tokenfiles, wfst
+from wardstone.llm import covertree, decontaminate, language, license, linededup, minhash, quality, secrets, tokenfiles, wfst
 from wardstone.llm.common import shared_path
 from wardstone.tables import read_table
 
@@ -50,6 +50,10 @@ FROM documents d JOIN k USING (doc_id)
 """
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -88,8 +92,13 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def queries() -> dict:
-    found = (op1_benchmark_decontamination, op3_secret_scan, op4_line_dedup, op5_sentencepiece, op6_token_files, op7_minhash_near_dedup, op8_quality_classifier, op9_license_scan)
+    found = (op1_benchmark_decontamination, op2_embedding_near_dedup, op3_secret_scan, op4_line_dedup, op5_sentencepiece, op6_token_files, op7_minhash_near_dedup, op8_quality_classifier, op9_license_scan, op10_language_id)
     return {f.__name__: f for f in found}
 
 

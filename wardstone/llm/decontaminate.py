@@ -42,7 +42,7 @@ def shingle_places(docs: DataFrame, wanted: DataFrame, k: int, window: int) -> D
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, per_hit: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, item_ids, contaminated) of every row of docs.
+    """(doc_id, text_hash, n_words, n_hit, n_items, item_ids, contaminated) of every row of docs.
 
     n_hit counts the words inside any occurrence of a window; n_items the items with occurring windows;
     contaminated means n_hit > 0 and per_hit * n_hit >= n_words. Null or wordless texts have no words and are
@@ -66,7 +66,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             places = found if places is None else places.unionByName(found)
     texts = docs.select("doc_id", "text_hash", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     if places is None:
-        return texts.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"), F.lit(False).alias("contaminated"))
+        return texts.select("doc_id", "text_hash", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"), F.lit(False).alias("contaminated"))
 
     places = shared_table(places, "places")
     rarity = places.groupBy("k", "hash").agg(F.count("*").alias("df"))
@@ -94,4 +94,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         joined = joined.join(side, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left").drop("hit_id", "hit_hash")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), ((n_hit > 0) & (per_hit * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return joined.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), ((n_hit > 0) & (per_hit * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, in all columns, that are not contaminated; repeated rows go or stay each by its own text."""
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    bad = shared_table(bad, "contaminated")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")

@@ -189,3 +189,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = shared_table(classed, "classed")
     named = digest.join(classed, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One row of each component of docs, in all columns: the one with the smallest id; rows with a null id stay.
+
+    Of rows that repeat an id and a text one stays.
+    """
+    found = near_duplicates(docs, percent=percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    found = shared_table(found, "kept")
+    rows = docs.where("doc_id is not null").join(found, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    if not repeated.isEmpty():
+        repeated = shared_table(repeated, "repeated")
+        same = F.col("doc_id") == F.col("__id")
+        rows = rows.join(repeated, same, "left_anti").unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return rows.unionByName(docs.where("doc_id is null"))

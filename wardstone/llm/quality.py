@@ -122,26 +122,30 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 11, epochs: int
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[list, list]:
-    """A bounded sample of labelled texts outside the held-out fold, the same for the same ids: lowest id hashes first."""
-    marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out(F.col("doc_id")))
+def labelled_sample(docs: DataFrame, marks: DataFrame, rows: int, chars: int) -> tuple[list, list]:
+    """Texts and labels of a bounded sample outside the held-out fold, the same for the same ids: lowest id hashes first.
+
+    marks holds (doc_id, label) once per id. Of rows that repeat an id one is taken.
+    """
+    marks = marks.where(~held_out(F.col("doc_id")))
     picked = docs.select("doc_id", F.length("text").alias("size")).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    ids, total = [], 0
+    label, total = {}, 0
     for r in picked:
         total += r["size"] or 0
         if total > chars:
             break
-        ids.append(r["doc_id"])
-    if not ids:
+        label[r["doc_id"]] = r["label"]
+    if not label:
         return [], []
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id long")
-    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).join(marks, "doc_id").collect()
-    found.sort(key=lambda r: r["doc_id"])
-    return [r["text"] for r in found], [r["quality"] for r in found]
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted(label)], "doc_id long")
+    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").collect()
+    text = {r["doc_id"]: r["text"] for r in sorted(found, key=lambda r: (r["doc_id"], r["text"] or ""))}
+    return [text[i] for i in sorted(text)], [label[i] for i in sorted(text)]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
-    return fit(*training_sample(docs, labels))
+    marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    return fit(*labelled_sample(docs, marks, TRAIN_ROWS, TRAIN_CHARS))
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -156,3 +160,17 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score")
+
+
+def keep_good(docs: DataFrame, model: Classifier, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, whole and in all columns, whose text scores at least threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.logits(), float(model.bias[1] - model.bias[0])))
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield part.filter(pa.array(score_texts(part.column(text).to_pylist(), *shared.value) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
