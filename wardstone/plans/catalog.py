@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from wardstone.plans import detection, evaluation, learning
+
 
 def queries() -> dict:
-    return {}
+    return detection.queries() | evaluation.queries() | learning.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return detection.oracle_sql() | evaluation.oracle_sql() | learning.oracle_sql()
