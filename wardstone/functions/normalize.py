@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wardstone.functions.registry import STAGES
 
@@ -144,24 +145,29 @@ BUILDERS = {"nfkc": nfkc, "zero_width": zero_width, "confusables": confusables,
 GROWING, AGAIN = ("decode", "reassemble"), ("nfkc", "zero_width", "confusables", "casefold")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_exact(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
-def _casefold_exact(s: pd.Series) -> pd.Series:
-    return s.map(str.casefold, na_action="ignore")
+def _with_last_exact(df: DataFrame, on: list[str]) -> DataFrame:
+    """df with norm: casefold of __grown, and the character stages again where the text grew, in exact Unicode."""
+    table = str.maketrans(LOOKALIKES, LOOKALIKES_LATIN)
+    steps = {
+        "nfkc": lambda t: unicodedata.normalize("NFKC", t), "zero_width": lambda t: t.translate(dict.fromkeys(map(ord, ZERO_WIDTH))),
+        "confusables": lambda t: t.translate(table), "casefold": str.casefold,
+    }
 
+    def one(text: str | None, grew: bool) -> str | None:
+        for name in ["casefold"] * ("casefold" in on) + [n for n in AGAIN if n in on and grew]:
+            text = None if text is None else steps[name](text)
+        return text
 
-@F.pandas_udf("string")
-def _nfkc_where(s: pd.Series, wanted: pd.Series) -> pd.Series:
-    return pd.Series([unicodedata.normalize("NFKC", t) if w and t is not None else t for t, w in zip(s, wanted, strict=True)])
+    def last(batches):
+        for pdf in batches:
+            yield pdf.assign(norm=[one(t, g) for t, g in zip(pdf["__grown"], pdf["__grew"], strict=True)])
 
-
-@F.pandas_udf("string")
-def _casefold_where(s: pd.Series, wanted: pd.Series) -> pd.Series:
-    return pd.Series([t.casefold() if w and t is not None else t for t, w in zip(s, wanted, strict=True)])
+    return df.mapInPandas(last, StructType([*df.schema.fields, StructField("norm", StringType())]))
 
 
 def with_normalized(df: DataFrame, text: str = "text", disabled: Iterable[str] = (), exact: bool = False) -> DataFrame:
@@ -171,28 +177,23 @@ def with_normalized(df: DataFrame, text: str = "text", disabled: Iterable[str] =
     """
     disabled = frozenset(disabled)
     on = [s.name for s in STAGES if s.name not in disabled]
-    build = BUILDERS | ({"nfkc": _nfkc_exact, "casefold": _casefold_exact} if exact else {})
     cur = F.col(text)
     for name in [n for n in on if n in ("nfkc", "zero_width", "confusables", "whitespace")]:
-        cur = build[name](cur)
+        cur = _nfkc_exact(cur) if exact and name == "nfkc" else BUILDERS[name](cur)
     df = df.withColumn("__base", cur)
     grown = F.col("__base")
     for name in [n for n in on if n in GROWING]:
-        grown = build[name](grown)
+        grown = BUILDERS[name](grown)
     df = df.withColumn("__grown", grown).withColumn("__grew", F.coalesce(F.col("__grown") != F.col("__base"), F.lit(False)))
-    df = df.withColumn("norm", build["casefold"](F.col("__grown")) if "casefold" in on else F.col("__grown"))
     again = [n for n in AGAIN if n in on]
     if exact:
-        for name in again:
-            if name in ("nfkc", "casefold"):
-                df = df.withColumn("norm", (_nfkc_where if name == "nfkc" else _casefold_where)("norm", "__grew"))
-            else:
-                df = df.withColumn("norm", F.when(F.col("__grew"), BUILDERS[name](F.col("norm"))).otherwise(F.col("norm")))
+        df = _with_last_exact(df, on)
     else:
-        twice = F.col("norm")
+        once = casefold(F.col("__grown")) if "casefold" in on else F.col("__grown")
+        twice = F.col("__once")
         for name in again:
             twice = BUILDERS[name](twice)
-        df = df.withColumn("norm", F.when(F.col("__grew"), twice).otherwise(F.col("norm")))
+        df = df.withColumn("__once", once).withColumn("norm", F.when(F.col("__grew"), twice).otherwise(F.col("__once"))).drop("__once")
     plain = casefold(whitespace(F.col(text)))
     return (
         df.withColumn("applied", F.concat(F.array(*map(F.lit, on)), F.when(F.col("__grew"), F.array(*[F.lit(f"{n}:2") for n in again])).otherwise(F.array().cast("array<string>"))))
