@@ -33,6 +33,7 @@ FUNCTION_WORDS = (
 BUDGET, MIN_BASE64, MIN_PRINTABLE, MIN_WORDS, MIN_GAIN = 64 * 1024, 24, 0.9, 4, 0.15
 BASE64_RUN = r"[A-Za-z0-9+/]{24,}={0,2}"
 HEX_RUN = r"(?:\b[0-9a-fA-F]{2}\b[ \t]*){8,}"
+HEX_RUN_POSSESSIVE = HEX_RUN + "+"  # the same runs, matched without recursion however long they are
 ASSIGNMENT = r"""(?m)^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(['"])(.*?)\2\s*$"""
 
 
@@ -104,7 +105,7 @@ def decode_base64(c: Column, budget: Column | None = None) -> Column:
 def decode_hex(c: Column, budget: Column | None = None) -> Column:
     """Readable UTF-8 texts of a text's runs of two-digit hex tokens, in order."""
     budget = F.lit(BUDGET) if budget is None else budget
-    runs = F.transform(F.regexp_extract_all(c, F.lit(HEX_RUN), F.lit(0)), lambda x: F.regexp_replace(x, r"[ \t]", ""))
+    runs = F.transform(F.regexp_extract_all(c, F.lit(HEX_RUN_POSSESSIVE), F.lit(0)), lambda x: F.regexp_replace(x, r"[ \t]", ""))
     fit = F.filter(runs, lambda x: (F.length(x) % 2 == 0) & (F.length(x) / 2 <= budget))
     return F.filter(F.transform(fit, lambda x: _utf8(F.unhex(x))), _readable)
 

@@ -73,7 +73,7 @@ def script_mixing_signal(original: Column) -> Column:
 
 
 def encoded_blob_signal(original: Column) -> Column:
-    runs = F.regexp_extract_all(original, F.lit(f"{N.BASE64_RUN}|{N.HEX_RUN}"), F.lit(0))
+    runs = F.regexp_extract_all(original, F.lit(f"{N.BASE64_RUN}|{N.HEX_RUN_POSSESSIVE}"), F.lit(0))
     return _share(F.aggregate(runs, F.lit(0), lambda a, x: a + F.length(x)), F.length(original), 3)
 
 
