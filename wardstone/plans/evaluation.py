@@ -13,7 +13,11 @@ from wardstone.operators import metrics as M
 from wardstone.operators import samples as P
 from wardstone.tables import read_table
 
-SCORE, ATTACK = "(doc_id * 7919 % 1000) / 1000.0D", F.col("toxic") == 1
+SCORE = "(doc_id * 7919 % 1000) / 1000.0D"
+
+
+def _attack():
+    return F.col("toxic") == 1
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,64 +36,64 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def wilson_by_group(spark, sf_dir):
-    return _rounded(M.rate_by_group(scored(spark, sf_dir), "family", ATTACK))
+    return _rounded(M.rate_by_group(scored(spark, sf_dir), "family", _attack()))
 
 
 def bypass_by_group(spark, sf_dir):
-    return _rounded(M.rate_by_group(scored(spark, sf_dir).where(ATTACK), "family", F.col("score") < 0.5))
+    return _rounded(M.rate_by_group(scored(spark, sf_dir).where(_attack()), "family", F.col("score") < 0.5))
 
 
 def flag_rate_by_group(spark, sf_dir):
-    return _rounded(M.rate_by_group(scored(spark, sf_dir).where(~ATTACK), "lang", F.col("score") >= 0.5))
+    return _rounded(M.rate_by_group(scored(spark, sf_dir).where(~_attack()), "lang", F.col("score") >= 0.5))
 
 
 def confusion_at_threshold(spark, sf_dir):
-    return _rounded(M.rates(scored(spark, sf_dir).groupBy("lang").agg(*M.confusion(ATTACK, F.col("score"), 0.5))))
+    return _rounded(M.rates(scored(spark, sf_dir).groupBy("lang").agg(*M.confusion(_attack(), F.col("score"), 0.5))))
 
 
 def roc_auc(spark, sf_dir):
-    return _rounded(M.roc_auc(scored(spark, sf_dir), ATTACK, "score", ("lang",)))
+    return _rounded(M.roc_auc(scored(spark, sf_dir), _attack(), "score", ("lang",)))
 
 
 def roc_auc_overall(spark, sf_dir):
-    return _rounded(M.roc_auc(scored(spark, sf_dir), ATTACK, "score"))
+    return _rounded(M.roc_auc(scored(spark, sf_dir), _attack(), "score"))
 
 
 def calibrate_threshold(spark, sf_dir):
-    return M.threshold_at_fpr(scored(spark, sf_dir).where(~ATTACK), "score", 0.01, ("lang",))
+    return M.threshold_at_fpr(scored(spark, sf_dir).where(~_attack()), "score", 0.01, ("lang",))
 
 
 def benign_halves(spark, sf_dir):
-    rows = M.with_position(scored(spark, sf_dir).where(~ATTACK), "doc_id")
+    rows = M.with_position(scored(spark, sf_dir).where(~_attack()), "doc_id")
     return rows.groupBy((F.col("position") % 2).alias("half")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.round(F.avg("score"), 9).alias("mean_score"))
 
 
 def control_stride(spark, sf_dir):
-    rows = M.with_position(scored(spark, sf_dir).where(ATTACK), "doc_id")
+    rows = M.with_position(scored(spark, sf_dir).where(_attack()), "doc_id")
     return rows.where("position % 12 = 0").select("doc_id", "family", "position")
 
 
 def fold_scores(spark, sf_dir):
     """Every language as a held-out fold: calibrate on the even half of its benign rows, measure on the odd half and its attacks."""
     rows = scored(spark, sf_dir)
-    benign = M.with_position(rows.where(~ATTACK), "doc_id", ("lang",))
+    benign = M.with_position(rows.where(~_attack()), "doc_id", ("lang",))
     limit = M.threshold_at_fpr(benign.where("position % 2 = 0"), "score", 0.05, ("lang",))
-    measured = benign.where("position % 2 = 1").select("lang", "toxic", "score").unionByName(rows.where(ATTACK).select("lang", "toxic", "score"))
+    measured = benign.where("position % 2 = 1").select("lang", "toxic", "score").unionByName(rows.where(_attack()).select("lang", "toxic", "score"))
     flagged = F.coalesce(F.col("score") > F.col("boundary"), F.lit(True))
-    out = measured.join(F.broadcast(limit), "lang").groupBy("lang").agg(F.count_if(ATTACK & ~flagged).alias("missed"), F.count_if(ATTACK).alias("attacks"), F.count_if(~ATTACK & flagged).alias("false_positives"), F.count_if(~ATTACK).alias("benign"))
+    out = measured.join(F.broadcast(limit), "lang").groupBy("lang").agg(F.count_if(_attack() & ~flagged).alias("missed"), F.count_if(_attack()).alias("attacks"), F.count_if(~_attack() & flagged).alias("false_positives"), F.count_if(~_attack()).alias("benign"))
     return _rounded(out.withColumn("i", M.wilson(F.col("missed"), F.col("attacks"))).select("lang", "missed", "attacks", "false_positives", "benign", "i.point", "i.low", "i.high"))
 
 
 def pooled_bypass(spark, sf_dir):
     """Pooled bypass over families, and the worst of them (the first of equals)."""
-    by = scored(spark, sf_dir).where(ATTACK).groupBy("family").agg(F.count_if(F.col("score") < 0.5).alias("fn"), F.count("*").alias("n"))
+    by = scored(spark, sf_dir).where(_attack()).groupBy("family").agg(F.count_if(F.col("score") < 0.5).alias("fn"), F.count("*").alias("n"))
     pooled = by.agg(F.sum("fn").alias("fn"), F.sum("n").alias("n"), F.min(F.struct((-F.col("fn") / F.col("n")).alias("bypass"), "family")).alias("worst"))
     return _rounded(pooled.withColumn("i", M.wilson(F.col("fn"), F.col("n"))).select("fn", "n", "i.point", "i.low", "i.high", F.col("worst.family").alias("worst"), (-F.col("worst.bypass")).alias("worst_bypass")))
 
 
 def baseline_gate(spark, sf_dir):
     rows = scored(spark, sf_dir)
-    per = lambda df: M.rates(df.groupBy("family").agg(*M.confusion(ATTACK, F.col("score"), 0.5))).select("family", "bypass", (F.col("false_positive_rate") / 20).alias("false_positive_rate"))
+    per = lambda df: M.rates(df.groupBy("family").agg(*M.confusion(_attack(), F.col("score"), 0.5))).select("family", "bypass", (F.col("false_positive_rate") / 20).alias("false_positive_rate"))
     return _rounded(M.gate(per(rows.where("family <> 'src5'")), per(rows.where("family <> 'src3' and doc_id % 2 = 0"))))
 
 
