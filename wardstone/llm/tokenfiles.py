@@ -10,14 +10,17 @@ temporary name and moved into place, so a task that runs twice leaves one whole
 from __future__ import annotations
 
 import math
+import re
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from wardstone.llm.common import shared_table
 
 KEYS_PER_BUCKET = 50_000
-WORDS_KEPT = 150_000  # encoded words a worker remembers
+WORDS_KEPT = 500_000  # encoded words a worker remembers, from task to task
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("length", "<u4")])
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,12 +69,42 @@ def id_width(vocabulary: int) -> str:
 
 class Encoder:
     """Whole texts to packed ids. The tokenizer drops white space before anything else spans it, so words
-    between blanks encode alone; each distinct word is encoded by the library once while it is remembered."""
+    between blanks encode alone; the library encodes each distinct word once while it is remembered.
+
+    Words of plain Latin characters go to the library's merge model run by run, which skips its bookkeeping of
+    offsets: for them lower case, normal form and splitting are the same character by character.
+    """
+
+    PLAIN = re.compile(r"(?!.*<\|)[\x21-\x26\x28-\x7e\u00a1-\u012f\u0131-\u024f]+")
+    RUNS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str, end_id: int):
-        self.tok, self.known = tokenizer(path), {}
+        self.tok, self.known, self.runs = tokenizer(path), {}, {}
+        self.model = self.tok.model
         self.width = id_width(max(self.tok.get_vocab_size(), end_id + 1))
         self.end = np.array([end_id], self.width).tobytes()
+        self.code = "H" if self.width == "<u2" else "I"
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = iter(range(256, 512))
+        self.letters = {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}  # bytes as the model writes them
+
+    def _run(self, run: str) -> bytes:
+        found = self.runs.get(run)
+        if found is None:
+            if len(self.runs) > WORDS_KEPT // 2:
+                self.runs.clear()
+            found = self.runs[run] = array(self.code, [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return found
+
+    def _learn(self, words: set[str]) -> None:
+        others = []
+        for w in words:
+            if self.PLAIN.fullmatch(w):
+                self.known[w] = b"".join(map(self._run, self.RUNS.findall(w.lower())))
+            else:
+                others.append(w)
+        for w, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.known[w] = array(self.code, e.ids).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -83,17 +116,20 @@ class Encoder:
                 if len(self.known) + len(new) > WORDS_KEPT:
                     self.known.clear()
                     new = set(part)
-                new = list(new)
-                for word, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.known[word] = np.array(e.ids, self.width).tobytes()
+                self._learn(new)
             out.append(b"".join(map(self.known.__getitem__, part)))
         out.append(self.end)
         return b"".join(out)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int) -> Encoder:
+    return Encoder(path, end_id)
+
+
 def _write_shards(folder: str, path: str, end_id: int):
     def run(batches):
-        encode, shard = Encoder(path, end_id), TaskContext.get().partitionId()
+        encode, shard = encoder(path, end_id), TaskContext.get().partitionId()
         step, rows = np.dtype(encode.width).itemsize, []
 
         def payload():
