@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardstone.functions import features as X
+from wardstone.functions import normalize as N
+from wardstone.functions.registry import FAMILIES, disabled_for
 from wardstone.functions.scoring import sigmoid
 from wardstone.operators import metrics as M
+from wardstone.operators import training as T
 
 
 class Refusal(ValueError):
@@ -25,22 +31,24 @@ def check_converged(folds: DataFrame) -> None:
         raise Refusal(f"training did not converge for {', '.join(sorted(bad))}")
 
 
-def fold_scores(rows: DataFrame, folds: DataFrame) -> DataFrame:
+def fold_scores(rows: DataFrame, folds: DataFrame, families: Iterable[str] = FAMILIES) -> DataFrame:
     """(fold, ordinal, attack, score): benign rows under every fold's model, attacks under the model that held their family out."""
-    from wardstone.functions.registry import FAMILIES
-
-    each = rows.select("*", F.explode(F.when(F.col("attack") == 1, F.array("family")).otherwise(F.array(*map(F.lit, FAMILIES)))).alias("fold"))
+    each = rows.select("*", F.explode(F.when(F.col("attack") == 1, F.array("family")).otherwise(F.array(*map(F.lit, families)))).alias("fold"))
     known = F.broadcast(folds.select("fold", "bias", "weights"))  # a row per fold: of fixed size
     linear = F.aggregate(F.zip_with("buckets", "values", lambda b, v: F.get("weights", b) * v), F.lit(0.0), lambda a, x: a + x)
     return each.join(known, "fold").select("fold", "ordinal", "attack", sigmoid(linear + F.col("bias")).alias("score"))
 
 
-def held_out_results(rows: DataFrame, folds: DataFrame, budget: float) -> DataFrame:
+def held_out_results(rows: DataFrame, folds: DataFrame, budget: float, families: Iterable[str] = FAMILIES) -> DataFrame:
     """Per fold: bypass with its interval, realised false positives, boundary and AUC.
 
     Even positions of the fold's benign rows set the boundary, odd ones and the attacks measure it.
     """
-    scores = fold_scores(rows, folds)
+    return measured_results(fold_scores(rows, folds, families), budget)
+
+
+def measured_results(scores: DataFrame, budget: float) -> DataFrame:
+    """held_out_results of scored rows (fold, ordinal, attack, score)."""
     benign = M.with_position(scores.where("attack = 0"), "ordinal", ("fold",))
     limit = M.threshold_at_fpr(benign.where("position % 2 = 0"), "score", budget, ("fold",)).select("fold", "boundary")
     measured = benign.where("position % 2 = 1").select("fold", "attack", "score").unionByName(scores.where("attack = 1").select("fold", "attack", "score"))
@@ -49,3 +57,45 @@ def held_out_results(rows: DataFrame, folds: DataFrame, budget: float) -> DataFr
     out = measured.join(F.broadcast(limit), "fold").groupBy("fold", "boundary").agg(F.count_if(attack & ~flagged).alias("missed"), F.count_if(attack).alias("attacks"), F.count_if(~attack & flagged).alias("false_positives"), F.count_if(~attack).alias("benign"))
     out = out.join(M.roc_auc(measured, attack, "score", ("fold",)), "fold").withColumn("i", M.wilson(F.col("missed"), F.col("attacks")))
     return out.select("fold", "missed", "attacks", F.col("i.point").alias("bypass"), F.col("i.low").alias("low"), F.col("i.high").alias("high"), "false_positives", "benign", "boundary", "auc")
+
+
+def feature_rows(samples: DataFrame, disabled: Iterable[str] = ()) -> DataFrame:
+    """(ordinal, attack, family, buckets, values) of samples (ordinal, text, label, family) normalised without some stages."""
+    norm = N.with_normalized(samples, disabled=disabled, exact=True)
+    rows = norm.select("ordinal", (F.col("label") == "attack").cast("int").alias("attack"), "family", X.exact_features(X.tokens(F.col("norm"))).alias("f"))
+    return rows.select("ordinal", "attack", "family", "f.buckets", "f.values")
+
+
+def evaluate(training: DataFrame, evaluation: DataFrame, budget: float = 0.01, families: Iterable[str] = FAMILIES, drop_shared: bool = False, steps: int = T.STEPS) -> DataFrame:
+    """held_out_results of every family, plus the control fold 'none' that holds nothing out.
+
+    A fold's normalisation leaves out the stages its family motivated; folds that leave out the same stages share
+    their features. The control measures every n-th attack, n being the number of families. Refused: texts on
+    both sides (unless drop_shared), families without samples, training that does not converge.
+    """
+    families = list(families)
+    if drop_shared:
+        evaluation = evaluation.join(training.select("text").distinct(), "text", "left_anti")
+    else:
+        check_disjoint(evaluation, training)
+    for side, name in ((training, "training"), (evaluation, "evaluation")):
+        there = {r.family for r in side.where("label = 'attack'").select("family").distinct().collect()}
+        if set(families) - there:
+            raise Refusal(f"no {name} samples of {', '.join(sorted(set(families) - there))}")
+    sets: dict[frozenset, list[str]] = {}
+    for family in families:
+        sets.setdefault(disabled_for("stage", family), []).append(family)
+    scores = None
+    for disabled, held in sorted(sets.items(), key=lambda x: sorted(x[0])):
+        own = [*held, "none"] if not disabled else held
+        rows = feature_rows(training, disabled).select("*", F.explode(F.array(*map(F.lit, own))).alias("fold")).where("family <> fold")
+        fitted = T.fit_folds(rows.repartition("fold"), X.BUCKETS, steps)
+        fitted = training.sparkSession.createDataFrame(fitted.collect(), fitted.schema)  # a model per fold
+        check_converged(fitted)
+        measured = feature_rows(evaluation, disabled)
+        found = fold_scores(measured.where((F.col("attack") == 0) | F.col("family").isin(held)), fitted, own)
+        if "none" in own:
+            every = M.with_position(measured.where("attack = 1"), "ordinal").where(F.col("position") % len(families) == 0)
+            found = found.unionByName(fold_scores(every.drop("position").withColumn("family", F.lit("none")), fitted, own))
+        scores = found if scores is None else scores.unionByName(found)
+    return measured_results(scores, budget)
