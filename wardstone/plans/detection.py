@@ -147,6 +147,35 @@ _SIGNAL_LAYER = "1 - " + " * ".join(f"(1 - CAST({s.weight} AS DOUBLE) * ({_SIGNA
 _DENSITY_WORDS = "regexp_extract_all(lower(text), '[A-Za-z'']+')"
 
 
+# the decoding stages, as list expressions over a text expression
+_REV = lambda t: f"array_to_string(list_reverse(regexp_extract_all({t}, '(?s).')), '')"
+_ROT = lambda t: f"translate({t}, '{N.ROT13_FROM}', '{N.ROT13_TO}')"
+_LETTERS = lambda t: f"regexp_extract_all(lower({t}), '[A-Za-z'']+')"
+_DENSITY = lambda t: f"(CASE WHEN len({_LETTERS(t)}) < 4 THEN 0.0::DOUBLE ELSE CAST(len(list_filter({_LETTERS(t)}, lambda w: list_contains([{', '.join(map(sql_text, N.FUNCTION_WORDS))}], w))) AS DOUBLE) / len({_LETTERS(t)}) END)"
+_READABLE = "y IS NOT NULL AND length(y) > 0 AND 1 - CAST(len(regexp_extract_all(replace(replace(replace(y, chr(10), ''), chr(9), ''), ' ', ''), '[\\p{Cc}\\p{Co}\\p{Z}]')) AS DOUBLE) / length(y) > 0.9 AND regexp_matches(y, '[A-Za-z'']')"
+_BASE64 = lambda t: f"list_filter(list_transform(list_filter(list_transform(regexp_extract_all({t}, {sql_text(N.BASE64_RUN)}), lambda x: left(x, length(x) - length(x) % 4)), lambda x: length(x) >= 24), lambda x: try(decode(from_base64(x)))), lambda y: {_READABLE})"
+_HEX = lambda t: f"list_filter(list_transform(regexp_extract_all({t}, {sql_text(N.HEX_RUN)}), lambda x: try(decode(unhex(regexp_replace(x, '[ \\t]', '', 'g'))))), lambda y: {_READABLE})"
+_SUBST = lambda t: f"list_filter([{_ROT(t)}, {_REV(t)}], lambda z: {_DENSITY('z')} >= {_DENSITY(t)} + 0.15)"
+_DISCOVER = lambda t: f"list_concat(list_concat({_BASE64(t)}, {_HEX(t)}), {_SUBST(t)})"
+
+
+def _values(t: str) -> str:
+    """Values of quoted assignments; without backreferences each quote has its own pattern, one per line."""
+    return f"list_filter(list_transform(string_split({t}, chr(10)), lambda l: coalesce(nullif(regexp_extract(l, '^\\s*[A-Za-z_][A-Za-z0-9_]*\\s*=\\s*''(.*?)''\\s*$', 1), ''), regexp_extract(l, '^\\s*[A-Za-z_][A-Za-z0-9_]*\\s*=\\s*\"(.*?)\"\\s*$', 1))), lambda v: trim(v) <> '')"
+
+
+#: c(doc_id, source, text, norm, grew): the whole normalisation
+_FULL = f"""WITH {MESSAGES_SQL}, s0 AS MATERIALIZED (SELECT doc_id, source, text, {_WS(_CONF(_ZW(_NFKC("text"))))} AS t FROM m),
+s1 AS MATERIALIZED (SELECT *, list_filter({_DISCOVER("t")}, lambda q: q <> t) AS one FROM s0),
+s2 AS MATERIALIZED (SELECT *, flatten(list_transform(one, lambda c: {_DISCOVER("c")})) AS more FROM s1),
+s3 AS MATERIALIZED (SELECT doc_id, source, text, t, CASE WHEN len(one) = 0 THEN t ELSE t || chr(10) || array_to_string(list_concat(one, list_filter(more, lambda q: q <> t AND NOT list_contains(one, q))), chr(10)) END AS g FROM s2),
+s4 AS MATERIALIZED (SELECT *, {_values("g")} AS vs FROM s3),
+s5 AS MATERIALIZED (SELECT doc_id, source, text, t, CASE WHEN len(vs) < 2 OR contains(g, array_to_string(vs, ' ')) THEN g ELSE g || chr(10) || array_to_string(vs, ' ') END AS g FROM s4),
+c AS MATERIALIZED (SELECT doc_id, source, text, g <> t AS grew, CASE WHEN g <> t THEN {_FOLD(_CONF(_ZW(_NFKC(_FOLD("g")))))} ELSE {_FOLD("g")} END AS norm FROM s5)"""
+_LAYERS = f"{_FULL}, l AS (SELECT doc_id, source, {_RULE_LAYER} AS r, {_SIGNAL_LAYER} AS s FROM c), d AS (SELECT *, 1 - (1 - 0.9::DOUBLE * r) * (1 - 0.65::DOUBLE * s) AS score FROM l)"
+_decided = lambda enforce: f"{_LAYERS} SELECT source, CASE {"WHEN score >= 0.9 THEN 'block' " * enforce}WHEN score >= 0.5 THEN 'flag' ELSE 'allow' END AS decision, count(*) AS n, round(avg(score), 6) AS mean_score FROM d GROUP BY ALL"
+
+
 def _stage_sql(out):
     return f"WITH {MESSAGES_SQL} SELECT doc_id, {out} AS out FROM m"
 
@@ -163,12 +192,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     off = [s for s in ("nfkc", "zero_width", "confusables", "decode", "reassemble")]
-    # values of quoted assignments: no backreferences here, so each quote has its own pattern, one per line
-    values = "list_filter(list_transform(string_split(text, chr(10)), lambda l: coalesce(nullif(regexp_extract(l, '^\\s*[A-Za-z_][A-Za-z0-9_]*\\s*=\\s*''(.*?)''\\s*$', 1), ''), regexp_extract(l, '^\\s*[A-Za-z_][A-Za-z0-9_]*\\s*=\\s*\"(.*?)\"\\s*$', 1))), lambda v: trim(v) <> '')"
     return {
         "norm_fullwidth": _stage_sql(_NFKC("text")), "norm_zero_width": _stage_sql(_ZW("text")), "norm_confusables": _stage_sql(_CONF("text")), "norm_whitespace": _stage_sql(_WS("text")), "norm_casefold": _stage_sql(_FOLD("text")), "norm_characters": _stage_sql(_CHAR),
         "decode_rot13_reverse": _stage_sql(f"translate(text, '{N.ROT13_FROM}', '{N.ROT13_TO}') || '|' || array_to_string(list_reverse(regexp_extract_all(text, '(?s).')), '')"),
-        "reassemble": f"WITH {MESSAGES_SQL}, v AS (SELECT doc_id, text, {values} AS vs FROM m) SELECT doc_id, CASE WHEN len(vs) < 2 OR contains(text, array_to_string(vs, ' ')) THEN text ELSE text || chr(10) || array_to_string(vs, ' ') END AS out FROM v",
+        "reassemble": f"WITH {MESSAGES_SQL}, v AS (SELECT doc_id, text, {_values('text')} AS vs FROM m) SELECT doc_id, CASE WHEN len(vs) < 2 OR contains(text, array_to_string(vs, ' ')) THEN text ELSE text || chr(10) || array_to_string(vs, ' ') END AS out FROM v",
         "stopword_density": f"WITH {MESSAGES_SQL} SELECT doc_id, round(CASE WHEN len({_DENSITY_WORDS}) < 4 THEN 0.0 ELSE CAST(len(list_filter({_DENSITY_WORDS}, lambda w: list_contains([{', '.join(map(sql_text, N.FUNCTION_WORDS))}], w))) AS DOUBLE) / len({_DENSITY_WORDS}) END, 9) AS density FROM m",
         "printable_ratio": f"WITH {MESSAGES_SQL} SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0.0 ELSE 1 - CAST(len(regexp_extract_all(replace(replace(replace(text, chr(10), ''), chr(9), ''), ' ', ''), '[\\p{{Cc}}\\p{{Co}}\\p{{Z}}]')) AS DOUBLE) / length(text) END, 9) AS ratio FROM m",
         "normalize_fold_disabled": f"WITH {MESSAGES_SQL} SELECT doc_id, {_FOLD(_WS('text'))} AS norm, 'whitespace,casefold' AS applied, '{','.join(off)}' AS skipped FROM m",
@@ -177,6 +204,11 @@ def oracle_sql() -> dict[str, str]:
         "signal_table": f"{_HEAD} SELECT doc_id, " + ", ".join(f"round({sql}, 9) AS {name.split('.')[1]}" for name, sql in _SIGNALS.items()) + " FROM c",
         "char_layer_scores": f"{_HEAD}, l AS (SELECT doc_id, {_RULE_LAYER} AS r, {_SIGNAL_LAYER} AS s FROM c) SELECT doc_id, round(r, 6) AS rules, round(s, 6) AS signals, round(1 - (1 - 0.9::DOUBLE * r) * (1 - 0.65::DOUBLE * s), 6) AS decision, round(1 - (1 - 0.9::DOUBLE * r) * (1 - 0.65::DOUBLE * s), 6) AS combined FROM l",
         "decision_by_rules": f"{_HEAD}, l AS (SELECT source, 0.9::DOUBLE * ({_RULE_LAYER}) AS score FROM c) SELECT source, CASE WHEN score >= 0.54 THEN 'block' WHEN score >= 0.4 THEN 'flag' ELSE 'allow' END AS decision, count(*) AS n FROM l GROUP BY ALL",
+        "decode_round": f"WITH {MESSAGES_SQL} SELECT doc_id, array_to_string({_BASE64('text')}, '|') AS base64, array_to_string({_HEX('text')}, '|') AS hex, len({_SUBST('text')}) AS n_substitutions FROM m",
+        "normalize_pipeline": f"{_FULL} SELECT doc_id, norm, 'nfkc,zero_width,confusables,whitespace,decode,reassemble,casefold' || CASE WHEN grew THEN ',nfkc:2,zero_width:2,confusables:2,casefold:2' ELSE '' END AS applied, length(norm) > length({_FOLD(_WS('text'))}) AS expanded FROM c",
+        "rule_counts": f"{_FULL}, {_RULE_TABLE}, h AS (SELECT unnest({_HITS}) AS pos FROM c) SELECT rule_id, count(*) AS n FROM h JOIN r USING (pos) GROUP BY rule_id",
+        "layer_scores": f"{_LAYERS} SELECT doc_id, round(r, 6) AS rules, round(s, 6) AS signals, round(score, 6) AS decision, round(score, 6) AS combined FROM d",
+        "decision_monitor": _decided(False), "decision_enforce": _decided(True),
         "fingerprint": f"WITH {MESSAGES_SQL} SELECT doc_id, 'sha256:' || left(sha256('pepper' || chr(0) || text), 32) AS fingerprint, length(text) AS length FROM m",
     }
 

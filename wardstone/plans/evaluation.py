@@ -200,6 +200,7 @@ def oracle_sql() -> dict[str, str]:
         "overlap_anti": "SELECT lang, count(*) AS n FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.text = d.text) GROUP BY lang",
         "corpus_counts": f"WITH {_SAMPLES} SELECT coalesce(nullif(family, ''), kind) AS name, count(*) AS n FROM p GROUP BY 1",
         "validate_samples": f"WITH {_SAMPLES} SELECT CASE WHEN coalesce(length(text), 0) < 1 THEN 'text_empty' WHEN length(text) > 20000 THEN 'text_long' WHEN NOT regexp_matches(text, '\\S') THEN 'text_blank' WHEN label = 'attack' AND family = '' THEN 'attack_without_family' WHEN label = 'attack' AND kind <> '' THEN 'attack_with_kind' WHEN label = 'benign' AND kind = '' THEN 'benign_without_kind' END AS error, count(*) AS n FROM p GROUP BY 1",
+        "sample_digests": f"WITH {_SAMPLES} SELECT ordinal, sha256(CAST(to_json({{'label': label, 'sample_id': sample_id, 'text': text}}) AS VARCHAR)) AS digest FROM p",
         "audit_summary": f"WITH {_AUDIT}, g AS (SELECT coalesce(event_type, 'all') AS event_type, count(*) AS total, count(*) FILTER (decision = 'allow') AS allowed, count(*) FILTER (decision = 'flag') AS flagged, count(*) FILTER (decision = 'block') AS blocked FROM a GROUP BY ROLLUP (event_type)) SELECT *, round(CASE WHEN total > 0 THEN CAST(total - allowed AS DOUBLE) / total ELSE 0.0 END, 9) AS flag_rate FROM g",
         "audit_quantiles": f"WITH {_AUDIT}, r AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM a WHERE decision = 'allow'), q(name, share) AS (VALUES ('p50', 0.5::DOUBLE), ('p90', 0.9), ('p99', 0.99), ('max', 1.0)) SELECT name, score AS value FROM q JOIN r ON i = least(n - 1, floor(share * (n - 1) + 0.5))",
         "audit_windows": f"WITH {_AUDIT} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS total, round(CAST(count(*) FILTER (decision <> 'allow') AS DOUBLE) / count(*), 9) AS flag_rate FROM a GROUP BY 1",
