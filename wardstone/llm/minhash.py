@@ -21,7 +21,7 @@ from wardstone.llm.common import connected_components, shared_table
 ROWS_PER_BAND, BANDS = 7, 36  # a pair at 0.85 shares no band with probability (1 - 0.85**7)**36 < 1e-6
 PERMUTATIONS = ROWS_PER_BAND * BANDS // 2  # each yields two signature values
 BLOCK_SHINGLES = 400_000  # shingles that one verifying task holds from each of its two blocks
-WORDS_KEPT = 300_000  # word hashes a worker remembers
+WORDS_KEPT = 150_000  # word hashes a worker remembers
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,9 +196,9 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Of rows that repeat an id and a text one stays.
     """
-    found = near_duplicates(docs, percent=percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    found = shared_table(found, "kept")
-    rows = docs.where("doc_id is not null").join(found, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+    found = near_duplicates(docs, percent=percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("kept"))
+    gone = shared_table(found.where("not kept").select("__id"), "gone")  # the smaller side: ids that go, not those that stay
+    rows = docs.where("doc_id is not null").join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
     if not repeated.isEmpty():
         repeated = shared_table(repeated, "repeated")
