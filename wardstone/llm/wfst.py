@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-CHUNKS_KEPT = 300_000  # chunk paths a worker remembers
+CHUNKS_KEPT = 150_000  # chunk paths a worker remembers
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 
 
@@ -106,7 +106,7 @@ class Transducer:
         key = left << 20 | right
         known = self.passes.get(key)
         if known is None:
-            if len(self.passes) > 2_000_000:
+            if len(self.passes) > 300_000:
                 self.passes.clear()
             known = self.passes[key] = self._accepts(left, right)
         return known
@@ -163,7 +163,7 @@ class Transducer:
 
     def _options(self, head: str) -> tuple[tuple[int, int | None], ...]:
         """Arcs for a text that goes on with up to four characters, longest first; arcs beyond these are named by length alone."""
-        if len(self.options) > 500_000:
+        if len(self.options) > 100_000:
             self.options.clear()
         more = [(n, None) for n in self.lengths.get(head, ())] if len(head) == 4 else []
         near = [(n, self.arcs[head[:n]]) for n in range(len(head), 0, -1) if head[:n] in self.arcs]
