@@ -84,6 +84,21 @@ def test_guard_records_without_texts_and_blocks_only_when_enforcing(spark, tmp_p
         A.Policy(enforce=True)
 
 
+#: MESSAGES[0] in mathematical bold, in circled letters and with ligatures: only exact NFKC folds them
+COMPATIBLE = [
+    "".join(chr(0x1D41A + ord(c) - 97) if c.islower() else c for c in MESSAGES[0].lower()),
+    "".join(chr(0x24D0 + ord(c) - 97) if c.islower() else c for c in MESSAGES[0].lower()),
+]
+
+
+def test_compatibility_letters_are_judged_like_plain_ones(spark):
+    texts = [MESSAGES[0], *COMPATIBLE, None]
+    rows = A.inspect(spark.createDataFrame([(2**60 + i if t else None, t) for i, t in enumerate(texts)], "line long, text string")).collect()
+    judged = {r.text: (r.line, r.norm, r.decision, r.layers.rules) for r in rows}
+    assert {judged[t][1:] for t in texts[:3]} == {judged[MESSAGES[0]][1:]} and judged[COMPATIBLE[0]][2] == "flag"
+    assert [judged[t][0] for t in texts] == [2**60, 2**60 + 1, 2**60 + 2, None]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from wardstone.streaming.monitor import flag_rates, write_rates
 

@@ -12,6 +12,7 @@ import unicodedata
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -147,12 +148,20 @@ GROWING, AGAIN = ("decode", "reassemble"), ("nfkc", "zero_width", "confusables",
 
 
 @F.pandas_udf(StringType())
-def _nfkc_exact(s: pd.Series) -> pd.Series:
+def nfkc_exact(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def casefold_exact(s: pd.Series) -> pd.Series:
+    return s.map(str.casefold, na_action="ignore")
+
+
 def _with_last_exact(df: DataFrame, on: list[str]) -> DataFrame:
-    """df with norm: casefold of __grown, and the character stages again where the text grew, in exact Unicode."""
+    """df with norm: casefold of __grown, and the character stages again where the text grew, in exact Unicode.
+
+    Arrow batches keep every other column as it is; pandas would turn whole numbers beside nulls into doubles.
+    """
     table = str.maketrans(LOOKALIKES, LOOKALIKES_LATIN)
     steps = {
         "nfkc": lambda t: unicodedata.normalize("NFKC", t), "zero_width": lambda t: t.translate(dict.fromkeys(map(ord, ZERO_WIDTH))),
@@ -165,10 +174,12 @@ def _with_last_exact(df: DataFrame, on: list[str]) -> DataFrame:
         return text
 
     def last(batches):
-        for pdf in batches:
-            yield pdf.assign(norm=[one(t, g) for t, g in zip(pdf["__grown"], pdf["__grew"], strict=True)])
+        for batch in batches:
+            norm = [one(t, g) for t, g in zip(batch["__grown"].to_pylist(), batch["__grew"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(norm, pa.string())], names=[*batch.schema.names, "norm"])
 
-    return df.mapInPandas(last, StructType([*df.schema.fields, StructField("norm", StringType())]))
+    df = df.drop("norm")
+    return df.mapInArrow(last, StructType([*df.schema.fields, StructField("norm", StringType())]))
 
 
 def with_normalized(df: DataFrame, text: str = "text", disabled: Iterable[str] = (), exact: bool = False) -> DataFrame:
@@ -180,7 +191,7 @@ def with_normalized(df: DataFrame, text: str = "text", disabled: Iterable[str] =
     on = [s.name for s in STAGES if s.name not in disabled]
     cur = F.col(text)
     for name in [n for n in on if n in ("nfkc", "zero_width", "confusables", "whitespace")]:
-        cur = _nfkc_exact(cur) if exact and name == "nfkc" else BUILDERS[name](cur)
+        cur = nfkc_exact(cur) if exact and name == "nfkc" else BUILDERS[name](cur)
     df = df.withColumn("__base", cur)
     grown = F.col("__base")
     for name in [n for n in on if n in GROWING]:
@@ -195,7 +206,7 @@ def with_normalized(df: DataFrame, text: str = "text", disabled: Iterable[str] =
         for name in again:
             twice = BUILDERS[name](twice)
         df = df.withColumn("__once", once).withColumn("norm", F.when(F.col("__grew"), twice).otherwise(F.col("__once"))).drop("__once")
-    plain = casefold(whitespace(F.col(text)))
+    plain = (casefold_exact if exact else casefold)(whitespace(F.col(text)))
     return (
         df.withColumn("applied", F.concat(F.array(*map(F.lit, on)), F.when(F.col("__grew"), F.array(*[F.lit(f"{n}:2") for n in again])).otherwise(F.array().cast("array<string>"))))
         .withColumn("skipped", F.array(*[F.lit(s.name) for s in STAGES if s.name in disabled]).cast("array<string>"))

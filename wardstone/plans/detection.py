@@ -25,8 +25,13 @@ def char_norm(c):
     return N.casefold(N.whitespace(N.confusables(N.zero_width(N.nfkc(c)))))
 
 
+def char_norm_exact(c):
+    """char_norm in exact Unicode: what every query that counts hits or decides reads."""
+    return N.casefold_exact(N.whitespace(N.confusables(N.zero_width(N.nfkc_exact(c)))))
+
+
 def _base(spark, sf_dir, disabled=()):
-    return N.with_normalized(messages(spark, sf_dir), disabled=disabled)
+    return N.with_normalized(messages(spark, sf_dir), disabled=disabled, exact=True)
 
 
 def _scored(spark, sf_dir):
@@ -45,7 +50,7 @@ def normalize_fold_disabled(spark, sf_dir):
 
 
 def nfkc_exact(spark, sf_dir):
-    return N.with_normalized(messages(spark, sf_dir), exact=True).select("doc_id", "norm")
+    return _base(spark, sf_dir).select("doc_id", "norm")
 
 
 def decode_round(spark, sf_dir):
@@ -62,7 +67,7 @@ def printable_ratio(spark, sf_dir):
 
 
 def rule_hits(spark, sf_dir):
-    df = messages(spark, sf_dir).select("doc_id", char_norm(F.col("text")).alias("norm"))
+    df = messages(spark, sf_dir).select("doc_id", char_norm_exact(F.col("text")).alias("norm"))
     return df.select("doc_id", F.explode(S.rule_hits(F.col("norm"), evidence=True)).alias("h")).select("doc_id", "h.rule_id", "h.weight", F.col("h.start").cast("long").alias("start"), F.col("h.end").cast("long").alias("end"), "h.matched")
 
 
@@ -73,13 +78,13 @@ def rule_counts(spark, sf_dir):
 
 def rules_for_fold(spark, sf_dir):
     """Rules left to each fold, and the hits each fold loses."""
-    hits = messages(spark, sf_dir).select("doc_id", char_norm(F.col("text")).alias("norm")).select("doc_id", F.explode(S.rule_hits(F.col("norm"))).alias("h")).groupBy(F.col("h.rule_id").alias("name")).agg(F.count("*").alias("hits"))
+    hits = messages(spark, sf_dir).select("doc_id", char_norm_exact(F.col("text")).alias("norm")).select("doc_id", F.explode(S.rule_hits(F.col("norm"))).alias("h")).groupBy(F.col("h.rule_id").alias("name")).agg(F.count("*").alias("hits"))
     known = countermeasures(spark).where("layer = 'rule'").select("name", F.explode("motivated_by").alias("family"))
     return known.join(F.broadcast(hits), "name", "left").groupBy("family").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("disabled"), F.sum(F.coalesce("hits", F.lit(0))).alias("hits_lost"))
 
 
 def signal_table(spark, sf_dir):
-    df = messages(spark, sf_dir).withColumn("norm", char_norm(F.col("text")))
+    df = messages(spark, sf_dir).withColumn("norm", char_norm_exact(F.col("text")))
     values = S.signal_values(F.col("text"), F.col("norm"))
     return df.select("doc_id", *[F.round(v.cast("double"), 9).alias(k.split(".")[1]) for k, v in values.items()])
 
@@ -89,7 +94,7 @@ def layer_scores(spark, sf_dir):
 
 
 def char_layer_scores(spark, sf_dir):
-    df = messages(spark, sf_dir).withColumn("norm", char_norm(F.col("text")))
+    df = messages(spark, sf_dir).withColumn("norm", char_norm_exact(F.col("text")))
     df = df.select("doc_id", S.rule_layer(S.rule_hits(F.col("norm"))).alias("r"), S.signal_layer(S.signal_hits(F.col("text"), F.col("norm"))).alias("s"))
     return df.select("doc_id", F.round("r", 6).alias("rules"), F.round("s", 6).alias("signals"), F.round(S.decision_score(F.col("r"), F.col("s")), 6).alias("decision"), F.round(S.combined_layer(F.col("r"), F.col("s"), F.lit(0.0)), 6).alias("combined"))
 
@@ -102,7 +107,7 @@ def _decisions(enforce):
 
 
 def decision_by_rules(spark, sf_dir):
-    df = messages(spark, sf_dir).withColumn("norm", char_norm(F.col("text")))
+    df = messages(spark, sf_dir).withColumn("norm", char_norm_exact(F.col("text")))
     score = S.decision_score(S.rule_layer(S.rule_hits(F.col("norm"))), F.lit(0.0))
     return df.select("source", S.decide(score, enforce=True, flag=0.4, block=0.54).alias("decision")).groupBy("source", "decision").agg(F.count("*").alias("n"))
 

@@ -38,10 +38,11 @@ class Policy:
 def inspect(messages: DataFrame, policy: Policy | None = None, text: str = "text", model_score: str | None = None) -> DataFrame:
     """messages with norm, score, decision, layers and reasons.
 
-    model_score names a column with the learned layer's probability; it alone decides where given.
+    model_score names a column with the learned layer's probability; it alone decides where given. Texts are
+    normalised in exact Unicode, as the learned layer's are.
     """
     policy = policy or Policy()
-    df = N.with_normalized(messages, text).withColumn("__r", S.rule_hits(F.col("norm"))).withColumn("__s", S.signal_hits(F.col(text), F.col("norm")))
+    df = N.with_normalized(messages, text, exact=True).withColumn("__r", S.rule_hits(F.col("norm"))).withColumn("__s", S.signal_hits(F.col(text), F.col("norm")))
     df = df.withColumn("__rl", S.rule_layer(F.col("__r"))).withColumn("__sl", S.signal_layer(F.col("__s")))
     model = F.col(model_score) if model_score else F.lit(0.0)
     df = df.withColumn("score", S.decision_score(F.col("__rl"), F.col("__sl"), model if model_score else None))
