@@ -4,6 +4,8 @@ from zlib import crc32
 import numpy as np
 
 from tests.llm.texts import ODD
+from pyspark.sql import functions as F
+
 from wardstone.llm import language, quality
 
 WORDS = {"en": "the of and to in that with from this have", "fr": "le la les des une dans pour que avec être", "de": "der die das und nicht über für ist ein auch"}
@@ -87,3 +89,11 @@ def test_weights_are_sparse_and_temperature_is_fitted():
     z, y = np.array([[2.0, 0.0]] * 50), np.array([0] * 40 + [1] * 10)
     t = language._temperature(z, y)
     assert abs(2 / t - np.log(4)) < 0.02
+
+
+def test_an_oversized_text_does_not_end_the_sample(spark):
+    ids = spark.range(40).where(~quality.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").collect()
+    first, *others = [r.id for r in ids]
+    docs = spark.createDataFrame([(first, "x" * 500)] + [(i, f"text {i}") for i in others], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in [first, *others]], "doc_id long, label int")
+    assert quality.labelled_sample(docs, marks, 100, 400) == ([f"text {i}" for i in sorted(others)], [i % 2 for i in sorted(others)])

@@ -125,16 +125,17 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 11, epochs: int
 def labelled_sample(docs: DataFrame, marks: DataFrame, rows: int, chars: int) -> tuple[list, list]:
     """Texts and labels of a bounded sample outside the held-out fold, the same for the same ids: lowest id hashes first.
 
+    A text that no longer fits into chars is left out; later ones that fit are taken.
     marks holds (doc_id, label) once per id. Of rows that repeat an id one is taken.
     """
     marks = marks.where(~held_out(F.col("doc_id")))
     picked = docs.select("doc_id", F.length("text").alias("size")).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
     label, total = {}, 0
     for r in picked:
-        total += r["size"] or 0
-        if total > chars:
-            break
-        label[r["doc_id"]] = r["label"]
+        size = r["size"] or 0
+        if total + size <= chars:
+            total += size
+            label[r["doc_id"]] = r["label"]
     if not label:
         return [], []
     wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted(label)], "doc_id long")
