@@ -122,3 +122,16 @@ def test_generated_corpora_are_distinct_and_disjoint(spark):
 def test_unconverged_folds_are_refused(spark):
     with pytest.raises(Refusal, match="converge for b"):
         check_converged(spark.createDataFrame([("a", True), ("b", False)], "fold string, converged boolean"))
+
+
+def test_registered_folds_decode_converge_and_have_a_control(spark, monkeypatch):
+    from wardstone.plans import learning
+
+    folder = "/root/testdata/sf0.001"
+    trained = learning.train_weights(spark, folder).collect()
+    folds = learning.lofo_folds(spark, folder).collect()
+    assert {r.fold for r in trained} == {r.fold for r in folds} == {*C.FAMILIES, "none"}
+    assert all(r.converged for r in trained) and all(r.attacks > 0 for r in folds)
+    monkeypatch.setattr(T, "STEPS", 2)
+    with pytest.raises(Refusal, match="converge"):
+        learning.lofo_folds(spark, folder)

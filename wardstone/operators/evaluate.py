@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +66,23 @@ def feature_rows(samples: DataFrame, disabled: Iterable[str] = ()) -> DataFrame:
     return rows.select("ordinal", "attack", "family", "f.buckets", "f.values")
 
 
+def fitted_folds(training: DataFrame, families: list[str], steps: int = T.STEPS) -> Iterator[tuple[frozenset, list[str], list[str], DataFrame]]:
+    """(disabled stages, families held out, folds, models) per distinct set of disabled stages; refused unless converged.
+
+    The folds are the families held out and, where no stage is disabled, the control 'none'.
+    """
+    sets: dict[frozenset, list[str]] = {}
+    for family in families:
+        sets.setdefault(disabled_for("stage", family), []).append(family)
+    for disabled, held in sorted(sets.items(), key=lambda x: sorted(x[0])):
+        own = [*held, "none"] if not disabled else held
+        rows = feature_rows(training, disabled).select("*", F.explode(F.array(*map(F.lit, own))).alias("fold")).where("family <> fold")
+        fitted = T.fit_folds(rows.repartition("fold"), X.BUCKETS, steps)
+        fitted = training.sparkSession.createDataFrame(fitted.collect(), fitted.schema)  # a model per fold
+        check_converged(fitted)
+        yield disabled, held, own, fitted
+
+
 def evaluate(training: DataFrame, evaluation: DataFrame, budget: float = 0.01, families: Iterable[str] = FAMILIES, drop_shared: bool = False, steps: int = T.STEPS) -> DataFrame:
     """held_out_results of every family, plus the control fold 'none' that holds nothing out.
 
@@ -82,20 +99,13 @@ def evaluate(training: DataFrame, evaluation: DataFrame, budget: float = 0.01, f
         there = {r.family for r in side.where("label = 'attack'").select("family").distinct().collect()}
         if set(families) - there:
             raise Refusal(f"no {name} samples of {', '.join(sorted(set(families) - there))}")
-    sets: dict[frozenset, list[str]] = {}
-    for family in families:
-        sets.setdefault(disabled_for("stage", family), []).append(family)
     scores = None
-    for disabled, held in sorted(sets.items(), key=lambda x: sorted(x[0])):
-        own = [*held, "none"] if not disabled else held
-        rows = feature_rows(training, disabled).select("*", F.explode(F.array(*map(F.lit, own))).alias("fold")).where("family <> fold")
-        fitted = T.fit_folds(rows.repartition("fold"), X.BUCKETS, steps)
-        fitted = training.sparkSession.createDataFrame(fitted.collect(), fitted.schema)  # a model per fold
-        check_converged(fitted)
+    for disabled, held, own, fitted in fitted_folds(training, families, steps):
         measured = feature_rows(evaluation, disabled)
         found = fold_scores(measured.where((F.col("attack") == 0) | F.col("family").isin(held)), fitted, own)
         if "none" in own:
-            every = M.with_position(measured.where("attack = 1"), "ordinal").where(F.col("position") % len(families) == 0)
-            found = found.unionByName(fold_scores(every.drop("position").withColumn("family", F.lit("none")), fitted, own))
+            every = M.with_position(evaluation.where("label = 'attack'"), "ordinal").where(F.col("position") % len(families) == 0)
+            found = found.unionByName(fold_scores(feature_rows(every, disabled).withColumn("family", F.lit("none")), fitted, own))
+        found = found.localCheckpoint()  # the measures read scores many times; plans of whole normalisations in each take minutes to analyse
         scores = found if scores is None else scores.unionByName(found)
     return measured_results(scores, budget)
