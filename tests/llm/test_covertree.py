@@ -61,3 +61,25 @@ def test_repeats_nulls_and_empty(spark):
     assert sorted(run(spark, [(4, [1.0, 0.0], ""), (4, [1.0, 0.0], ""), (None, [1.0, 0.0], ""), (5, None, "")]), key=str) == sorted([(4, (1, 4, True)), (4, (1, 4, True)), (None, (0, None, True)), (5, (0, 5, True))], key=str)
     assert run(spark, []) == []
     assert run(spark, [(1, None, "")]) == [(1, (0, 1, True))]
+
+
+def test_links_belong_to_vectors_not_to_ids(spark):
+    rows = [(1, [1.0, 0.0], ""), (1, [0.0, 1.0], ""), (2, [1.0, 0.01], ""), (3, [0.0, -1.0], "")]
+    assert sorted(run(spark, rows)) == [(1, (0, 1, True)), (1, (1, 1, True)), (2, (1, 1, False)), (3, (0, 3, True))]
+
+
+def test_many_lengths_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "PIVOT_SAMPLE", 5)
+    monkeypatch.setattr(covertree, "BLOCK", 3)
+    rng = np.random.default_rng(8)
+    data = {}
+    for dim in range(1, 12):
+        base = rng.normal(size=dim)
+        data |= {dim * 100 + k: (base + rng.normal(size=dim) * 0.02 * (k % 3)).tolist() for k in range(8)}
+    data |= {5000: [1e200] * 4, 5001: [2e200] * 4, 5002: [1e-200, 0.0]}
+    got = covertree.near_duplicates(spark.createDataFrame(list(data.items()), "vec_id long, embedding array<double>")).collect()
+    del data[5000], data[5001], data[5002]
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got}
+    assert found[5000][0] >= 1 and found[5001][1] == found[5000][1]
+    rest = {i: v for i, v in found.items() if i < 5000 and not 400 <= i < 500 and not 200 <= i < 300}
+    assert rest == {i: v for i, v in brute(data, 0.95).items() if i in rest}

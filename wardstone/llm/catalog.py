@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstone.llm import covertree, decontaminate, language, license, linededup, minhash, quality, secrets, tokenfiles, wfst
+from wardstone.llm import covertree, decontaminate, language, license, linededup, minhash, oracles, quality, secrets, tokenfiles, wfst
 from wardstone.llm.common import shared_path
 from wardstone.tables import read_table
 
@@ -37,11 +37,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH l AS (SELECT doc_id, coalesce(source, '') AS host, i, line, nullif(trim(line, ' ' || chr(9) || chr(13)), '') AS bare
-           FROM (SELECT doc_id, source, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line
-                 FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
-n AS (SELECT coalesce(source, '') AS host, count(*) AS pages FROM documents GROUP BY 1),
-bad AS (SELECT host, bare FROM (SELECT DISTINCT host, doc_id, bare FROM l WHERE bare IS NOT NULL) JOIN n USING (host) GROUP BY host, bare, pages HAVING count(*) >= 10 AND count(*) > 0.1 * pages),
+WITH l AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS page, i, line, nullif(trim(line, ' ' || chr(9) || chr(13)), '') AS bare
+           FROM (SELECT doc_id, source, text, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line
+                 FROM (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+n AS (SELECT coalesce(source, '') AS host, count(DISTINCT coalesce(text, '')) AS pages FROM documents GROUP BY 1),
+bad AS (SELECT host, bare FROM (SELECT DISTINCT host, page, bare FROM l WHERE bare IS NOT NULL) JOIN n USING (host) GROUP BY host, bare, pages HAVING count(*) > 2 AND count(*) - 2 > 0.02::DOUBLE * (pages - 2)),
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(bad.bare) AS n_dropped, string_agg(CASE WHEN bad.bare IS NULL THEN line END, chr(10) ORDER BY i) AS text
       FROM l LEFT JOIN bad ON l.host = bad.host AND l.bare = bad.bare GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines, CASE WHEN d.text IS NULL THEN 0 ELSE n_dropped END AS n_dropped,
@@ -89,7 +89,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license.scan(read_table(spark, sf_dir, "documents"))
+    return license.scan(read_table(spark, sf_dir, "documents")).drop("copies")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,4 +103,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op2_embedding_near_dedup": oracles.OP2, "op3_secret_scan": oracles.OP3, "op4_line_dedup": OP4_SQL, "op7_minhash_near_dedup": oracles.OP7, "op9_license_scan": oracles.OP9}

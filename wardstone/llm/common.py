@@ -24,10 +24,24 @@ def words_of(text: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. A local folder of its own only where that is unset and
+    the master is local (tests); on a cluster an unset folder is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(shared_dir, "own", None)
         if not folder:
             folder = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="wardstone-")
@@ -42,7 +56,17 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it: lineage is cut and lost executors lose nothing."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.shared_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete shared tables that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.shared_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -58,19 +82,22 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node in edges (src, dst): component is the smallest node reachable.
 
-    Each round takes the smallest label among neighbours and then jumps to the label's own label, so the
-    rounds grow with the logarithm of the longest chain. Every round is a table in the shared folder.
-    Empty edges give no rows; repeated edges and loops change nothing.
+    Nodes are of any ordered type. Each round takes the smallest label among neighbours and then jumps to the
+    label's own label, so the rounds grow with the logarithm of the longest chain. Every round is a table in the
+    shared folder; tables of earlier rounds are deleted. Empty edges give no rows; repeated edges and loops change
+    nothing; an edge without one of its ends is left out.
     """
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).dropna().distinct()
     both = shared_table(both, "edges")
     label = shared_table(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("component")), "label")
     for _ in range(max_rounds):
         near = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        step = shared_table(label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")), "step")
+        step = shared_table(label.select("node", "component").join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")), "step")
         up = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
         moved = shared_table(step.join(up, "component", "left").select("node", "was", F.coalesce("up", "component").alias("component")), "label")
-        label = moved.select("node", "component")
+        discard(label, step)
+        label = moved
         if moved.where("component <> was").isEmpty():
-            return label
+            discard(both)
+            return moved.select("node", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

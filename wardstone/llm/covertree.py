@@ -15,6 +15,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,22 +23,32 @@ from pyspark.sql import functions as F
 from wardstone.llm.common import connected_components, shared_table
 
 PIVOT_SAMPLE = 4_000  # vectors drawn to choose pivots from, at most
-PIVOTS = 64  # cells, at most
-BLOCK = 2_500  # vectors of a cell that one task holds from each side
+BLOCK = 20_000  # vectors of a cell that one task holds from each side
 LEAF = 48
-SLACK = 1e-9  # pruning keeps pairs that rounding could have put just beyond the bound
+VALUES = 4_000_000  # components that a task scales at a time
+SLACK = 1e-6  # of distances: sqrt(2 - 2c) near 0 is only good to about 1e-7, and pruning must not lose a pair by that
 
 
 def _unit_rows(batches):
+    """(vec_id, dim, key, unit) of batches (vec_id, vector): unit vectors as bytes, nulls where a vector has none."""
     for batch in batches:
-        ids, out = batch.column(0).to_pylist(), []
-        for v in batch.column(1).to_pylist():
-            x = None if v is None or not v or any(c is None for c in v) else np.array(v, float)
-            norm = 0.0 if x is None or not np.isfinite(x).all() else math.sqrt(float(x @ x))
-            ok = norm > 0 and math.isfinite(norm)
-            out.append((x / norm).tobytes() if ok else None)
-        key = [None if u is None else xxhash.xxh3_128_digest(u) for u in out]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([0 if u is None else len(u) // 8 for u in out], pa.int32()), pa.array(key, pa.binary()), pa.array(out, pa.binary())], ["vec_id", "dim", "key", "unit"])
+        vectors, n = batch.column(1), batch.num_rows
+        size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        values = pc.fill_null(vectors.flatten(), float("nan")).to_numpy(zero_copy_only=False)
+        begin = np.r_[0, np.cumsum(size)]
+        unit, key = [None] * n, [None] * n
+        for dim in np.unique(size[size > 0]):
+            every, step = np.flatnonzero(size == dim), max(1, VALUES // int(dim))
+            for rows in np.split(every, range(step, len(every), step)):
+                x = values[begin[rows][:, None] + np.arange(dim)]
+                most = np.abs(x).max(1)  # not a number if any component is none
+                good = (most > 0) & np.isfinite(most)
+                x = x[good] / most[good][:, None]
+                x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+                for i, u in zip(rows[good].tolist(), x, strict=True):
+                    unit[i] = u.tobytes()
+                    key[i] = xxhash.xxh3_128_digest(unit[i])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int32)), pa.array(key, pa.binary()), pa.array(unit, pa.binary())], ["vec_id", "dim", "key", "unit"])
 
 
 def matrix(units, dim: int) -> np.ndarray:
@@ -112,20 +123,20 @@ def close_pairs(x: np.ndarray, y: np.ndarray, cosine: float, same: bool) -> tupl
     return (np.minimum(i, j), np.maximum(i, j)) if same else (i, j)
 
 
-def _compare(dim: int, cosine: float):
+def _compare(cosine: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        side, ids, n = pdf["side"].to_numpy(), pdf["rep"].to_numpy(), pdf["n"].to_numpy()
-        x = matrix(pdf["unit"], dim)
+        side, keys, n = pdf["side"].to_numpy(), pdf["key"].to_numpy(), pdf["n"].to_numpy()
+        x = matrix(pdf["unit"], int(pdf["dim"].iloc[0]))
         if (side < 0).all():
             i, j = close_pairs(x, x, cosine, True)
         else:
             a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(a) or not len(b):
-                return pd.DataFrame({"src": [], "dst": [], "n": []}).astype("int64")
+                return pd.DataFrame({"src": pd.Series([], dtype=object), "dst": pd.Series([], dtype=object), "n": pd.Series([], dtype="int64")})
             i, j = close_pairs(x[a], x[b], cosine, False)
             i, j = a[i], b[j]
-        count = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
-        low = ids.copy()  # smallest id reachable inside this task
+        count = np.bincount(i, n[j], len(keys)) + np.bincount(j, n[i], len(keys))
+        low = np.arange(len(keys))  # one row that is reachable inside this task, the same for all that reach it
         while True:
             new = low.copy()
             np.minimum.at(new, i, low[j])
@@ -134,53 +145,70 @@ def _compare(dim: int, cosine: float):
                 break
             low = new
         some = count > 0
-        return pd.DataFrame({"src": ids[some], "dst": low[some], "n": count[some].astype("int64")})
+        return pd.DataFrame({"src": keys[some], "dst": keys[low[some]], "n": count[some].astype("int64")})
 
     return run
 
 
-def _links(classes: DataFrame, dim: int, cosine: float) -> DataFrame:
-    """(src, dst, n) over classes of one dimension: links counted so far, and a smaller id it is linked to (or itself)."""
+def _pivots(sample: list, total: int) -> dict[int, np.ndarray]:
+    """Pivots of every vector length in the sample: a cell per BLOCK vectors, as far as the sample has them."""
+    by_dim: dict[int, list] = {}
+    for dim, unit in sample:
+        by_dim.setdefault(dim, []).append(unit)
+    return {dim: choose_pivots(matrix(units, dim), max(1, round(total * len(units) / len(sample) / BLOCK))) for dim, units in by_dim.items()}
+
+
+def _links(classes: DataFrame, cosine: float) -> DataFrame:
+    """(src, dst, n) over the keys of classes: links counted so far, and a class reachable from it (or itself)."""
     spark = classes.sparkSession
-    total = classes.count()
-    sample = matrix([r[0] for r in classes.select("unit").orderBy(F.xxhash64("rep")).limit(PIVOT_SAMPLE).collect()], dim)
-    pivots = spark.sparkContext.broadcast(choose_pivots(sample, max(1, min(PIVOTS, total // BLOCK))))
+    sample = [(r[0], r[1]) for r in classes.select("dim", "unit").orderBy(F.xxhash64("key")).limit(PIVOT_SAMPLE).collect()]
+    pivots = spark.sparkContext.broadcast(_pivots(sample, classes.count()))
+    none = np.empty((0, 0))  # a length that the sample missed has one cell without a pivot, which everything of that length reaches
 
     def assign(batches):
         for batch in batches:
-            d = distances(matrix(batch.column("unit").to_pylist(), dim), pivots.value) if batch.num_rows else np.empty((0, 1))
-            cell = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d.min(1))], ["rep", "n", "unit", "cell", "reach"])
-
-    celled = shared_table(classes.select("rep", "n", "unit").mapInArrow(assign, "rep long, n long, unit binary, cell int, reach double"), "cells")
-    own = {r.cell: r for r in celled.groupBy("cell").agg(F.max("reach").alias("radius"), F.count("*").alias("size")).collect()}  # a row per pivot
-    radius = np.array([own[c].radius if c in own else -9.0 for c in range(len(pivots.value))])
-    blocks = np.array([math.ceil(own[c].size / BLOCK) if c in own else 0 for c in range(len(pivots.value))])
+            dims = batch.column("dim").to_numpy()
+            cell, reach = np.zeros(len(dims), np.int32), np.full(len(dims), 2.0)
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                own = pivots.value.get(int(dim), none)
+                if len(own):
+                    d = distances(matrix(batch.column("unit").take(pa.array(rows)).to_pylist(), int(dim)), own)
+                    cell[rows], reach[rows] = d.argmin(1), d.min(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(reach)], ["dim", "key", "n", "unit", "cell", "reach"])
+
+    celled = shared_table(classes.select("dim", "key", "n", "unit").mapInArrow(assign, "dim int, key binary, n long, unit binary, cell int, reach double"), "cells")
     limit = math.sqrt(2 - 2 * cosine) + 2 * SLACK
-    between = distances(pivots.value, pivots.value)
-    plan = spark.sparkContext.broadcast((radius, blocks, between <= radius[:, None] + radius[None, :] + limit))
+    plan: dict[int, tuple] = {}
+    for r in celled.groupBy("dim", "cell").agg(F.max("reach").alias("radius"), F.count("*").alias("size")).collect():  # a row per pivot, and per length without one
+        own = pivots.value.get(r.dim, none)
+        radius, blocks = plan.setdefault(r.dim, (np.full(max(1, len(own)), -9.0), np.zeros(max(1, len(own)), int)))
+        radius[r.cell], blocks[r.cell] = r.radius, math.ceil(r["size"] / BLOCK)
+    plan = {dim: (radius, blocks, distances(own, own) <= radius[:, None] + radius[None, :] + limit if len(own := pivots.value.get(dim, none)) else np.ones((1, 1), bool)) for dim, (radius, blocks) in plan.items()}
+    plan = spark.sparkContext.broadcast(plan)
 
     def deal(batches):
-        radius, blocks, near = plan.value
         for batch in batches:
-            units = batch.column("unit").to_pylist()
-            d = distances(matrix(units, dim), pivots.value) if units else []
-            rows = []
-            for k, (rep, n, cell) in enumerate(zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist(), batch.column("cell").to_pylist(), strict=True)):
-                block = xxhash.xxh32_intdigest(rep.to_bytes(8, "little", signed=True)) % int(blocks[cell])
-                for other in np.flatnonzero(near[cell] & (d[k] <= radius + limit)).tolist():
+            dims, cells = batch.column("dim").to_numpy(), batch.column("cell").to_numpy()
+            keys = batch.column("key").to_pylist()
+            for dim in np.unique(dims):
+                rows, own = np.flatnonzero(dims == dim), pivots.value.get(int(dim), none)
+                radius, blocks, near = plan.value[int(dim)]
+                d = distances(matrix(batch.column("unit").take(pa.array(rows)).to_pylist(), int(dim)), own) if len(own) else np.zeros((len(rows), 1))
+                cell = cells[rows]
+                block = np.array([xxhash.xxh32_intdigest(keys[i]) for i in rows]) % blocks[cell]
+                reached = near[cell] & (d <= radius + limit)
+                for other in np.flatnonzero(reached.any(0)):
+                    k = np.flatnonzero(reached[:, other])
                     for b in range(int(blocks[other])):
-                        mine, its = (cell, block), (other, b)
-                        side = -1 if mine == its else int(mine > its)
-                        a, z = min(mine, its), max(mine, its)
-                        rows.append((*a, *z, side, rep, n, units[k]))
-            if rows:
-                columns = zip(*rows, strict=True)
-                types = (pa.int32(),) * 5 + (pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["c1", "b1", "c2", "b2", "side", "rep", "n", "unit"])
+                        first = (cell[k] < other) | (cell[k] == other) & (block[k] <= b)
+                        side = np.where((cell[k] == other) & (block[k] == b), -1, np.where(first, 0, 1))
+                        a1, b1, a2, b2 = (np.where(first, x, y).astype(np.int32) for x, y in ((cell[k], other), (block[k], b), (other, cell[k]), (b, block[k])))
+                        part = batch.take(pa.array(rows[k])).select(["dim", "key", "n", "unit"])
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(a1), pa.array(b1), pa.array(a2), pa.array(b2), pa.array(side.astype(np.int32))], ["dim", "key", "n", "unit", "c1", "b1", "c2", "b2", "side"])
 
-    dealt = celled.mapInArrow(deal, "c1 int, b1 int, c2 int, b2 int, side int, rep long, n long, unit binary")
-    return dealt.groupBy("c1", "b1", "c2", "b2").applyInPandas(_compare(dim, cosine), "src long, dst long, n long")
+    dealt = celled.mapInArrow(deal, "dim int, key binary, n long, unit binary, c1 int, b1 int, c2 int, b2 int, side int")
+    return dealt.groupBy("dim", "c1", "b1", "c2", "b2").applyInPandas(_compare(cosine), "src binary, dst binary, n long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
@@ -189,23 +217,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Rows whose vectors have at least the given cosine (in double precision) are linked, whatever other columns
     say. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do
     rows with a null id (whose component is null, and which are kept); vectors of different lengths do not
-    link. Repeated rows are linked with each other. An empty table gives no rows.
+    link. Links belong to vectors, not to ids: rows that repeat an id with other vectors are judged each by its
+    own. Repeated rows are linked with each other. An empty table gives no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     units = shared_table(rows.mapInArrow(_unit_rows, "vec_id long, dim int, key binary, unit binary"), "units")
-    classes = units.where("key is not null and vec_id is not null").groupBy("dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit"))
+    classes = units.where("key is not null and vec_id is not null").groupBy("dim", "key").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("unit").alias("unit"))
     classes = shared_table(classes, "classes")
-    links = None
-    for (dim,) in classes.select("dim").distinct().orderBy("dim").collect():  # vector lengths, a few
-        own = _links(classes.where(F.col("dim") == dim), dim, cosine)
-        links = own if links is None else links.unionByName(own)
-    if links is None:
+    if classes.isEmpty():
         return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    links = shared_table(links, "links")
+    links = shared_table(_links(classes, cosine), "links")
     component = connected_components(links.where("src <> dst").select("src", "dst"))
-    count = links.groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("others"))
-    named = classes.join(count, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    named = shared_table(named.select("key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named")
+    count = links.groupBy(F.col("src").alias("key")).agg(F.sum("n").alias("others"))
+    named = classes.select("key", "low", "n").join(count, "key", "left").join(component.withColumnRenamed("node", "key"), "key", "left")
+    named = shared_table(named.select("key", "low", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "key").alias("component")), "named")
+    smallest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = shared_table(named.join(smallest, "component").select("key", "n_links", "component_id"), "named")
     some = F.col("vec_id").isNotNull()
     out = units.select("vec_id", "key").join(named, "key", "left").select("vec_id", F.when(some, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(some, F.coalesce("component_id", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

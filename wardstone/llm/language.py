@@ -22,7 +22,7 @@ BUCKETS = 1 << 16
 TRAIN_ROWS, TRAIN_CHARS = 5_000, 20_000_000  # labelled rows fitted on, and their characters, at most
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 2
 SCALE = 30.0  # brings relative n-gram frequencies to the size the penalties are meant for
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER_OR_NUMBER = re.compile(r"[^\W\d_]")
 _PRIMES = tuple(np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -43,6 +43,11 @@ def gram_rows(text: str | None) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of a Unicode letter category; number characters such as a half or Roman eight are none."""
+    return any(m.group().isalpha() for m in _LETTER_OR_NUMBER.finditer(text or ""))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -58,7 +63,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, probability); und with 0 where there is no letter or no language was learned."""
-        if not text or not _LETTER.search(text) or not self.languages:
+        if not self.languages or not has_letter(text):
             return "und", 0.0
         p = softmax(self.log_odds(text))
         return self.languages[int(p.argmax())], float(p.max())

@@ -2,13 +2,13 @@
 
 All rolling word k-grams of a text are joined to the k-grams of the templates; a gram at word p of the text
 and word t of the template votes for the diagonal p - t. Phrases need all their grams on one diagonal. Longer
-templates merge neighbouring diagonals, which small insertions and deletions split, and need a share of their
-grams; the grams' words are compared before a vote counts.
+templates merge neighbouring diagonals, which small insertions and deletions split; the merged span is then
+verified: enough of its words must be the template's, and enough of the template's words must stand in it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardstone.llm.common import shared_table, words_of
@@ -16,7 +16,7 @@ from wardstone.llm.decontaminate import WORD
 
 PHRASE_GRAM, TEXT_GRAM = 2, 4
 DRIFT = 4  # diagonals apart that still belong to one copy of a template
-SHARE = 0.5  # of a template's grams that a copy needs
+SHARE = 0.5  # of a template's words that a copy needs, and of a copy's words that the template needs
 
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
@@ -57,26 +57,46 @@ def votes(docs: DataFrame, grams: DataFrame) -> DataFrame:
     return near.join(F.broadcast(grams.drop("head")), ["k", "gram"]).select("doc_id", "text_hash", "label", "phrase", "grams", "k", "pos", "t").distinct()
 
 
+def copies(hit: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, label, start, end, share) of the verified copies among the votes for longer templates.
+
+    Votes on neighbouring diagonals make one candidate. Its span runs from its first voting word to the end of
+    its last voting gram; the words inside that grams cover must be at least SHARE of the span, and the
+    template's words that they cover at least SHARE of the template. share is the smaller of the two.
+    """
+    line = hit.groupBy("doc_id", "text_hash", "label", "diagonal").agg(F.collect_list(F.struct("pos", "t")).alias("votes"), F.first("grams").alias("grams"), F.first("k").alias("k"))
+    own = Window.partitionBy("doc_id", "text_hash", "label").orderBy("diagonal")
+    line = line.withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(own) > DRIFT, F.lit(True)).cast("int")).withColumn("copy", F.sum("new").over(own))
+    copy = line.groupBy("doc_id", "text_hash", "label", "copy").agg(F.flatten(F.collect_list("votes")).alias("votes"), F.first("grams").alias("grams"), F.first("k").alias("k"))
+    places = lambda name: F.array_sort(F.array_distinct(F.transform("votes", lambda v: v[name])))
+    copy = copy.select("doc_id", "text_hash", "label", "grams", "k", places("pos").alias("p"), places("t").alias("ts"))
+
+    def covered(at: str) -> Column:
+        """Words under the k-grams that begin at the sorted places."""
+        zero = F.struct(F.lit(0).alias("words"), F.lit(-1).alias("upto"))
+        return F.aggregate(at, zero, lambda a, x: F.struct((a.words + x + F.col("k") - F.greatest(x, a.upto)).alias("words"), (x + F.col("k")).alias("upto")))["words"]
+
+    start, end = F.get("p", F.lit(0)), F.element_at("p", -1) + F.col("k")
+    share = F.least(covered("p") / (end - start), covered("ts") / (F.col("grams") + F.col("k") - 1))
+    return copy.select("doc_id", "text_hash", "label", start.cast("long").alias("start"), end.cast("long").alias("end"), share.alias("share")).where(F.col("share") >= SHARE)
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: dict[str, str] = TEXTS) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row of docs.
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, copies) of every row of docs.
 
     n_base counts the places of the phrases (first_word and last_word their smallest and largest start, null
-    without any); labels adds the templates found; score is the largest share of a template's grams found, 1
-    for a phrase, 0 for nothing. A null text is empty. Rows that repeat get their own text's results; other
-    columns are ignored; an empty table gives no rows.
+    without any); labels adds the templates found; score is the largest verified share of a template, 1 for a
+    phrase, 0 for nothing; copies lists the templates' verified spans as structs of start, end (words, end
+    exclusive), label and share, sorted. A null text is empty. Rows that repeat get their own text's results;
+    other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     hit = shared_table(votes(docs, template_grams(docs.sparkSession, phrases, texts)), "votes").withColumn("diagonal", F.col("pos") - F.col("t"))
     place = hit.where("phrase").groupBy("doc_id", "text_hash", "label", "diagonal").agg(F.count("*").alias("n"), F.first("grams").alias("grams")).where("n = grams")
     base = place.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("base"))
 
-    line = hit.where("not phrase").groupBy("doc_id", "text_hash", "label", "diagonal").agg(F.collect_set("t").alias("ts"), F.first("grams").alias("grams"))
-    own = Window.partitionBy("doc_id", "text_hash", "label").orderBy("diagonal")
-    line = line.withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(own) > DRIFT, F.lit(True)).cast("int")).withColumn("copy", F.sum("new").over(own))
-    # a copy's verified span: the template's grams found on its merged diagonals
-    copy = line.groupBy("doc_id", "text_hash", "label", "copy").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("n"), F.first("grams").alias("grams"))
-    copy = copy.withColumn("share", F.col("n") / F.col("grams")).where(F.col("share") >= SHARE)
-    more = copy.groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    copy = copies(hit.where("not phrase"))
+    more = copy.groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"), F.collect_list(F.struct("start", "end", "label", "share")).alias("copies"))
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
     for side in (base, more):
@@ -88,4 +108,5 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: dict[str, st
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.array_join(F.array_sort(found), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(found, F.coalesce("more", none))), ",").alias("labels"),
         F.when(F.size(found) > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.array_sort(F.coalesce("copies", F.array().cast("array<struct<start:bigint,end:bigint,label:string,share:double>>"))).alias("copies"),
     )

@@ -1,8 +1,9 @@
 """Line dedup by site-relative frequency (DataFrame functions only).
 
-A line is boilerplate where more than max_ratio of its host's pages hold it. The shares of one host's lines
-add up to its mean lines per page, so a host has at most (mean lines per page / max_ratio) boilerplate lines:
-they fit one row per host, whatever the host's size.
+A site's pages are its distinct texts, so that exact copies of a page count once. A line is boilerplate where,
+beyond the two pages that a single quotation makes, its share of the site's pages exceeds max_ratio. The shares of
+one site's lines add up to its mean lines per page, so a site has at most about (mean lines per page / max_ratio)
+boilerplate lines: they fit one row per site, whatever the site's size.
 """
 
 from __future__ import annotations
@@ -10,9 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardstone.llm.common import broadcast_if_small, shared_table
+from wardstone.llm.common import broadcast_if_small, fresh, shared_table
 
-MAX_RATIO, MIN_PAGES = 0.1, 10
+MAX_RATIO = 0.02  # a line that a reader meets on every fiftieth page of a site
+
+
+def site_of(url: Column) -> Column:
+    """The site of a page's URL: its host in lower case without a leading www and without a port; null where there is none."""
+    host = F.lower(F.regexp_extract(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^:/?#]*)", 1))
+    return F.nullif(F.regexp_replace(host, r"^www\.(?=.)|\.$", ""), F.lit(""))
 
 
 def _lines(text: Column) -> Column:
@@ -25,29 +32,56 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.md5(bare))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, pages, keys): pages of every host and digests of the lines in more than max_ratio of them."""
-    rows = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
-    total = rows.groupBy("host").agg(F.count("*").alias("pages"))
+def _host(host: Column | str) -> Column:
+    return F.coalesce((F.col(host) if isinstance(host, str) else host).cast("string"), F.lit(""))
+
+
+def boilerplate(docs: DataFrame, host: Column | str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
+    """(host, pages, keys): distinct pages of every host, and digests of its boilerplate lines (null without any).
+
+    A null text is the page without lines; a null host is the host ''.
+    """
+    rows = docs.select(_host(host).alias("host"), F.col(text_col).alias("text"))
+    page = F.md5(F.coalesce("text", F.lit("")))
+    total = rows.select("host", page.alias("page")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
     keys = F.array_distinct(F.transform(_lines(F.col("text")), _key))
-    held = rows.select("host", F.explode(keys).alias("key")).where("key is not null").groupBy("host", "key").agg(F.count("*").alias("held"))
-    often = held.where(F.col("held") >= min_pages).join(total, "host").where(F.col("held") > max_ratio * F.col("pages"))
+    once = rows.select("host", page.alias("page"), F.explode(keys).alias("key")).where("key is not null").distinct()
+    held = once.groupBy("host", "key").agg(F.count("*").alias("held")).where("held > 2")
+    often = held.join(total, "host").where(F.col("held") - 2 > max_ratio * (F.col("pages") - 2))
     return total.join(often.groupBy("host").agg(F.array_sort(F.collect_set("key")).alias("keys")), "host", "left")
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with text_col stripped of its host's boilerplate lines, and n_lines, n_dropped beside it.
+def _judged(docs: DataFrame, host: Column | str, text_col: str, max_ratio: float) -> tuple[DataFrame, str]:
+    """docs with one more column: a struct of the text that is left, the lines there were and those dropped; and its name."""
+    of, keys, lines, found, kept, out = fresh(docs, "of", "keys", "lines", "found", "kept", "judged")
+    known = boilerplate(docs, host, text_col, max_ratio).where("keys is not null").select(F.col("host").alias(of), F.col("keys").alias(keys))
+    rows = docs.join(broadcast_if_small(shared_table(known, "boilerplate")), _host(host) == F.col(of), "left")
+    text = F.col(text_col)
+    # the document's own boilerplate by one hashed intersection; lines are then held against that alone
+    rows = rows.withColumn(lines, F.when(F.col(keys).isNotNull(), _lines(text))).withColumn(found, F.array_intersect(F.transform(lines, _key), F.col(keys)))
+    left = F.when(text.isNotNull() & (F.size(found) > 0), F.filter(lines, lambda line: ~F.coalesce(F.array_contains(found, _key(line)), F.lit(False))))
+    rows = rows.withColumn(kept, left)
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(_lines(text)))
+    n_dropped = F.when(F.col(kept).isNull(), 0).otherwise(n_lines - F.size(kept))
+    judged = F.struct(F.when(F.col(kept).isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text"), n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
+    return rows.withColumn(out, judged).drop(of, keys, lines, found, kept), out
+
+
+def drop_boilerplate(docs: DataFrame, host: Column | str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
+    """docs with text_col stripped of its host's boilerplate lines, and the columns n_lines and n_dropped beside it.
 
-    Lines end at newlines; order, blank lines and other lines stay. Repeated rows are pages of their own; a
-    line twice on one page counts once and goes twice. A null text stays null with no lines; a null host is
-    the host ''. A document whose lines all go keeps an empty text. Columns named like the helpers' survive.
+    host is a column's name or an expression such as site_of(F.col("url")). Lines end at newlines; order, blank
+    lines and other lines stay. Of rows that repeat a text on one host one counts as a page, and all are
+    stripped; a line twice on one page counts once and goes twice. A null text stays null with no lines; a null
+    host is the host ''. A document whose lines all go keeps an empty text. Columns named n_lines or n_dropped
+    are replaced; all others survive, whatever their names. An empty table gives no rows.
     """
-    known = shared_table(boilerplate(docs, host_col, text_col, max_ratio, min_pages).where("keys is not null").select(F.col("host").alias("__host"), F.col("keys").alias("__keys")), "boilerplate")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*names).join(broadcast_if_small(known), F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("__host"), "left")
-    kept = F.filter(_lines(F.col(text_col)), lambda line: ~F.coalesce(F.array_contains("__keys", _key(line)), F.lit(False)))
-    rows = rows.withColumn("__kept", F.when(F.col(text_col).isNotNull() & F.col("__keys").isNotNull(), kept))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(_lines(F.col(text_col))))
-    n_dropped = F.when(F.col("__kept").isNull(), 0).otherwise(n_lines - F.size("__kept"))
-    text = F.when(F.col("__kept").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
+    rows, judged = _judged(docs, host, text_col, max_ratio)
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return rows.select(*[F.col(f"{judged}.text").alias(c) if c == text_col else F.col(c) for c in names], f"{judged}.n_lines", f"{judged}.n_dropped")
+
+
+def strip_boilerplate(docs: DataFrame, host: Column | str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
+    """drop_boilerplate with the columns of docs alone, in their order."""
+    rows, judged = _judged(docs, host, text_col, max_ratio)
+    return rows.select(*[F.col(f"{judged}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
