@@ -55,10 +55,54 @@ def test_equals_brute_force(spark):
 def test_many_blocks_give_the_same(spark, monkeypatch):
     rows = corpus()
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, rows, percent=80)}
     assert got == brute(rows, 80)
 
 
+def chained():
+    """Groups that no hub settles: texts that drift from one to the next, copies around two centres, and a bridge between them."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(3):
+        w = [f"d{rng.randrange(500)}" for _ in range(80)]
+        for _ in range(25):
+            w[rng.randrange(len(w))] = f"d{rng.randrange(500)}"
+            rows.append(" ".join(w))
+    centre = [f"c{i}" for i in range(200)]
+    for shift in (0, 12, 24):
+        moved = [f"m{i}" for i in range(shift)] + centre[shift:]
+        for k in range(15):
+            rows.append(" ".join([*moved, f"tail{k}"]))
+    rng.shuffle(rows)
+    return list(enumerate(rows, 1))
+
+
+def test_groups_that_hang_together_by_chains(spark, monkeypatch):
+    rows = chained()
+    want = brute(rows, 80)
+    assert any(n >= 20 for n in np.unique([c for _, c in want.values()], return_counts=True)[1])
+    for shingles, block in ((400_000, 500), (2_000, 5)):
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+        monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, rows, percent=80)} == want
+
+
+def test_bands_keep_the_bound_for_every_threshold():
+    for percent in range(5, 101):
+        rows, bands = minhash.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= minhash.MISSES and (rows == 1 or rows * bands <= minhash.VALUES)
+    assert minhash.banding(85) == (7, 36) and minhash.banding(80) == (5, 35)
+
+
+def test_dropping_takes_any_column_names(spark):
+    t = "a b c d e f g h"
+    df = spark.createDataFrame([(1, t, 5, "x"), (2, t, 6, "y"), (3, "other", 7, None), (None, t, 8, "z")], "doc_id int, text string, `of` int, __id string")
+    out = minhash.drop_near_duplicates(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted([(1, t, 5, "x"), (3, "other", 7, None), (None, t, 8, "z")], key=str)
+    assert minhash.drop_near_duplicates(df.limit(0)).collect() == []
+
+
 def test_nulls_repeats_clashing_columns_and_empty(spark):
     text = "a b c d e f g"
     rows = [(None, text, "x"), (2, text, "y"), (2, text, "y"), (9, None, "z"), (1, text, None)]
