@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tests.llm.texts import ODD, SCHEMA, frame, prose, rows, words
 from wardstone.llm import decontaminate
 
@@ -40,10 +42,33 @@ def test_equals_brute_force(spark):
     assert dict(run(spark, rows(*data), ITEMS)) == dict(enumerate(brute(data, ITEMS), 1))
 
 
-def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 17)
+def test_shuffled_joins_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     data = texts()
-    assert dict(run(spark, rows(*data), ITEMS)) == dict(enumerate(brute(data, ITEMS), 1))
+    try:
+        assert dict(run(spark, rows(*data), ITEMS)) == dict(enumerate(brute(data, ITEMS), 1))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_only_prefixes_are_joined_with_places(spark, monkeypatch):
+    tables = {}
+    kept = decontaminate.shared_table
+    monkeypatch.setattr(decontaminate, "shared_table", lambda df, label: tables.setdefault(label, kept(df, label)))
+    data = [prose(1, 40), *[" ".join(prose(1, 40).split()[4:9])] * 30]  # a shingle that is common by itself, inside an item
+    assert dict(run(spark, rows(*data), ITEMS))[1][3]
+    common = data[1].split()
+    assert tables["prefix"].count() == 28 and tables["places"].where("hit").count() < 30  # each of 31 documents holds the common one
+    assert tables["places"].where(F.slice("around", F.col("pos") - F.col("first") + 1, 5) == F.array(*map(F.lit, common))).count() == 0
+
+
+def test_dropping_takes_any_column_names(spark):
+    a = ITEMS[1][1]
+    df = spark.createDataFrame([(1, a, 4, 5, 6), (2, "clean", 4, 5, 6), (None, a, 4, 5, 6), (3, None, 4, 5, 6)], "doc_id int, text string, `of` int, of_text int, __id int")
+    out = decontaminate.drop_contaminated(df, frame(spark, ITEMS, "item_id long, text string"))
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [2, 3]
 
 
 def test_repeats_nulls_and_empty_tables(spark):

@@ -15,13 +15,12 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; no other character changes."""
-    return F.translate(text, ascii_uppercase, ascii_lowercase)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
 
 
 def words_of(text: Column) -> Column:
     """The words of a text, lower-cased in A-Z; an empty array for null or no words."""
-    spaced = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardstone.llm.common import shared_table, words_of
-from wardstone.llm.decontaminate import WORD
 
 PHRASE_GRAM, TEXT_GRAM = 2, 4
 DRIFT = 4  # diagonals apart that still belong to one copy of a template
@@ -98,7 +97,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, texts: dict[str, st
     copy = copies(hit.where("not phrase"))
     more = copy.groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"), F.collect_list(F.struct("start", "end", "label", "share")).alias("copies"))
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     for side in (base, more):
         side = side.withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash"})
         rows = rows.join(side, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left").drop("of", "of_hash")
