@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from wardstone.llm.common import connected_components, shared_table
 
 PIVOT_SAMPLE = 4_000  # vectors drawn to choose pivots from, at most
-BLOCK = 20_000  # vectors of a cell that one task holds from each side
+BLOCK = 10_000  # vectors of a cell that one task holds from each side
 LEAF = 48
+PRODUCTS = 2_000_000  # cosines of two leaves that a task holds at a time; scattered vectors make large leaves
 VALUES = 4_000_000  # components that a task scales at a time
 SLACK = 1e-6  # of distances: sqrt(2 - 2c) near 0 is only good to about 1e-7, and pruning must not lose a pair by that
 
@@ -114,11 +115,14 @@ def close_pairs(x: np.ndarray, y: np.ndarray, cosine: float, same: bool) -> tupl
                 keep &= np.tri(len(aa), dtype=bool).T
             stack += [(aa[i], bb[j]) for i, j in zip(*np.nonzero(keep), strict=True)]
             continue
-        i, j = np.nonzero(x[a.points] @ y[b.points].T >= cosine)
-        i, j = a.points[i], b.points[j]
-        if same and a is b:
-            i, j = i[i < j], j[i < j]
-        found.append((i, j))
+        right, step = y[b.points].T, max(1, PRODUCTS // len(b.points))
+        for at in range(0, len(a.points), step):
+            part = a.points[at : at + step]
+            i, j = np.nonzero(x[part] @ right >= cosine)
+            i, j = part[i], b.points[j]
+            if same and a is b:
+                i, j = i[i < j], j[i < j]
+            found.append((i, j))
     i, j = (np.concatenate(c) for c in zip(*found, strict=True))
     return (np.minimum(i, j), np.maximum(i, j)) if same else (i, j)
 
