@@ -46,6 +46,38 @@ def test_unigram_path_is_the_lightest():
         assert t.decode(got) == s and weight(got) <= weight(want) + 1e-6
 
 
+def paths(t, s, last=-1):
+    """Every path of the composed lattice of a chunk, with its weight."""
+    if not s:
+        yield [], 0.0
+    for n in range(1, len(s) + 1):
+        piece = t.arcs.get(s[:n])
+        if piece is None and n == 1:
+            piece = -1 - ord(s[0])
+        if piece is not None and not (t.merges and last >= 0 and piece >= 0 and not t.accepts(last, piece)):
+            for rest, weight in paths(t, s[n:], piece):
+                yield [piece, *rest], weight + t.weight.get(piece, t.unknown)
+
+
+def test_the_shortest_of_all_paths_is_taken():
+    rng = random.Random(6)
+    words = ["▁the", "▁weights", "straße", "▁aaaaaaaa", "▁12漢3"] + ["▁" + "".join(rng.choice("aeinrst") for _ in range(8)) for _ in range(40)]
+    merge, one = wfst.transducer(PATH), wfst.Transducer(unigram())
+    for w in words:
+        assert [p for p, _ in paths(merge, w)] == [merge._shortest(w)]  # the acceptor leaves one path
+        found = one._shortest(w)
+        assert min(x for _, x in paths(one, w)) == pytest.approx(next(x for p, x in paths(one, w) if p == found))
+
+
+def test_a_full_memory_changes_nothing(monkeypatch):
+    monkeypatch.setattr(wfst, "CHUNKS_KEPT", 6)
+    with open(PATH, "rb") as f:
+        own = wfst.Transducer(f.read())
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for s in [*strings()[-40:], *strings()[-40:]]:
+        assert own.encode(s).tolist() == library.encode(s)
+
+
 def test_unfit_models_are_refused():
     proto = sentencepiece_model_pb2.ModelProto()
     proto.ParseFromString(unigram())

@@ -1,11 +1,18 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A model compiles into three transducers: the normaliser (leading blank, blank to U+2581), the pieces as arcs
-from a piece's characters to its id, and byte fallback arcs for characters outside the vocabulary. A text
-composed with them is a lattice over its positions, and its encoding is the lattice's shortest path in the
-tropical semiring. Arcs weigh minus the piece's score. A merge model (BPE) adds an acceptor of neighbouring
-pieces: a pair passes if merging its joined characters ends in that pair. A sequence whose pairs all pass is
-the merge order's own result, so the composed lattice keeps exactly one path, whatever its weight.
+A model compiles into transducers that are composed lazily with each input:
+
+* the normaliser: one arc that writes a leading blank, then a state whose arcs map blanks to U+2581 and every other
+  character to itself;
+* the pieces: an arc from a piece's characters to its id, weighing minus its score;
+* byte fallback: for a character that no piece begins with, a chain of arcs to its bytes' ids;
+* for a merge model (BPE), the acceptor of neighbouring pieces: its states are pieces, and an arc leads from one to
+  the next if merging the characters of both ends in these two. A sequence of such arcs is the merge order's own
+  result, so the composed lattice holds one complete path. For a unigram model it has one state and accepts all.
+
+A state of the composition is a position with the acceptor's state. Positions are its topological order; each arc
+out of a position relaxes the state it leads to in the tropical semiring (sums along a path, the least over paths),
+and the least state at the end gives the path back.
 
 No piece spans a line break or starts a blank inside a word (checked when compiling), so the lattice has cut
 points there and falls into chunks, whose paths a worker remembers.
@@ -24,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-CHUNKS_KEPT = 150_000  # chunk paths a worker remembers
-_CHUNK = re.compile(r" *[^ \n]+| +|\n")
+CHUNKS_KEPT = 250_000  # chunk paths a worker remembers
+_CHUNK = re.compile("▁*[^▁\n]+|▁+|\n")
 
 
 class Transducer:
@@ -61,7 +68,8 @@ class Transducer:
                 beyond.setdefault(s[:4], set()).add(len(s))
         #: Lengths of the longer pieces that begin with four characters, longest first
         self.lengths = {s: tuple(sorted(n, reverse=True)) for s, n in beyond.items()}
-        self.options: dict[str, tuple] = {}
+        self.leaving: dict[str, tuple] = {}
+        self.passes: dict[int, bool] = {}  # arcs of the acceptor found so far, and pairs without one
         if any("\n" in s and len(s) > 1 or BLANK in s.lstrip(BLANK) for s in self.arcs):
             raise ValueError("pieces span cut points")
         self.blank = self.arcs.get(BLANK)
@@ -69,6 +77,8 @@ class Transducer:
         self.width = "<u2" if len(proto.pieces) <= 1 << 16 else "<u4"
         self.code = "H" if self.width == "<u2" else "I"
         self.known: dict[str, bytes] = {}
+        self.often: set[str] = set()
+        self.normal = {ord(" "): BLANK}  # the normaliser's arcs that change a character
         if self.merges:
             self._compile_pairs()
 
@@ -82,7 +92,6 @@ class Transducer:
         #: Rank of the merge that makes a piece; characters are never made. Parts: what that merge joined.
         self.rank = {i: -1.0 if len(s) == 1 else self.weight[i] for s, i in self.arcs.items()}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.passes: dict[int, bool] = {}
         for s, i in sorted(self.arcs.items(), key=lambda x: self.rank[x[1]]):
             if len(s) > 1 and s not in runs:
                 self.parts[i] = self._last_merge(s)
@@ -126,68 +135,57 @@ class Transducer:
 
     # -- shortest paths ------------------------------------------------------------------------------
 
-    def _only_path(self, s: str) -> list[int]:
-        """The one path of a merge model's lattice, long arcs tried first; a character outside the vocabulary is -1 - its code point."""
-        get, passes, memo, n = self.arcs.get, self.passes, self.options, len(s)
-        path, taken, dead = [], [], set()
-        at = k = 0
-        last = -1
-        while at < n:
+    def _arcs(self, head: str) -> tuple[tuple[int, int | None, float], ...]:
+        """(characters, id, weight) of the arcs that leave a position where a text goes on with head, of up to four
+        characters. Arcs longer than head are named by their length alone; byte fallback is minus one minus the character."""
+        if len(self.leaving) > 100_000:
+            self.leaving.clear()
+        near = [(n, self.arcs[head[:n]], self.weight[self.arcs[head[:n]]]) for n in range(1, len(head) + 1) if head[:n] in self.arcs]
+        if not near or near[0][0] > 1:
+            near.insert(0, (1, -1 - ord(head[0]), self.unknown))
+        more = [(n, None, 0.0) for n in self.lengths.get(head, ())] if len(head) == 4 else []
+        found = self.leaving[head] = (*near, *more)
+        return found
+
+    def _shortest(self, s: str) -> list[int]:
+        """The ids on the shortest path of the lattice of a normalised chunk, byte fallback as minus one minus the character.
+
+        Of equally long paths of a unigram model that whose last arcs begin first.
+        """
+        n, get, leaving, passes, accepts, weights, merges = len(s), self.arcs.get, self.leaving.get, self.passes.get, self.accepts, self.weight, self.merges
+        states: list = [None] * (n + 1)  # per position: (length, acceptor's state, state before)
+        states[0] = [(0.0, -1, None)]
+        for at in range(n):
+            here = states[at]
+            if here is None:
+                continue
+            if not merges and len(here) > 1:
+                here = [min(here, key=lambda x: x[0])]
             head = s[at : at + 4]
-            options = memo.get(head)
-            if options is None:
-                options = self._options(head)
-            for j in range(k, len(options)):
-                size, piece = options[j]
+            for size, piece, weight in leaving(head) or self._arcs(head):
                 if piece is None:
                     piece = get(s[at : at + size])
                     if piece is None or at + size > n:
                         continue
-                if dead and at + size in dead:
-                    continue
-                if last >= 0 and piece >= 0:
-                    ok = passes.get(last << 20 | piece)
-                    if not (self.accepts(last, piece) if ok is None else ok):
-                        continue
-                path.append(piece)
-                taken.append((at, j))
-                at, k, last = at + size, 0, piece
-                break
-            else:
-                dead.add(at)
-                path.pop()
-                at, k = taken.pop()
-                k += 1
-                last = path[-1] if path else -1
-        return path
-
-    def _options(self, head: str) -> tuple[tuple[int, int | None], ...]:
-        """Arcs for a text that goes on with up to four characters, longest first; arcs beyond these are named by length alone."""
-        if len(self.options) > 100_000:
-            self.options.clear()
-        more = [(n, None) for n in self.lengths.get(head, ())] if len(head) == 4 else []
-        near = [(n, self.arcs[head[:n]]) for n in range(len(head), 0, -1) if head[:n] in self.arcs]
-        if not near or near[-1][0] > 1:
-            near.append((1, -1 - ord(head[0])))
-        found = self.options[head] = (*more, *near)
-        return found
-
-    def _best_path(self, s: str) -> list[int]:
-        """The lightest path of a unigram model's lattice; of equals the one whose last arcs begin first."""
-        n = len(s)
-        cost, back = [0.0] + [np.inf] * n, [(0, 0)] * (n + 1)
-        for at in range(n):
-            for length in range(1, min(self.longest, n - at) + 1):
-                piece = self.arcs.get(s[at : at + length])
-                if piece is None and length > 1:
-                    continue
-                new = cost[at] + (self.unknown if piece is None else self.weight[piece])
-                if new < cost[at + length]:
-                    cost[at + length], back[at + length] = new, (at, -1 - ord(s[at]) if piece is None else piece)
-        path = []
-        while n:
-            n, piece = back[n]
-            path.append(piece)
+                    weight = weights[piece]
+                best = None
+                for state in here:
+                    if merges and piece >= 0 and state[1] >= 0:
+                        ok = passes(state[1] << 20 | piece)
+                        if not (accepts(state[1], piece) if ok is None else ok):
+                            continue
+                    if best is None or state[0] < best[0]:
+                        best = state
+                if best is not None:
+                    to = at + size
+                    if states[to] is None:
+                        states[to] = [(best[0] + weight, piece, best)]
+                    else:
+                        states[to].append((best[0] + weight, piece, best))
+        state, path = min(states[n], key=lambda x: x[0]), []
+        while state[2] is not None:
+            path.append(state[1])
+            state = state[2]
         return path[::-1]
 
     @lru_cache(maxsize=64)  # noqa: B019  one transducer lives as long as its worker
@@ -203,36 +201,36 @@ class Transducer:
             names[k : k + 2] = [names[k] + names[k + 1]]
 
     def _chunk(self, chunk: str) -> bytes:
-        word = chunk.lstrip(" ")
+        word = chunk.lstrip(BLANK)
         blanks = len(chunk) - len(word)
         if not self.merges:
-            path = self._best_path(BLANK * blanks + word)
+            path = self._shortest(chunk)
         elif not word:
             path = list(self._blanks(blanks))
-        else:
-            path = self._only_path(BLANK + word if blanks else word)
+        else:  # the last blank may join the word; the blanks before it merge among themselves
+            path = self._shortest(chunk[blanks - 1 :] if blanks else word)
             if blanks:
                 own = path[0] == self.blank
                 path = [*self._blanks(blanks - 1 + own), *path[own:]]
-        ids = path if not path or min(path) >= 0 else [i for p in path for i in ((p,) if p >= 0 else (self.byte[b] for b in chr(-1 - p).encode()))]
+        ids = path if not path or min(path) >= 0 else [i for p in path for i in ((p,) if p >= 0 else (self.byte[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")))]
         return array(self.code, ids).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; null and empty texts have none. U+2581 in a text is a blank, as in the library."""
         if not text:
             return np.empty(0, self.width)
-        chunks = _CHUNK.findall(" " + text.replace(BLANK, " "))
-        known, out = self.known, []
+        chunks = _CHUNK.findall(BLANK + text.translate(self.normal))
+        out = []
         for at in range(0, len(chunks), 20_000):
             part = chunks[at : at + 20_000]
-            new = set(part).difference(known)
-            if new:
-                if len(known) + len(new) > CHUNKS_KEPT:
-                    known.clear()
-                    new = set(part)
-                for chunk in new:
-                    known[chunk] = self._chunk(chunk)
-            out.append(b"".join(map(known.__getitem__, part)))
+            own = set(part)
+            self.often |= own & self.known.keys()
+            if len(self.known) + len(own) > CHUNKS_KEPT:  # those that came again stay
+                self.known = {c: self.known[c] for c in self.often} if len(self.often) < CHUNKS_KEPT // 2 else {}
+                self.often = set()
+            for chunk in own - self.known.keys():
+                self.known[chunk] = self._chunk(chunk)
+            out.append(b"".join(map(self.known.__getitem__, part)))
         return np.frombuffer(b"".join(out), self.width)
 
     def decode(self, ids) -> str:
