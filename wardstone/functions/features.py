@@ -1,15 +1,18 @@
 """Hashed n-gram features of normalised messages.
 
-Two hash lanes: 'md5' stays in built-in expressions; 'blake2b' is the exact 64-bit hash in an Arrow UDF. A key
-adds +1 or -1 (by the hash's top bit) to the bucket hash modulo buckets; rows are scaled to length 1.
+A key adds +1 or -1 (by the hash's top bit) to the bucket hash modulo buckets; rows are scaled to length 1. A text's
+keys never leave its row: one Arrow pass hashes the distinct keys of a batch and sums them per text, so that
+features need no shuffle. Two hash lanes: 'md5', which SQL can follow, and 'blake2b', the exact 64-bit hash.
 """
 
 from __future__ import annotations
 
-from hashlib import blake2b
+from collections.abc import Callable
+from hashlib import blake2b, md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,41 +55,130 @@ def bucket_and_sign(key: Column, buckets: int = BUCKETS) -> tuple[Column, Column
 
 def hashed(df: DataFrame, text: str, id_col: str, buckets: int = BUCKETS) -> DataFrame:
     """(id, bucket, count): signed counts; keys that cancel leave a zero."""
-    bucket, sign = bucket_and_sign(F.col("key"), buckets)
-    return keys(df, text, id_col).select(id_col, bucket.alias("bucket"), sign.alias("sign")).groupBy(id_col, "bucket").agg(F.sum("sign").alias("count"))
+    rows = df.select(id_col, row_features(tokens(F.col(text)), "md5", False, buckets).alias("f"))
+    return rows.select(id_col, F.inline(F.arrays_zip(F.col("f.buckets").alias("bucket"), F.col("f.values").alias("count"))))
 
 
-def unit_rows(counts: DataFrame, id_col: str) -> DataFrame:
+def unit_rows(df: DataFrame, text: str, id_col: str, buckets: int = BUCKETS) -> DataFrame:
     """(id, bucket, value): rows scaled to length 1 where they have a length."""
-    norm = counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("norm"))
-    return counts.join(norm, id_col).select(id_col, "bucket", F.when(F.col("norm") > 0, F.col("count") / F.col("norm")).otherwise(F.col("count")).alias("value"))
+    rows = df.select(id_col, row_features(tokens(F.col(text)), "md5", True, buckets).alias("f"))
+    return rows.select(id_col, F.inline(F.arrays_zip(F.col("f.buckets").alias("bucket"), F.col("f.values").alias("value"))))
 
 
-def linear_scores(rows: DataFrame, weights: DataFrame, bias: float, id_col: str) -> DataFrame:
-    """(id, score): bias plus the rows' weighted sum; weights (bucket, weight) hold a row per bucket, so they are broadcast."""
-    joined = rows.join(F.broadcast(weights), "bucket", "left")
-    return joined.groupBy(id_col).agg((F.sum(F.col("value") * F.coalesce("weight", F.lit(0.0))) + bias).alias("score"))
+def scorer(weights: DataFrame, bias: float, lane: str = "md5") -> Callable[[Column], Column]:
+    """A column function: bias plus the weighted sum of a text's unit row; weights (bucket, weight) hold a row per bucket."""
+    known = np.zeros(BUCKETS)
+    for r in weights.collect():  # BUCKETS rows at most
+        known[r["bucket"]] = r["weight"]
+    shared = weights.sparkSession.sparkContext.broadcast(known)
+
+    @F.arrow_udf(T.DoubleType())
+    def score(joined: pa.Array) -> pa.Array:
+        out = [np.empty(0)]
+        for begin, bucket, value in _sparse(joined, lane, True, BUCKETS):
+            part = np.r_[0.0, np.cumsum(shared.value[bucket] * value)]
+            out.append(part[begin[1:]] - part[begin[:-1]])
+        return pa.array(np.concatenate(out) + bias)
+
+    return lambda text: score(F.array_join(tokens(text), " "))
 
 
 def stable_hash(key: str) -> int:
     return int.from_bytes(blake2b(key.encode(), digest_size=8).digest(), "big")
 
 
+def _md5_place(key: str, buckets: int) -> tuple[int, float]:
+    digest = md5(key.encode("utf-8", "surrogatepass")).digest()
+    return int.from_bytes(digest[6:8], "big") % buckets, 1.0 if digest[0] >= 128 else -1.0
+
+
+def _exact_place(key: str, buckets: int) -> tuple[int, float]:
+    h = stable_hash(key)
+    return h % buckets, 1.0 if h >> 63 else -1.0
+
+
+PLACES = {"md5": _md5_place, "blake2b": _exact_place}
+CHARS = 1_000_000  # characters that are hashed at a time
+
+
+def _placed(texts: list[str], lane: str, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, sign) of every key of texts, each the blank-joined tokens of a message; a key is hashed once."""
+    place = PLACES[lane]
+
+    def table(keys) -> np.ndarray:
+        return np.array([place(k, buckets) for k in keys], float).reshape(-1, 2)
+
+    flat = [t.split(" ") if t else [] for t in texts]
+    size = np.array([len(w) for w in flat])
+    of, found = np.repeat(np.arange(len(texts)), size), []
+    code, words = pd.factorize(np.array([w for own in flat for w in own], object))
+    found.append((of, table(f"w1:{w}" for w in words)[code]))
+    if WORD_GRAM > 1 and len(of) > 1:
+        same = of[1:] == of[:-1]
+        pair, at = np.unique(code[:-1][same] * len(words) + code[1:][same], return_inverse=True)
+        found.append((of[1:][same], table(f"w2:{words[p // len(words)]} {words[p % len(words)]}" for p in pair)[at]))
+    padded = "".join(f" {t} " for t in texts)
+    length = np.array([len(t) + 2 for t in texts])
+    points = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), "<u4")
+    letters, dense = np.unique(points, return_inverse=True)
+    own = np.repeat(np.arange(len(texts)), length)
+    if len(points) >= CHAR_GRAM:
+        start = np.flatnonzero(own[: len(own) - CHAR_GRAM + 1] == own[CHAR_GRAM - 1 :])
+        gram = np.zeros(len(start), np.int64)
+        if len(letters) < 1 << (63 // CHAR_GRAM):
+            for i in range(CHAR_GRAM):
+                gram = gram * len(letters) + dense[start + i]
+        else:  # more characters than the packed grams can tell apart
+            gram = pd.factorize(np.array([padded[i : i + CHAR_GRAM] for i in start.tolist()], object))[0]
+        _, first, at = np.unique(gram, return_index=True, return_inverse=True)
+        found.append((own[start], table(f"c:{padded[i : i + CHAR_GRAM]}" for i in start[first].tolist())[at]))
+    of, places = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+    return of, places[:, 0].astype(np.int64), places[:, 1]
+
+
+def _sparse(joined: pa.Array, lane: str, unit: bool, buckets: int):
+    """(begin, bucket, value) for slices of a batch in order: the cells of text i lie at begin[i] to begin[i + 1]."""
+    texts, at = [t or "" for t in joined.to_pylist()], 0
+    while at < len(texts):
+        upto, chars = at + 1, len(texts[at])
+        while upto < len(texts) and chars + len(texts[upto]) <= CHARS:
+            chars += len(texts[upto])
+            upto += 1
+        of, bucket, sign = _placed(texts[at:upto], lane, buckets)
+        cell, where = np.unique(of * buckets + bucket, return_inverse=True)
+        value = np.bincount(where, sign, len(cell))
+        row = cell // buckets
+        if unit:
+            norm = np.sqrt(np.bincount(row, value * value, upto - at))
+            value = value / np.where(norm > 0, norm, 1.0)[row]
+        yield np.searchsorted(row, np.arange(upto - at + 1)), cell % buckets, value
+        at = upto
+
+
+FEATURES = T.StructType().add("buckets", T.ArrayType(T.IntegerType())).add("values", T.ArrayType(T.DoubleType()))
+
+
+def row_features(words: Column, lane: str = "blake2b", unit: bool = True, buckets: int = BUCKETS) -> Column:
+    """struct(buckets, values): the cells of a text's tokens in order of their buckets."""
+
+    @F.arrow_udf(FEATURES)
+    def cells(joined: pa.Array) -> pa.Array:
+        parts = list(_sparse(joined, lane, unit, buckets))
+        begin = np.concatenate([[0], *(np.diff(b) for b, *_ in parts)]).cumsum()
+        bucket = np.concatenate([np.empty(0, np.int64), *(x for _, x, _ in parts)]).astype(np.int32)
+        value = np.concatenate([np.empty(0), *(x for *_, x in parts)])
+        lists = [pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(x)) for x in (bucket, value)]
+        return pa.StructArray.from_arrays(lists, ["buckets", "values"])
+
+    return cells(F.array_join(words, " "))
+
+
+def exact_features(words: Column) -> Column:
+    """Buckets and unit values of a text's tokens under the exact hash."""
+    return row_features(words)
+
+
 def exact_row(words: list[str], buckets: int = BUCKETS) -> tuple[list[int], list[float]]:
-    """Buckets and unit values of one text's tokens under the exact hash."""
-    padded = f" {' '.join(words)} "
-    own = [f"w{n}:{' '.join(words[i : i + n])}" for n in range(1, WORD_GRAM + 1) for i in range(len(words) - n + 1)]
-    own += [f"c:{padded[i : i + CHAR_GRAM]}" for i in range(len(padded) - CHAR_GRAM + 1)]
-    if not own:
-        return [], []
-    h = np.array([stable_hash(k) for k in own], np.uint64)
-    at, inverse = np.unique(h % np.uint64(buckets), return_inverse=True)
-    value = np.bincount(inverse, np.where(h >> np.uint64(63), 1.0, -1.0))
-    norm = np.sqrt(value @ value)
-    return at.tolist(), (value / norm if norm > 0 else value).tolist()
-
-
-@F.pandas_udf(T.StructType().add("buckets", T.ArrayType(T.IntegerType())).add("values", T.ArrayType(T.DoubleType())))
-def exact_features(words: pd.Series) -> pd.DataFrame:
-    rows = [exact_row([] if w is None else list(w)) for w in words]
-    return pd.DataFrame({"buckets": [b for b, _ in rows], "values": [v for _, v in rows]})
+    """exact_features of one text's tokens."""
+    [(_, bucket, value)] = _sparse(pa.array([" ".join(words)]), "blake2b", True, buckets)
+    return bucket.tolist(), value.tolist()

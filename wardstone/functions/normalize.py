@@ -72,10 +72,22 @@ def rot13(c: Column) -> Column:
     return F.translate(c, ROT13_FROM, ROT13_TO)
 
 
+def any_word(words: list[str]) -> str:
+    """A pattern for any of words, branching at the first letter."""
+    groups: dict[str, list[str]] = {}
+    for w in sorted(words, key=len, reverse=True):
+        groups.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(first + "(?:" + "|".join(rest) + ")" for first, rest in groups.items()) + ")"
+
+
+FUNCTION_WORD = "(?<![a-z'])" + any_word(FUNCTION_WORDS) + "(?![a-z'])"
+
+
 def function_word_density(c: Column) -> Column:
     """Share of words that are function words; 0 below four words."""
-    known = F.array(*map(F.lit, FUNCTION_WORDS))
-    return let(F.regexp_extract_all(F.lower(c), F.lit("[A-Za-z']+"), F.lit(0)), lambda w: F.when(F.size(w) < MIN_WORDS, 0.0).otherwise(F.size(F.filter(w, lambda x: F.array_contains(known, x))) / F.size(w)))
+    lower = F.lower(c)
+    words = F.regexp_count(lower, F.lit("[a-z']+"))
+    return F.when(words < MIN_WORDS, 0.0).otherwise(F.regexp_count(lower, F.lit(FUNCTION_WORD)) / words)
 
 
 def printable_ratio(c: Column) -> Column:
@@ -93,14 +105,14 @@ def _utf8(c: Column) -> Column:
 
 
 def decode_base64(c: Column, budget: Column | None = None) -> Column:
-    """Readable UTF-8 texts of a text's base64 runs, in order; runs are cut to whole groups of four."""
+    """Readable UTF-8 texts of a text's base64 runs, in order; runs are cut to whole groups of four. Texts without runs take one search."""
     budget = F.lit(BUDGET) if budget is None else budget
     runs = F.transform(F.regexp_extract_all(c, F.lit(BASE64_RUN), F.lit(0)), lambda x: F.substring(x, F.lit(1), F.length(x) - F.length(x) % 4))
     raw = F.filter(F.transform(F.filter(runs, lambda x: F.length(x) >= MIN_BASE64), lambda x: F.try_to_binary(x, F.lit("base64"))), lambda b: b.isNotNull() & (F.octet_length(b) <= budget))
     texts = F.filter(F.transform(raw, _utf8), _readable)
     zero = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("spent"))
     step = lambda a, t: F.when(a.spent > budget, a).otherwise(F.struct(F.concat(a.kept, F.array(t)).alias("kept"), (a.spent + F.length(t)).alias("spent")))
-    return F.aggregate(texts, zero, step)["kept"]
+    return F.when(c.rlike(BASE64_RUN), F.aggregate(texts, zero, step)["kept"]).otherwise(F.array().cast("array<string>"))
 
 
 def decode_hex(c: Column, budget: Column | None = None) -> Column:
@@ -108,13 +120,12 @@ def decode_hex(c: Column, budget: Column | None = None) -> Column:
     budget = F.lit(BUDGET) if budget is None else budget
     runs = F.transform(F.regexp_extract_all(c, F.lit(HEX_RUN_POSSESSIVE), F.lit(0)), lambda x: F.regexp_replace(x, r"[ \t]", ""))
     fit = F.filter(runs, lambda x: (F.length(x) % 2 == 0) & (F.length(x) / 2 <= budget))
-    return F.filter(F.transform(fit, lambda x: _utf8(F.unhex(x))), _readable)
+    return F.when(c.rlike(HEX_RUN_POSSESSIVE), F.filter(F.transform(fit, lambda x: _utf8(F.unhex(x))), _readable)).otherwise(F.array().cast("array<string>"))
 
 
 def decode_substitution(c: Column) -> Column:
     """The text in rot13 and reversed, each where that raises the share of function words enough."""
-    enough = function_word_density(c) + MIN_GAIN
-    return F.filter(F.array(rot13(c), F.reverse(c)), lambda x: function_word_density(x) >= enough)
+    return let(function_word_density(c) + MIN_GAIN, lambda enough: F.filter(F.array(rot13(c), F.reverse(c)), lambda x: function_word_density(x) >= enough))
 
 
 def _discover(c: Column, budget: Column) -> Column:

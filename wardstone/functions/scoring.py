@@ -67,9 +67,10 @@ def zero_width_signal(original: Column) -> Column:
 def script_mixing_signal(original: Column) -> Column:
     """Words with letters of two of Latin (without the fullwidth block), Cyrillic and Greek, times four."""
     words = F.regexp_extract_all(original, F.lit(r"\p{L}+"), F.lit(0))
-    latin, cyrillic, greek = r"[\p{IsLatin}&&[^Ａ-Ｚａ-ｚ]]", r"\p{IsCyrillic}", r"\p{IsGreek}"
-    mixed = lambda w: sum((w.rlike(s).cast("int") for s in (latin, cyrillic, greek)), F.lit(0)) >= 2
-    return N.let(words, lambda w: _share(F.size(F.filter(w, mixed)), F.size(w), 4))
+    scripts = (r"[\p{IsLatin}&&[^Ａ-Ｚａ-ｚ]]", r"\p{IsCyrillic}", r"\p{IsGreek}")
+    two = lambda c: sum((c.rlike(s).cast("int") for s in scripts), F.lit(0)) >= 2
+    # most texts hold one script, and none of their words can mix two
+    return F.when(two(original), N.let(words, lambda w: _share(F.size(F.filter(w, two)), F.size(w), 4))).otherwise(0.0)
 
 
 def encoded_blob_signal(original: Column) -> Column:
@@ -81,12 +82,14 @@ def expansion_signal(original: Column, norm: Column) -> Column:
     return _share(F.length(norm) - F.length(original), F.length(original), 2)
 
 
+#: Where a sentence that is not blank begins, and one whose first run of letters is a command
+SENTENCE = r"(?U)(?<![^.!?\n])[^.!?\n]*[^.!?\n\s]"
+COMMAND = r"(?<![^.!?\n])[^.!?\n\p{L}]*" + N.any_word(COMMANDS) + r"(?!\p{L})"
+
+
 def imperative_signal(norm: Column) -> Column:
     """Share of sentences whose first word is a command."""
-    verbs = F.array(*map(F.lit, COMMANDS))
-    sentences = F.filter(F.transform(F.regexp_extract_all(norm, F.lit(r"[^.!?\n]+"), F.lit(0)), N.strip), lambda s: s != "")
-    starts = lambda s: F.array_contains(verbs, F.lower(F.regexp_extract(s, r"\p{L}+", 0)))
-    return N.let(sentences, lambda s: _share(F.size(F.filter(s, starts)), F.size(s)))
+    return _share(F.regexp_count(F.lower(norm), F.lit(COMMAND)), F.regexp_count(norm, F.lit(SENTENCE)))
 
 
 def _half_count(c: Column, pattern: str, triggers: Iterable[str]) -> Column:

@@ -13,6 +13,7 @@ from wardstone.functions.registry import FAMILIES, disabled_for
 from wardstone.functions.scoring import sigmoid
 from wardstone.operators import metrics as M
 from wardstone.operators import training as T
+from wardstone.tables import shared_table
 
 
 class Refusal(ValueError):
@@ -106,6 +107,6 @@ def evaluate(training: DataFrame, evaluation: DataFrame, budget: float = 0.01, f
         if "none" in own:
             every = M.with_position(evaluation.where("label = 'attack'"), "ordinal").where(F.col("position") % len(families) == 0)
             found = found.unionByName(fold_scores(feature_rows(every, disabled).withColumn("family", F.lit("none")), fitted, own))
-        found = found.localCheckpoint()  # the measures read scores many times; plans of whole normalisations in each take minutes to analyse
+        found = shared_table(found, "scores")  # the measures read scores many times; plans of whole normalisations in each take minutes to analyse
         scores = found if scores is None else scores.unionByName(found)
     return measured_results(scores, budget)

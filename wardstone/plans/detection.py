@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardstone.functions import features as X
 from wardstone.functions import normalize as N
 from wardstone.functions import scoring as S
 from wardstone.functions.registry import FAMILIES, RULES, SIGNALS, countermeasures, disabled_for, plain_regex
 from wardstone.plans.graft import MESSAGES_SQL, messages, sql_text
+from wardstone.plans.learning import CLOSED_FORM_SQL, closed_form_weights, keys_sql
 
 # -- Spark -----------------------------------------------------------------------------------------------
 
@@ -67,7 +69,7 @@ def printable_ratio(spark, sf_dir):
 
 
 def rule_hits(spark, sf_dir):
-    df = messages(spark, sf_dir).select("doc_id", char_norm_exact(F.col("text")).alias("norm"))
+    df = _base(spark, sf_dir).select("doc_id", "norm")
     return df.select("doc_id", F.explode(S.rule_hits(F.col("norm"), evidence=True)).alias("h")).select("doc_id", "h.rule_id", "h.weight", F.col("h.start").cast("long").alias("start"), F.col("h.end").cast("long").alias("end"), "h.matched")
 
 
@@ -78,13 +80,13 @@ def rule_counts(spark, sf_dir):
 
 def rules_for_fold(spark, sf_dir):
     """Rules left to each fold, and the hits each fold loses."""
-    hits = messages(spark, sf_dir).select("doc_id", char_norm_exact(F.col("text")).alias("norm")).select("doc_id", F.explode(S.rule_hits(F.col("norm"))).alias("h")).groupBy(F.col("h.rule_id").alias("name")).agg(F.count("*").alias("hits"))
+    hits = _base(spark, sf_dir).select("doc_id", F.explode(S.rule_hits(F.col("norm"))).alias("h")).groupBy(F.col("h.rule_id").alias("name")).agg(F.count("*").alias("hits"))
     known = countermeasures(spark).where("layer = 'rule'").select("name", F.explode("motivated_by").alias("family"))
     return known.join(F.broadcast(hits), "name", "left").groupBy("family").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("disabled"), F.sum(F.coalesce("hits", F.lit(0))).alias("hits_lost"))
 
 
 def signal_table(spark, sf_dir):
-    df = messages(spark, sf_dir).withColumn("norm", char_norm_exact(F.col("text")))
+    df = _base(spark, sf_dir)
     values = S.signal_values(F.col("text"), F.col("norm"))
     return df.select("doc_id", *[F.round(v.cast("double"), 9).alias(k.split(".")[1]) for k, v in values.items()])
 
@@ -107,7 +109,7 @@ def _decisions(enforce):
 
 
 def decision_by_rules(spark, sf_dir):
-    df = messages(spark, sf_dir).withColumn("norm", char_norm_exact(F.col("text")))
+    df = _base(spark, sf_dir)
     score = S.decision_score(S.rule_layer(S.rule_hits(F.col("norm"))), F.lit(0.0))
     return df.select("source", S.decide(score, enforce=True, flag=0.4, block=0.54).alias("decision")).groupBy("source", "decision").agg(F.count("*").alias("n"))
 
@@ -117,6 +119,15 @@ def verdict_reasons(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", F.array_join(why, ",").alias("reasons"), S.explain(S.decide(F.col("score")), F.col("score"), why).alias("explanation"))
 
 
+def five_layers(spark, sf_dir):
+    """All five layers of normalised messages, the model being linear weights in closed form over the built-in hash lane."""
+    linear = X.scorer(closed_form_weights(spark), 0.25)
+    df = _base(spark, sf_dir).select("doc_id", S.rule_layer(S.rule_hits(F.col("norm"))).alias("r"), S.signal_layer(S.signal_hits(F.col("text"), F.col("norm"))).alias("s"), linear(F.col("norm")).alias("z"))
+    df = df.withColumn("m", S.sigmoid(F.col("z")))
+    decision = S.decision_score(F.col("r"), F.col("s"), F.col("m"))
+    return df.select("doc_id", F.round("r", 6).alias("rules"), F.round("s", 6).alias("signals"), F.round("m", 6).alias("model"), F.round(S.combined_layer(F.col("r"), F.col("s"), F.col("m")), 6).alias("combined"), F.round(decision, 6).alias("decision"))
+
+
 def fingerprint(spark, sf_dir):
     return messages(spark, sf_dir).select("doc_id", S.fingerprint(F.col("text"), "pepper").alias("fingerprint"), F.length("text").cast("long").alias("length"))
 
@@ -191,7 +202,7 @@ def queries() -> dict:
         "norm_characters": _stage(char_norm), "decode_rot13_reverse": _stage(lambda c: F.concat(N.rot13(c), F.lit("|"), F.reverse(c))), "reassemble": _stage(N.reassemble), "decode_round": decode_round,
         "stopword_density": stopword_density, "printable_ratio": printable_ratio, "normalize_pipeline": normalize_pipeline, "normalize_fold_disabled": normalize_fold_disabled, "nfkc_exact": nfkc_exact,
         "rule_hits": rule_hits, "rule_counts": rule_counts, "rules_for_fold": rules_for_fold, "signal_table": signal_table, "layer_scores": layer_scores, "char_layer_scores": char_layer_scores,
-        "decision_monitor": _decisions(False), "decision_enforce": _decisions(True), "decision_by_rules": decision_by_rules, "verdict_reasons": verdict_reasons, "fingerprint": fingerprint,
+        "decision_monitor": _decisions(False), "decision_enforce": _decisions(True), "decision_by_rules": decision_by_rules, "verdict_reasons": verdict_reasons, "five_layers": five_layers, "fingerprint": fingerprint,
     }
 
 
@@ -204,16 +215,19 @@ def oracle_sql() -> dict[str, str]:
         "stopword_density": f"WITH {MESSAGES_SQL} SELECT doc_id, round(CASE WHEN len({_DENSITY_WORDS}) < 4 THEN 0.0 ELSE CAST(len(list_filter({_DENSITY_WORDS}, lambda w: list_contains([{', '.join(map(sql_text, N.FUNCTION_WORDS))}], w))) AS DOUBLE) / len({_DENSITY_WORDS}) END, 9) AS density FROM m",
         "printable_ratio": f"WITH {MESSAGES_SQL} SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0.0 ELSE 1 - CAST(len(regexp_extract_all(replace(replace(replace(text, chr(10), ''), chr(9), ''), ' ', ''), '[\\p{{Cc}}\\p{{Co}}\\p{{Z}}]')) AS DOUBLE) / length(text) END, 9) AS ratio FROM m",
         "normalize_fold_disabled": f"WITH {MESSAGES_SQL} SELECT doc_id, {_FOLD(_WS('text'))} AS norm, 'whitespace,casefold' AS applied, '{','.join(off)}' AS skipped FROM m",
-        "rule_hits": f"{_HEAD}, " + _RULE_TABLE + f", h AS (SELECT doc_id, norm, unnest({_HITS}) AS pos FROM c), x AS (SELECT doc_id, norm, pos, CASE pos " + " ".join(f"WHEN {i} THEN regexp_extract(norm, {sql_text(plain_regex(r.pattern))})" for i, r in enumerate(RULES)) + " END AS w, CASE pos " + " ".join(f"WHEN {i} THEN length(list_extract(string_split_regex(norm, {sql_text(plain_regex(r.pattern))}), 1))" for i, r in enumerate(RULES)) + " END AS s FROM h) SELECT doc_id, rule_id, weight, CAST(s AS BIGINT) AS start, CAST(s + length(w) AS BIGINT) AS \"end\", left(w, 120) AS matched FROM x JOIN r USING (pos)",
-        "rules_for_fold": f"{_HEAD}, " + _RULE_TABLE + f", h AS (SELECT pos, count(*) AS n FROM (SELECT unnest({_HITS}) AS pos FROM c) GROUP BY pos) SELECT family, string_agg(rule_id, ',' ORDER BY rule_id) AS disabled, CAST(sum(coalesce(n, 0)) AS BIGINT) AS hits_lost FROM r LEFT JOIN h USING (pos) GROUP BY family",
-        "signal_table": f"{_HEAD} SELECT doc_id, " + ", ".join(f"round({sql}, 9) AS {name.split('.')[1]}" for name, sql in _SIGNALS.items()) + " FROM c",
+        "rule_hits": f"{_FULL}, " + _RULE_TABLE + f", h AS (SELECT doc_id, norm, unnest({_HITS}) AS pos FROM c), x AS (SELECT doc_id, norm, pos, CASE pos " + " ".join(f"WHEN {i} THEN regexp_extract(norm, {sql_text(plain_regex(r.pattern))})" for i, r in enumerate(RULES)) + " END AS w, CASE pos " + " ".join(f"WHEN {i} THEN length(list_extract(string_split_regex(norm, {sql_text(plain_regex(r.pattern))}), 1))" for i, r in enumerate(RULES)) + " END AS s FROM h) SELECT doc_id, rule_id, weight, CAST(s AS BIGINT) AS start, CAST(s + length(w) AS BIGINT) AS \"end\", left(w, 120) AS matched FROM x JOIN r USING (pos)",
+        "rules_for_fold": f"{_FULL}, " + _RULE_TABLE + f", h AS (SELECT pos, count(*) AS n FROM (SELECT unnest({_HITS}) AS pos FROM c) GROUP BY pos) SELECT family, string_agg(rule_id, ',' ORDER BY rule_id) AS disabled, CAST(sum(coalesce(n, 0)) AS BIGINT) AS hits_lost FROM r LEFT JOIN h USING (pos) GROUP BY family",
+        "signal_table": f"{_FULL} SELECT doc_id, " + ", ".join(f"round({sql}, 9) AS {name.split('.')[1]}" for name, sql in _SIGNALS.items()) + " FROM c",
         "char_layer_scores": f"{_HEAD}, l AS (SELECT doc_id, {_RULE_LAYER} AS r, {_SIGNAL_LAYER} AS s FROM c) SELECT doc_id, round(r, 6) AS rules, round(s, 6) AS signals, round(1 - (1 - 0.9::DOUBLE * r) * (1 - 0.65::DOUBLE * s), 6) AS decision, round(1 - (1 - 0.9::DOUBLE * r) * (1 - 0.65::DOUBLE * s), 6) AS combined FROM l",
-        "decision_by_rules": f"{_HEAD}, l AS (SELECT source, 0.9::DOUBLE * ({_RULE_LAYER}) AS score FROM c) SELECT source, CASE WHEN score >= 0.54 THEN 'block' WHEN score >= 0.4 THEN 'flag' ELSE 'allow' END AS decision, count(*) AS n FROM l GROUP BY ALL",
+        "decision_by_rules": f"{_FULL}, l AS (SELECT source, 0.9::DOUBLE * ({_RULE_LAYER}) AS score FROM c) SELECT source, CASE WHEN score >= 0.54 THEN 'block' WHEN score >= 0.4 THEN 'flag' ELSE 'allow' END AS decision, count(*) AS n FROM l GROUP BY ALL",
         "decode_round": f"WITH {MESSAGES_SQL} SELECT doc_id, array_to_string({_BASE64('text')}, '|') AS base64, array_to_string({_HEX('text')}, '|') AS hex, len({_SUBST('text')}) AS n_substitutions FROM m",
         "normalize_pipeline": f"{_FULL} SELECT doc_id, norm, 'nfkc,zero_width,confusables,whitespace,decode,reassemble,casefold' || CASE WHEN grew THEN ',nfkc:2,zero_width:2,confusables:2,casefold:2' ELSE '' END AS applied, length(norm) > length({_FOLD(_WS('text'))}) AS expanded FROM c",
         "rule_counts": f"{_FULL}, {_RULE_TABLE}, h AS (SELECT unnest({_HITS}) AS pos FROM c) SELECT rule_id, count(*) AS n FROM h JOIN r USING (pos) GROUP BY rule_id",
         "layer_scores": f"{_LAYERS} SELECT doc_id, round(r, 6) AS rules, round(s, 6) AS signals, round(score, 6) AS decision, round(score, 6) AS combined FROM d",
         "decision_monitor": _decided(False), "decision_enforce": _decided(True),
+        "nfkc_exact": f"{_FULL} SELECT doc_id, norm FROM c",
+        "verdict_reasons": f"{_FULL}, v AS (SELECT doc_id, {_HITS} AS hits, {_RULE_LAYER} AS r, " + ", ".join(f"({sql})::DOUBLE AS s{i}" for i, sql in enumerate(_SIGNALS.values())) + " FROM c), d AS (SELECT doc_id, 1 - (1 - 0.9::DOUBLE * r) * (1 - 0.65::DOUBLE * (1 - " + " * ".join(f"(1 - CAST({x.weight} AS DOUBLE) * s{i})" for i, x in enumerate(SIGNALS)) + ")) AS score, array_to_string(list_concat(list_transform(hits, lambda i: list_extract([" + ", ".join(f"'{r.name}'" for r in RULES) + "], i + 1)), list_filter([" + ", ".join(f"CASE WHEN s{i} >= {S.REASON_FLOOR} THEN '{x.name}=' || printf('%.2f', round(s{i}, 2)) END" for i, x in enumerate(SIGNALS)) + "], lambda x: x IS NOT NULL)), ',') AS reasons FROM v) SELECT doc_id, reasons, CASE WHEN score >= 0.5 THEN 'flag' ELSE 'allow' END || ' at ' || printf('%.3f', round(score, 3)) || ' (' || CASE WHEN reasons = '' THEN 'no reasons' ELSE replace(reasons, ',', ', ') END || ')' AS explanation FROM d",
+        "five_layers": f"{_FULL}, {keys_sql('SELECT doc_id, norm AS text FROM c')}, x AS (SELECT doc_id, sum(n * {CLOSED_FORM_SQL}) / CASE WHEN sqrt(sum(n * n)) > 0 THEN sqrt(sum(n * n)) ELSE 1 END + 0.25 AS z FROM f GROUP BY doc_id), l AS (SELECT doc_id, {_RULE_LAYER} AS r, {_SIGNAL_LAYER} AS s, 1 / (1 + exp(-coalesce(z, 0.25))) AS m FROM c LEFT JOIN x USING (doc_id)) SELECT doc_id, round(r, 6) AS rules, round(s, 6) AS signals, round(m, 6) AS model, round(1 - (1 - 0.9::DOUBLE * r) * (1 - 0.65::DOUBLE * s) * (1 - 0.95::DOUBLE * m), 6) AS combined, round(m, 6) AS decision FROM l",
         "fingerprint": f"WITH {MESSAGES_SQL} SELECT doc_id, 'sha256:' || left(sha256('pepper' || chr(0) || text), 32) AS fingerprint, length(text) AS length FROM m",
     }
 

@@ -11,17 +11,17 @@ from wardstone.functions import features as X
 from wardstone.operators import corpus as C
 from wardstone.operators import evaluate as E
 from wardstone.operators import training as T
-from wardstone.tables import read_table
+from wardstone.tables import dealt_out, read_table
 
 #: A closed form in place of trained weights, so that SQL can score too
 WEIGHT = "((bucket * 37) % 101 - 50) / 1000.0D"
 
 
 def _docs(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    return dealt_out(read_table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
 
 
-def _weights(spark: SparkSession) -> DataFrame:
+def closed_form_weights(spark: SparkSession) -> DataFrame:
     return spark.range(X.BUCKETS).select(F.col("id").cast("int").alias("bucket")).withColumn("weight", F.expr(WEIGHT))
 
 
@@ -33,12 +33,12 @@ def tokens(spark, sf_dir):
 def word_ngrams(spark, sf_dir):
     """How often each word pair occurs per language."""
     rows = _docs(spark, sf_dir).select("lang", X.tokens(F.col("text")).alias("w")).select("lang", F.explode(X.word_grams(F.col("w"), 2)).alias("gram"))
-    return rows.groupBy("lang", "gram").agg(F.count("*").alias("n")).where("n >= 20")
+    return rows.groupBy("lang", "gram").agg(F.count("*").alias("n"))
 
 
 def char_ngrams(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("lang", X.tokens(F.col("text")).alias("w")).select("lang", F.explode(X.char_grams(F.col("w"))).alias("gram"))
-    return rows.groupBy("lang", "gram").agg(F.count("*").alias("n")).where("n >= 50")
+    return rows.groupBy("lang", "gram").agg(F.count("*").alias("n"))
 
 
 def hashed_features(spark, sf_dir):
@@ -47,17 +47,17 @@ def hashed_features(spark, sf_dir):
 
 
 def l2_rows(spark, sf_dir):
-    rows = X.unit_rows(X.hashed(_docs(spark, sf_dir), "text", "doc_id"), "doc_id")
+    rows = X.unit_rows(_docs(spark, sf_dir), "text", "doc_id")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.max(F.abs("value")), 9).alias("largest"), F.round(F.sum(F.abs("value")), 6).alias("l1"))
 
 
 def linear_score(spark, sf_dir):
-    rows = X.unit_rows(X.hashed(_docs(spark, sf_dir), "text", "doc_id"), "doc_id")
-    return X.linear_scores(rows, _weights(spark), 0.25, "doc_id").select("doc_id", F.round("score", 9).alias("score"))
+    score = X.scorer(closed_form_weights(spark), 0.25)
+    return _docs(spark, sf_dir).select("doc_id", F.round(score(F.col("text")), 9).alias("score"))
 
 
 def top_features(spark, sf_dir):
-    top = T.top_features(X.hashed(_docs(spark, sf_dir), "text", "doc_id"), _weights(spark), "doc_id")
+    top = T.top_features(X.hashed(_docs(spark, sf_dir), "text", "doc_id"), closed_form_weights(spark), "doc_id")
     return top.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("bucket").cast("long").alias("bucket"), F.round("contribution", 9).alias("contribution"))
 
 
@@ -117,18 +117,25 @@ def queries() -> dict:
 _TOKENS = "t AS MATERIALIZED (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+|\\p{Nd}+|[^\\s\\p{L}\\p{N}_]') AS w FROM documents)"
 _PAIRS = "list_transform(range(1, len(w)), lambda i: 'w2:' || w[i] || ' ' || w[i + 1])"
 _CHARS = "list_transform(range(1, length(p) - 2), lambda i: 'c:' || substring(p, i, 4))"
-_KEYS = f"{_TOKENS}, k AS (SELECT doc_id, unnest(list_concat(list_concat(list_transform(w, lambda x: 'w1:' || x), {_PAIRS}), {_CHARS})) AS key FROM (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS p FROM t)), f AS (SELECT doc_id, CAST('0x' || substr(md5(key), 13, 4) AS INT) % {X.BUCKETS} AS bucket, sum(CASE WHEN md5(key) >= '8' THEN 1.0::DOUBLE ELSE -1.0 END) AS n FROM k GROUP BY 1, 2)"
-_W = "((CAST((bucket * 37) % 101 AS DOUBLE) - 50) / 1000)"
+
+
+def keys_sql(messages: str) -> str:
+    """f(doc_id, bucket, n): hashed counts of messages (doc_id, text), as common table expressions."""
+    return f"tk AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+|\\p{{Nd}}+|[^\\s\\p{{L}}\\p{{N}}_]') AS w FROM ({messages})), k AS (SELECT doc_id, unnest(list_concat(list_concat(list_transform(w, lambda x: 'w1:' || x), {_PAIRS}), {_CHARS})) AS key FROM (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS p FROM tk)), f AS (SELECT doc_id, CAST('0x' || substr(md5(key), 13, 4) AS INT) % {X.BUCKETS} AS bucket, sum(CASE WHEN md5(key) >= '8' THEN 1.0::DOUBLE ELSE -1.0 END) AS n FROM k GROUP BY 1, 2)"
+
+
+_KEYS = keys_sql("SELECT doc_id, text FROM documents")
+CLOSED_FORM_SQL = _W = "((CAST((bucket * 37) % 101 AS DOUBLE) - 50) / 1000)"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "tokens": f"WITH {_TOKENS} SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM t",
-        "word_ngrams": f"WITH {_TOKENS} SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest({_PAIRS}) AS gram FROM t) GROUP BY ALL HAVING count(*) >= 20",
-        "char_ngrams": f"WITH {_TOKENS} SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest({_CHARS}) AS gram FROM (SELECT lang, ' ' || array_to_string(w, ' ') || ' ' AS p FROM t)) GROUP BY ALL HAVING count(*) >= 50",
+        "word_ngrams": f"WITH {_TOKENS} SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest({_PAIRS}) AS gram FROM t) GROUP BY ALL",
+        "char_ngrams": f"WITH {_TOKENS} SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest({_CHARS}) AS gram FROM (SELECT lang, ' ' || array_to_string(w, ' ') || ' ' AS p FROM t)) GROUP BY ALL",
         "hashed_features": f"WITH {_KEYS} SELECT bucket, count(*) AS rows, sum(n) AS total, max(n) AS largest FROM f GROUP BY bucket",
         "l2_rows": f"WITH {_KEYS}, u AS (SELECT doc_id, n / CASE WHEN sqrt(sum(n * n) OVER (PARTITION BY doc_id)) > 0 THEN sqrt(sum(n * n) OVER (PARTITION BY doc_id)) ELSE 1 END AS value FROM f) SELECT doc_id, count(*) AS n, round(max(abs(value)), 9) AS largest, round(sum(abs(value)), 6) AS l1 FROM u GROUP BY doc_id",
-        "linear_score": f"WITH {_KEYS} SELECT doc_id, round(sum(n * {_W}) / CASE WHEN sqrt(sum(n * n)) > 0 THEN sqrt(sum(n * n)) ELSE 1 END + 0.25, 9) AS score FROM f GROUP BY doc_id",
+        "linear_score": f"WITH {_KEYS} , z AS (SELECT doc_id, sum(n * {_W}) / CASE WHEN sqrt(sum(n * n)) > 0 THEN sqrt(sum(n * n)) ELSE 1 END AS z FROM f GROUP BY doc_id) SELECT doc_id, round(coalesce(z, 0) + 0.25, 9) AS score FROM documents LEFT JOIN z USING (doc_id)",
         "top_features": f"WITH {_KEYS}, c AS (SELECT doc_id, CAST(bucket AS BIGINT) AS bucket, n * {_W} AS contribution FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(contribution) DESC, bucket) AS rank FROM c) SELECT doc_id, rank, bucket, round(contribution, 9) AS contribution FROM r WHERE rank <= 5",
         "grammar_corpus": C.attacks_sql(5) + " SELECT doc_id, family, text FROM a",
         "grammar_dedup": C.attacks_sql(5) + ", r AS (SELECT family, row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS fresh FROM a) SELECT family, count(*) FILTER (fresh) AS kept, count(*) FILTER (NOT fresh) AS collisions FROM r GROUP BY family",
