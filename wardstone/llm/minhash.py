@@ -25,6 +25,7 @@ from wardstone.llm.common import broadcast_if_small, connected_components, disca
 MISSES = 1e-6  # the most likely share of linked pairs that no band finds
 VALUES = 256  # signature values, where the threshold allows
 BLOCK_SHINGLES, BLOCK_ROWS = 400_000, 500  # what one verifying task holds from each of its two sides
+IDS_SENT = 500_000  # ids of 24 bytes that are sent to the texts; more are joined by a shuffle
 WORDS_KEPT = 150_000  # word hashes a worker remembers
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -256,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub")
     met = shared_table(banded.join(hubs, "band"), "met")
     member = shared_table(met.select("rep").distinct().join(classes.select("rep", "digest", "n"), "rep"), "members")
-    texts = own.withColumnRenamed("doc_id", "rep").join(member.select("rep", "digest"), "rep").select("rep", "digest", "text")
+    texts = own.withColumnRenamed("doc_id", "rep").join(broadcast_if_small(member.select("rep", "digest"), IDS_SENT), "rep").select("rep", "digest", "text")
     sets = texts.mapInArrow(_sets(width), "rep long, digest binary, n long, set binary").dropDuplicates(["rep", "digest"])
     sets = shared_table(sets.select("rep", "n", "set"), "sets")
     sizes = shared_table(sets.groupBy("rep").agg(F.max("n").alias("n")), "sizes")
