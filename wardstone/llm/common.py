@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardstone.tables import discard, shared_path, shared_table
+
+__all__ = ["NOT_WORD", "broadcast_if_small", "connected_components", "discard", "fresh", "lower_ascii", "shared_path", "shared_table", "spread", "words_of"]
+
 #: Separators of the word class ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` (digits, a-z and everything beyond ASCII are word characters).
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -34,40 +36,6 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. A local folder of its own only where that is unset and
-    the master is local (tests); on a cluster an unset folder is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = getattr(shared_dir, "own", None)
-        if not folder:
-            folder = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="wardstone-")
-    return folder.rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it: lineage is cut and lost executors lose nothing."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.shared_at = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete shared tables that no later plan reads."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.shared_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """A broadcast hint only when df has at most max_rows rows (counted here); else Spark shuffles the join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

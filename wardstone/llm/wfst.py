@@ -14,8 +14,9 @@ A state of the composition is a position with the acceptor's state. Positions ar
 out of a position relaxes the state it leads to in the tropical semiring (sums along a path, the least over paths),
 and the least state at the end gives the path back.
 
-No piece spans a line break or starts a blank inside a word (checked when compiling), so the lattice has cut
-points there and falls into chunks, whose paths a worker remembers.
+No piece spans a line break or starts a blank inside a word (checked when compiling), nor do pieces hold some marks
+right after a letter or digit (looked up when compiling), so the lattice has cut points there and falls into
+chunks, whose paths a worker remembers.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 CHUNKS_KEPT = 250_000  # chunk paths a worker remembers
-_CHUNK = re.compile("▁*[^▁\n]+|▁+|\n")
+_MARKS = ".,!?;:\"'()[]{}<>/-"
+_WORDLIKE = re.compile(r"[^\W_]")
 
 
 class Transducer:
@@ -70,6 +72,10 @@ class Transducer:
         self.lengths = {s: tuple(sorted(n, reverse=True)) for s, n in beyond.items()}
         self.leaving: dict[str, tuple] = {}
         self.passes: dict[int, bool] = {}  # arcs of the acceptor found so far, and pairs without one
+        joined = {b for s in self.arcs for a, b in zip(s, s[1:], strict=False) if _WORDLIKE.match(a)}
+        marks = "".join(re.escape(c) for c in _MARKS if c not in joined)
+        word = rf"▁*[^\W_]++(?=[{marks}])|" if marks else ""
+        self.chunk = re.compile(word + r"▁*[^▁\n]+|▁+|\n")
         if any("\n" in s and len(s) > 1 or BLANK in s.lstrip(BLANK) for s in self.arcs):
             raise ValueError("pieces span cut points")
         self.blank = self.arcs.get(BLANK)
@@ -219,7 +225,7 @@ class Transducer:
         """Ids of a whole text; null and empty texts have none. U+2581 in a text is a blank, as in the library."""
         if not text:
             return np.empty(0, self.width)
-        chunks = _CHUNK.findall(BLANK + text.translate(self.normal))
+        chunks = self.chunk.findall(BLANK + text.translate(self.normal))
         out = []
         for at in range(0, len(chunks), 20_000):
             part = chunks[at : at + 20_000]
