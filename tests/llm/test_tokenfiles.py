@@ -1,6 +1,8 @@
+import json
 import zlib
 
 import numpy as np
+import pyarrow.fs
 import pytest
 
 from tests.llm.texts import ODD
@@ -21,10 +23,10 @@ def brute(rows):
     return out
 
 
-def run(spark, rows):
+def run(spark, rows, **kw):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, shard string")
     folder = shared_path(spark, "tokens")
-    shards, buckets = tokenfiles.write_tokens(df, folder, PATH, 1)
+    shards, buckets = tokenfiles.write_tokens(df, folder, PATH, 1, **kw)
     got = tokenfiles.read_tokens(tokenfiles.document_keys(df), folder, shards, buckets, "<u2").collect()
     return sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), folder
 
@@ -48,6 +50,50 @@ def test_small_index_buckets(spark, monkeypatch):
     assert int((tokenfiles.lookup(folder, 0, np.arange(1000, 1400), np.zeros(400, int))["length"] > 0).sum()) <= 1  # fingerprints turn strangers away
 
 
+def test_shards_follow_the_bytes_and_reads_their_windows(spark, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "READ_BYTES", 64)
+    rows = [(i, f"some text number {i} " * (i % 9)) for i in range(120)]
+    got, folder = run(spark, rows, shard_bytes=2_000)
+    files = pyarrow.fs.FileSystem.from_uri(folder)
+    shards = [f for f in files[0].get_file_info(pyarrow.fs.FileSelector(files[1])) if f.base_name.startswith("shard-")]
+    assert got == brute(rows) and len(shards) == -(-sum(len(t) for _, t in rows) // 2_000)
+
+
+def test_keyed_access_reads_one_slot(spark, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "KEYS_PER_BUCKET", 7)
+    rows = [(i * 37 - 500, f"text {i}") for i in range(60)] + [(5, "one"), (5, "two")]
+    _, folder = run(spark, rows)
+    tok = tokenfiles.tokenizer(PATH)
+    for i, text in rows[:60]:
+        assert tokenfiles.read_document(folder, 9, "<u2", i).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1]
+    both = [tokenfiles.read_document(folder, 9, "<u2", 5, k).tolist() for k in (0, 1)]
+    assert sorted(both) == sorted([*tok.encode(t, add_special_tokens=False).ids, 1] for t in ("one", "two"))
+    assert all(tokenfiles.read_document(folder, 9, "<u2", i) is None for i in range(10**6, 10**6 + 200))
+    keys = spark.createDataFrame([(i, k) for i in (-7, 0, 2**40) for k in (0, 3)], "i long, k int")
+    assert all(r.b == tokenfiles.bucket_of(r.i, r.k, 9) for r in keys.withColumn("b", tokenfiles._bucket_of("i", "k", 9)).collect())
+
+
+def test_a_task_that_runs_again_replaces_its_file(tmp_path):
+    for content in (b"first", b"second"):
+        tokenfiles.write_file(f"file://{tmp_path}", "shard-00000.bin", [content])
+    assert [p.read_bytes() for p in tmp_path.iterdir()] == [b"second"]
+
+
+def test_other_settings_encode_whole_texts(tmp_path):
+    other = catalog.tokenizer_path("byte_bpe_50k.json")
+    with open(PATH, encoding="utf-8") as f:
+        body = json.load(f)
+    body["normalizer"]["normalizers"].pop()  # no lower case
+    changed = tmp_path / "changed.json"
+    changed.write_text(json.dumps(body))
+    for path in (other, str(changed)):
+        own, tok = tokenfiles.Encoder(path, 1), tokenfiles.tokenizer(path)
+        assert not own.by_word
+        for t in TEXTS:
+            assert np.frombuffer(own(t), own.width).tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+    assert tokenfiles.Encoder(PATH, 1).by_word
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 999, 20_000])
 def test_perfect_hash_is_minimal(n):
     ids = np.random.default_rng(n).choice(10**12, n, replace=False)

@@ -9,8 +9,10 @@ temporary name and moved into place, so a task that runs twice leaves one whole
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import struct
 import uuid
 import zlib
 from array import array
@@ -21,13 +23,16 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardstone.llm.common import shared_table
+from wardstone.llm.common import broadcast_if_small, shared_table
 
 KEYS_PER_BUCKET = 50_000
+SHARD_BYTES = 32 << 20  # of text in a shard, on average
+READ_BYTES = 8 << 20  # that are read from a shard at a time
 WORDS_KEPT = 500_000  # encoded words a worker remembers, from task to task
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("length", "<u4")])
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -41,13 +46,20 @@ def _open(folder: str):
 
 
 def write_file(folder: str, name: str, chunks) -> None:
+    """Write a whole file under a temporary name and move it into place; a file that an earlier run of the task left there goes."""
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
     draft = f"{path}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(draft) as out:
         for chunk in chunks:
             out.write(chunk)
-    fs.move(draft, f"{path}/{name}")
+    settle(fs, draft, f"{path}/{name}")
+
+
+def settle(fs, draft: str, final: str) -> None:
+    if fs.get_file_info(final).type != pyarrow.fs.FileType.NotFound:
+        fs.delete_file(final)
+    fs.move(draft, final)
 
 
 # -- encoding --------------------------------------------------------------------------------------------
@@ -68,19 +80,33 @@ def id_width(vocabulary: int) -> str:
 
 
 class Encoder:
-    """Whole texts to packed ids. The tokenizer drops white space before anything else spans it, so words
-    between blanks encode alone; the library encodes each distinct word once while it is remembered.
+    """Whole texts to packed ids.
 
-    Words of plain Latin characters go to the library's merge model run by run, which skips its bookkeeping of
-    offsets: for them lower case, normal form and splitting are the same character by character.
+    Where the tokenizer's file says that white space separates words and nothing spans it, words between blanks
+    encode alone, and the library encodes each distinct word once while it is remembered. Where it also lower-cases,
+    composes and splits in the way of SPLIT, words of plain Latin characters go to the library's merge model run by
+    run, which skips its bookkeeping of offsets. With any other settings the library encodes whole texts.
     """
 
     PLAIN = re.compile(r"(?!.*<\|)[\x21-\x26\x28-\x7e\u00a1-\u012f\u0131-\u024f]+")
     RUNS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    #: Settings under which the two short ways are right
+    NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
 
     def __init__(self, path: str, end_id: int):
         self.tok, self.known, self.runs = tokenizer(path), {}, {}
         self.model = self.tok.model
+        with open(path, encoding="utf-8") as f:  # a library's own file, installed on every worker
+            said = json.load(f)
+        strings = [t["content"] for t in said.get("added_tokens", [])]
+        self.by_word = said.get("normalizer") == self.NORMAL and said.get("pre_tokenizer") == self.SPLIT and said.get("truncation") is None and all(t.startswith("<|") and not re.search(r"\s", t) for t in strings)
         self.width = id_width(max(self.tok.get_vocab_size(), end_id + 1))
         self.end = np.array([end_id], self.width).tobytes()
         self.code = "H" if self.width == "<u2" else "I"
@@ -107,6 +133,8 @@ class Encoder:
             self.known[w] = array(self.code, e.ids).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
+        if not self.by_word:
+            return array(self.code, self.tok.encode(text or "", add_special_tokens=False).ids).tobytes() + self.end
         words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         out = []
         for at in range(0, len(words), 20_000):
@@ -128,27 +156,36 @@ def encoder(path: str, end_id: int) -> Encoder:
 
 
 def _write_shards(folder: str, path: str, end_id: int):
+    """Write a partition's ids as one shard while its entries (doc_id, repeat, shard, at, n_tokens) stream on."""
+
     def run(batches):
         encode, shard = encoder(path, end_id), TaskContext.get().partitionId()
-        step, rows = np.dtype(encode.width).itemsize, []
-
-        def payload():
-            offset, last, seen = 0, None, 0
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = encode(text.as_py())
+        step, at, last, seen = np.dtype(encode.width).itemsize, 0, None, 0
+        fs, root = _open(folder)
+        out = None
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1_000):
+                part = batch.slice(first, 1_000)
+                ids = part.column(0).to_pylist()
+                repeat, size = [], []
+                for doc_id, text in zip(ids, part.column(1), strict=True):
+                    tokens = encode(text.as_py())
                     seen = seen + 1 if doc_id == last else 0
                     last = doc_id
-                    rows.append((doc_id, seen, shard, offset, len(ids) // step))
-                    offset += len(ids) // step
-                    yield ids
-
-        chunks = payload()
-        first = next(chunks, None)
-        if first is not None:
-            write_file(folder, f"shard-{shard:05d}.bin", (c for part in ([first], chunks) for c in part))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "repeat", "shard", "at", "n_tokens"])
+                    repeat.append(seen)
+                    size.append(len(tokens) // step)
+                    if out is None:
+                        fs.create_dir(root, recursive=True)
+                        draft = f"{root}/.shard-{shard:05d}.{uuid.uuid4().hex}"
+                        out = fs.open_output_stream(draft)
+                    out.write(tokens)
+                begin = at + np.r_[0, np.cumsum(size)]
+                at = int(begin[-1])
+                columns = [pa.array(ids, pa.int64()), pa.array(repeat, pa.int32()), pa.array([shard] * len(ids), pa.int32()), pa.array(begin[:-1], pa.int64()), pa.array(size, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "repeat", "shard", "at", "n_tokens"])
+        if out is not None:
+            out.close()
+            settle(fs, draft, f"{root}/shard-{shard:05d}.bin")
 
     return run
 
@@ -236,8 +273,40 @@ def _write_index(folder: str):
     return run
 
 
+def bucket_of(doc_id: int, repeat: int, buckets: int) -> int:
+    """The bucket of a key, as Spark computes it when the index is written."""
+    h = xxhash.xxh64_intdigest(struct.pack("<i", repeat), xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42))
+    return (h - (1 << 64) if h >> 63 else h) % buckets
+
+
+def find(folder: str, buckets: int, doc_id: int, repeat: int = 0) -> np.void | None:
+    """The slot (print, shard, offset, length) of one key, from a displacement and a slot of its bucket's file, whatever
+    the sizes; None for a key that the index does not hold."""
+    fs, path = _open(folder)
+    name = f"{path}/index-{bucket_of(doc_id, repeat, buckets):05d}.mph"
+    if fs.get_file_info(name).type == pyarrow.fs.FileType.NotFound:
+        return None
+    a, b, c = key_hashes(np.array([doc_id]), np.array([repeat]))
+    with fs.open_input_file(name) as f:
+        groups, n = np.frombuffer(f.read_at(16, 0), "<u8")
+        step = np.frombuffer(f.read_at(8, 16 + 8 * int(a[0] % groups)), "<i8")
+        slot = np.frombuffer(f.read_at(SLOT.itemsize, 16 + 8 * int(groups) + SLOT.itemsize * int(_slots(step, b, int(n))[0])), SLOT)[0]
+    return slot if slot["print"] == c[0] >> np.uint64(32) else None
+
+
+def read_document(folder: str, buckets: int, width: str, doc_id: int, repeat: int = 0) -> np.ndarray | None:
+    """The ids of one document, by one lookup and one read; None for a key that the index does not hold."""
+    slot = find(folder, buckets, doc_id, repeat)
+    if slot is None:
+        return None
+    fs, path = _open(folder)
+    step = np.dtype(width).itemsize
+    with fs.open_input_file(f"{path}/shard-{int(slot['shard']):05d}.bin") as f:
+        return np.frombuffer(f.read_at(step * int(slot["length"]), step * int(slot["offset"])), width)
+
+
 def lookup(folder: str, bucket: int, doc_id: np.ndarray, repeat: np.ndarray) -> np.ndarray:
-    """The slot of each key in a bucket file; fingerprints that differ mark keys the index does not hold (length 0)."""
+    """The slots of many keys of one bucket, from one read of its file; fingerprints that differ mark keys the index does not hold (length 0)."""
     fs, path = _open(folder)
     with fs.open_input_file(f"{path}/index-{bucket:05d}.mph") as f:
         groups, n = np.frombuffer(f.read_at(16, 0), "<u8")
@@ -252,15 +321,17 @@ def lookup(folder: str, bucket: int, doc_id: np.ndarray, repeat: np.ndarray) ->
 # -- the operator ----------------------------------------------------------------------------------------
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int) -> tuple[DataFrame, DataFrame]:
+def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """Encode every text, write shards and index under folder; (shards, buckets) as manifests.
 
     Documents lie in ascending id order over the shards in order, each closed by end_id. A null text is
     empty; a row with a null id has no key and is left out; rows that repeat an id are all written, and keyed
-    by the id and how many precede them. Other columns are ignored. An empty table writes no files.
+    by the id and how many precede them. Other columns are ignored. An empty table writes no files. There is a
+    shard for every shard_bytes of text, so a task's work does not grow with the table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, math.ceil(size / shard_bytes))
     ranged = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     entries = shared_table(ranged.mapInArrow(_write_shards(folder, path, end_id), "doc_id long, repeat int, shard int, at long, n_tokens long"), "entries")
     shards = entries.groupBy("shard").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"))
@@ -285,10 +356,12 @@ def _read_ids(folder: str, width: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fs, path = _open(folder)
         pdf = pdf.sort_values("at")
-        sums = []
+        sums, held, begin = [], b"", 0  # bytes of the shard from begin on
         with fs.open_input_file(f"{path}/shard-{int(pdf['shard'].iloc[0]):05d}.bin") as f:
-            for at, length in zip(pdf["at"].tolist(), pdf["length"].tolist(), strict=True):
-                ids = np.frombuffer(f.read_at(step * length, step * at), width)
+            for at, length in zip((step * pdf["at"]).tolist(), (step * pdf["length"]).tolist(), strict=True):
+                if at < begin or at + length > begin + len(held):
+                    held, begin = f.read_at(max(length, READ_BYTES), at), at
+                ids = np.frombuffer(held[at - begin : at - begin + length], width)
                 sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
         return pd.DataFrame({"doc_id": pdf["doc_id"], "repeat": pdf["repeat"], "shard": pdf["shard"], "at": pdf["at"], "n_tokens": pdf["length"], "ids_crc32": sums})
 
@@ -298,10 +371,11 @@ def _read_ids(folder: str, width: str):
 def read_tokens(keys: DataFrame, folder: str, shards: DataFrame, buckets: DataFrame, width: str) -> DataFrame:
     """(doc_id, repeat, start, n_tokens, ids_crc32) of every key (doc_id, repeat), through the index and from the shards.
 
-    start counts the ids of all documents before. A key that the index does not hold gives no row.
+    start counts the ids of all documents before. A key that the index does not hold, or with a null, gives no row;
+    a key asked for twice gives two; no keys or an empty index give none.
     """
     n = max(1, math.ceil(buckets.agg(F.coalesce(F.sum("keys"), F.lit(0))).first()[0] / KEYS_PER_BUCKET))
-    keyed = keys.select("doc_id", "repeat", _bucket_of("doc_id", "repeat", n).alias("bucket")).join(F.broadcast(buckets.select("bucket")), "bucket")  # a row per index file
+    keyed = keys.select("doc_id", "repeat", _bucket_of("doc_id", "repeat", n).alias("bucket")).join(broadcast_if_small(buckets.select("bucket")), "bucket")  # a row per index file
     places = keyed.groupBy("bucket").applyInPandas(_look_up(folder), "doc_id long, repeat int, shard int, at long, length long").where("length > 0")
     read = places.groupBy("shard").applyInPandas(_read_ids(folder, width), "doc_id long, repeat int, shard int, at long, n_tokens long, ids_crc32 long")
     return read.join(shards.select("shard", "base"), "shard").select("doc_id", "repeat", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
