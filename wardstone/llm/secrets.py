@@ -58,9 +58,9 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     needs = needs.select("*", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     weak = spans.where(~F.col("kind").isin(*STRONG)).withColumn("cell", (F.col("start") / scope).cast("long"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-    linked = weak.join(needs, same(weak, needs) & (weak["kind"] == needs["kind"]) & (weak["cell"] == needs["cell"]) & (F.abs(weak["start"] - needs["near"]) <= scope), "left_semi")
+    linked = weak.join(needs.hint("merge"), same(weak, needs) & (weak["kind"] == needs["kind"]) & (weak["cell"] == needs["cell"]) & (F.abs(weak["start"] - needs["near"]) <= scope), "left_semi")
     # what a strong span covers is reported once, by the strong span
-    linked = linked.join(covered, same(linked, covered) & (linked["start"] < covered["e2"]) & (covered["s2"] < linked["end"]), "left_anti")
+    linked = linked.join(covered.hint("merge"), same(linked, covered) & (linked["start"] < covered["e2"]) & (covered["s2"] < linked["end"]), "left_anti")
     return spans.where(F.col("kind").isin(*STRONG)).unionByName(linked.drop("cell"))
 
 

@@ -14,9 +14,8 @@ A state of the composition is a position with the acceptor's state. Positions ar
 out of a position relaxes the state it leads to in the tropical semiring (sums along a path, the least over paths),
 and the least state at the end gives the path back.
 
-No piece spans a line break or starts a blank inside a word (checked when compiling), nor do pieces hold some marks
-right after a letter or digit (looked up when compiling), so the lattice has cut points there and falls into
-chunks, whose paths a worker remembers.
+No piece spans a line break or starts a blank inside a word (checked when compiling), so the lattice has cut
+points there and falls into chunks, whose paths a worker remembers.
 """
 
 from __future__ import annotations
@@ -32,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-CHUNKS_KEPT = 250_000  # chunk paths a worker remembers
-_MARKS = ".,!?;:\"'()[]{}<>/-"
-_WORDLIKE = re.compile(r"[^\W_]")
+CHUNKS_KEPT = 200_000  # chunk paths a worker remembers
+LONG = 64  # characters of a chunk, beyond which it is not relaxed together with others
+_CHUNK = re.compile(r" *[^ \n]+| +|\n")
 
 
 class Transducer:
@@ -72,10 +71,6 @@ class Transducer:
         self.lengths = {s: tuple(sorted(n, reverse=True)) for s, n in beyond.items()}
         self.leaving: dict[str, tuple] = {}
         self.passes: dict[int, bool] = {}  # arcs of the acceptor found so far, and pairs without one
-        joined = {b for s in self.arcs for a, b in zip(s, s[1:], strict=False) if _WORDLIKE.match(a)}
-        marks = "".join(re.escape(c) for c in _MARKS if c not in joined)
-        word = rf"▁*[^\W_]++(?=[{marks}])|" if marks else ""
-        self.chunk = re.compile(word + r"▁*[^▁\n]+|▁+|\n")
         if any("\n" in s and len(s) > 1 or BLANK in s.lstrip(BLANK) for s in self.arcs):
             raise ValueError("pieces span cut points")
         self.blank = self.arcs.get(BLANK)
@@ -87,6 +82,7 @@ class Transducer:
         self.normal = {ord(" "): BLANK}  # the normaliser's arcs that change a character
         if self.merges:
             self._compile_pairs()
+        self._compile_tables()
 
     # -- the acceptor of neighbouring pieces ---------------------------------------------------------
 
@@ -176,9 +172,10 @@ class Transducer:
                     weight = weights[piece]
                 best = None
                 for state in here:
-                    if merges and piece >= 0 and state[1] >= 0:
-                        ok = passes(state[1] << 20 | piece)
-                        if not (accepts(state[1], piece) if ok is None else ok):
+                    left = state[1]
+                    if left >= 0 and piece >= 0 and merges:
+                        ok = passes(left << 20 | piece)
+                        if not (accepts(left, piece) if ok is None else ok):
                             continue
                     if best is None or state[0] < best[0]:
                         best = state
@@ -194,6 +191,116 @@ class Transducer:
             state = state[2]
         return path[::-1]
 
+    # -- the same relaxation for many chunks at once ---------------------------------------------------
+
+    def _compile_tables(self):
+        """The piece arcs as a trie of (node, character) keys, and the merges across two pieces as (left, right) keys."""
+        next_node, piece_at = {}, [-1]
+        for s, i in self.arcs.items():
+            node = 0
+            for c in s:
+                to = next_node.setdefault(node << 21 | ord(c), len(piece_at))
+                if to == len(piece_at):
+                    piece_at.append(-1)
+                node = to
+            piece_at[node] = i
+        order = sorted(next_node)
+        self.step_key, self.step_to = np.array(order, np.int64), np.array([next_node[k] for k in order], np.int64)
+        self.piece_at, size = np.array(piece_at, np.int64), len(self.bytes_of)
+        self.weight_of, self.rank_of, self.parts_of = np.zeros(size), np.full(size, -1.0), np.zeros((size, 2), np.int64)
+        for i, w in self.weight.items():
+            self.weight_of[i] = w
+        merged = {}
+        if self.merges:
+            for i, r in self.rank.items():
+                self.rank_of[i] = r
+            for i, both in self.parts.items():
+                self.parts_of[i] = both
+            for s, i in self.arcs.items():
+                for k in range(1, len(s)):
+                    if s[:k] in self.arcs and s[k:] in self.arcs:
+                        merged[self.arcs[s[:k]] << 20 | self.arcs[s[k:]]] = self.rank[i]
+        order = sorted(merged)
+        self.merge_key, self.merge_rank = np.array(order or [-1], np.int64), np.array([merged[k] for k in order] or [np.inf])
+
+    def _accept_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """accepts() of many pairs; a character outside the vocabulary (negative) merges with nothing."""
+        ok = np.ones(len(left), bool)
+        at = np.flatnonzero((left >= 0) & (right >= 0))
+        a, b, before, right_was = left[at], right[at], np.full(len(at), np.inf), np.zeros(len(at), bool)
+        while len(at):
+            key = a << 20 | b
+            k = np.minimum(np.searchsorted(self.merge_key, key), len(self.merge_key) - 1)
+            across = np.where(self.merge_key[k] == key, self.merge_rank[k], np.inf)
+            bad = (across < before) | (across == before) & right_was & np.isfinite(across)
+            ok[at[bad]] = False
+            ra, rb = self.rank_of[a], self.rank_of[b]
+            undo_left = ra > rb
+            go = ~bad & (undo_left | (rb >= 0))
+            at, a, b, ra, rb, undo_left = at[go], a[go], b[go], ra[go], rb[go], undo_left[go]
+            before, right_was = np.where(undo_left, ra, rb), ~undo_left
+            a, b = np.where(undo_left, self.parts_of[a, 1], a), np.where(undo_left, b, self.parts_of[b, 0])
+        return ok
+
+    def _shortest_many(self, words: list[str]) -> list[list[int]]:
+        """_shortest() of chunks, none empty. A state of the composition is an arc that ends in it; positions go in order."""
+        size = np.array([len(w) for w in words])
+        begin = np.r_[0, np.cumsum(size)]
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(words)), size)
+        last = begin[1:][word]  # where each position's word ends
+        place, node, reach = np.arange(len(points)), np.zeros(len(points), np.int64), np.arange(len(points))
+        found = []
+        while len(place):  # walk the trie from every position at once
+            key = node << 21 | points[reach]
+            k = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+            good = self.step_key[k] == key
+            place, node, reach = place[good], self.step_to[k[good]], reach[good] + 1
+            piece = self.piece_at[node]
+            some = piece >= 0
+            found.append((place[some], reach[some], piece[some]))
+            inside = reach < last[place]
+            place, node, reach = place[inside], node[inside], reach[inside]
+        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        single = np.zeros(len(points), bool)
+        single[start[end == start + 1]] = True
+        alone = np.flatnonzero(~single)  # characters outside the vocabulary
+        start, end, piece = np.r_[start, alone], np.r_[end, alone + 1], np.r_[piece, -1 - points[alone]]
+        order = np.lexsort((end, start))
+        start, end, piece = start[order], end[order], piece[order]
+        weight = np.where(piece >= 0, self.weight_of[np.maximum(piece, 0)], self.unknown)
+        leaving = np.searchsorted(start, np.arange(len(points) + 1))  # arcs that leave a position
+        length, back = np.full(len(start), np.inf), np.full(len(start), -1)
+        first = np.isin(start, begin[:-1])
+        length[first] = weight[first]
+        within = end - begin[word[start]]  # how far into its word an arc ends
+        by_end = np.argsort(within, kind="stable")
+        upto = np.searchsorted(within[by_end], np.arange(1, int(size.max()) + 2))
+        for t in range(int(size.max()) - 1):
+            states = by_end[upto[t] : upto[t + 1]]
+            states = states[np.isfinite(length[states]) & (end[states] < last[start[states]])]
+            n = leaving[end[states] + 1] - leaving[end[states]]
+            state = np.repeat(states, n)
+            arc = np.repeat(leaving[end[states]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(states) else np.empty(0, np.int64)
+            if self.merges and len(arc):
+                ok = self._accept_many(piece[state], piece[arc])
+                state, arc = state[ok], arc[ok]
+            new = length[state] + weight[arc]
+            order = np.lexsort((start[state], new, arc))  # of equals the arc that begins first
+            state, arc, new = state[order], arc[order], new[order]
+            least = np.r_[True, arc[1:] != arc[:-1]] if len(arc) else np.empty(0, bool)
+            length[arc[least]], back[arc[least]] = new[least], state[least]
+        final = np.flatnonzero(end == last[start])
+        final = final[np.lexsort((start[final], length[final], word[start[final]]))]
+        now = final[np.searchsorted(word[start[final]], np.arange(len(words)))]
+        steps = []
+        while (now >= 0).any():
+            steps.append(np.where(now >= 0, piece[now], 0))
+            steps.append(now >= 0)
+            now = np.where(now >= 0, back[now], -1)
+        ids, some = np.array(steps[0::2]).T, np.array(steps[1::2]).T
+        return [row[:n][::-1].tolist() for row, n in zip(ids, some.sum(1).tolist(), strict=True)]
+
     @lru_cache(maxsize=64)  # noqa: B019  one transducer lives as long as its worker
     def _blanks(self, n: int) -> tuple[int, ...]:
         """Path of a run of n blanks in a merge model: equal merges, leftmost first."""
@@ -206,38 +313,57 @@ class Transducer:
                 return (self.arcs[BLANK * longest],) * (head // longest) + tuple(self.arcs[s] for s in names)
             names[k : k + 2] = [names[k] + names[k + 1]]
 
-    def _chunk(self, chunk: str) -> bytes:
-        word = chunk.lstrip(BLANK)
-        blanks = len(chunk) - len(word)
-        if not self.merges:
-            path = self._shortest(chunk)
-        elif not word:
-            path = list(self._blanks(blanks))
-        else:  # the last blank may join the word; the blanks before it merge among themselves
-            path = self._shortest(chunk[blanks - 1 :] if blanks else word)
-            if blanks:
-                own = path[0] == self.blank
-                path = [*self._blanks(blanks - 1 + own), *path[own:]]
-        ids = path if not path or min(path) >= 0 else [i for p in path for i in ((p,) if p >= 0 else (self.byte[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")))]
-        return array(self.code, ids).tobytes()
+    def _learn(self, chunks: set[str]) -> None:
+        """Find and remember the ids of chunks: short words together, long ones and blanks by themselves."""
+        words, plan = {}, []
+        for chunk in chunks:
+            whole = chunk.translate(self.normal)
+            word = whole.lstrip(BLANK)
+            blanks = len(whole) - len(word)
+            # in a merge model the last blank may join the word, and the blanks before it merge among themselves
+            core = (whole[blanks - 1 :] if blanks else word) if self.merges and word else whole if not self.merges else ""
+            plan.append((chunk, core, blanks))
+            if 0 < len(core) <= LONG:
+                words[core] = None
+        paths = dict(zip(words, self._shortest_many(list(words)), strict=True)) if words else {}
+        for chunk, core, blanks in plan:
+            path = paths[core] if core in paths else self._shortest(core) if core else []
+            if self.merges and blanks:
+                own = bool(path) and path[0] == self.blank
+                path = [*self._blanks(blanks - bool(core) + own), *path[own:]]
+            if path and min(path) < 0:
+                path = [i for p in path for i in ((p,) if p >= 0 else (self.byte[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")))]
+            self.known[chunk] = array(self.code, path).tobytes()
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts; null and empty texts have none. U+2581 in a text is a blank, as in the library."""
+        out, held, waiting = [[] for _ in texts], [], 0
+        for i, text in enumerate(texts):
+            # the normaliser's first arc; its others are taken chunk by chunk
+            chunks = _CHUNK.findall(" " + text.replace(BLANK, " ")) if text else []
+            for at in range(0, len(chunks), 20_000):
+                held.append((i, chunks[at : at + 20_000]))
+                waiting += len(held[-1][1])
+                if waiting > 60_000:
+                    self._join(held, out)
+                    held, waiting = [], 0
+        self._join(held, out)
+        return [np.frombuffer(b"".join(parts), self.width) for parts in out]
+
+    def _join(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        own = set().union(*(part for _, part in held))
+        new = own.difference(self.known)
+        self.often |= own - new
+        if len(self.known) + len(new) > CHUNKS_KEPT:  # those that came again stay
+            self.known = {c: self.known[c] for c in self.often} if len(self.often) < CHUNKS_KEPT // 2 else {}
+            self.often = set()
+            new = own.difference(self.known)
+        self._learn(new)
+        for i, part in held:
+            out[i].append(b"".join(map(self.known.__getitem__, part)))
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text; null and empty texts have none. U+2581 in a text is a blank, as in the library."""
-        if not text:
-            return np.empty(0, self.width)
-        chunks = self.chunk.findall(BLANK + text.translate(self.normal))
-        out = []
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            own = set(part)
-            self.often |= own & self.known.keys()
-            if len(self.known) + len(own) > CHUNKS_KEPT:  # those that came again stay
-                self.known = {c: self.known[c] for c in self.often} if len(self.often) < CHUNKS_KEPT // 2 else {}
-                self.often = set()
-            for chunk in own - self.known.keys():
-                self.known[chunk] = self._chunk(chunk)
-            out.append(b"".join(map(self.known.__getitem__, part)))
-        return np.frombuffer(b"".join(out), self.width)
+        return self.encode_many([text])[0]
 
     def decode(self, ids) -> str:
         """The text of ids without the leading blank; bytes that are no UTF-8 become U+FFFD."""
@@ -265,7 +391,7 @@ def encode(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 texts = part.column(1).to_pylist()
-                ids = [t.encode(x) for x in texts]
+                ids = t.encode_many(texts)
                 columns = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([t.decode(x) == (y or "").replace(BLANK, " ") for x, y in zip(ids, texts, strict=True)], pa.bool_())]
                 if with_ids:
                     columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
