@@ -87,7 +87,7 @@ def scan(spark, args):
 def evaluate_(spark, args):
     found = evaluate.evaluate(corpora.read_corpus(spark, args.training), corpora.read_corpus(spark, args.evaluation), args.budget, drop_shared=args.drop_shared, steps=args.steps).cache()
     rows = reports.write(found, args.json_out, args.markdown_out, args.junit_out, args.max_family_bypass)
-    print(reports.as_markdown(rows), end="")
+    print(reports.as_markdown(rows, reports.layer_rows(found)), end="")
     families = {r["fold"]: r["bypass"] for r in rows if r["fold"] != "none"}
     if args.update_baseline:
         pooled = reports.pooled(rows)
@@ -95,11 +95,15 @@ def evaluate_(spark, args):
         return 0
     if args.no_gate:
         return 0
-    measured = found.where("fold <> 'none'").select(F.col("fold").alias("family"), "bypass", F.when(F.col("benign") > 0, F.col("false_positives") / F.col("benign")).otherwise(0.0).alias("false_positive_rate"))
+    recorded, own = corpora.load_run_baseline(args.baseline), reports.pooled(rows)
+    failures = metrics.run_failures(args.budget, own["bypass"], own["control"], recorded)
+    measured = found.where(F.col("layer") == evaluate.HEADLINE).where("fold <> 'none'").select(F.col("fold").alias("family"), "bypass", F.when(F.col("benign") > 0, F.col("false_positives") / F.col("benign")).otherwise(0.0).alias("false_positive_rate"))
     bad = metrics.gate(measured, corpora.load_baseline(spark, args.baseline)).where("verdict not in ('ok', 'improved')").orderBy("family").collect()
     for r in bad:
         print(f"{r.family}: {r.verdict}", file=sys.stderr)
-    return 2 if bad else 0
+    for f in failures:
+        print(f, file=sys.stderr)
+    return 2 if bad or failures else 0
 
 
 def calibrate(spark, args):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardstone.functions import features as X
 from wardstone.functions import normalize as N
+from wardstone.functions import scoring as S
 from wardstone.functions.registry import FAMILIES, disabled_for
 from wardstone.functions.scoring import sigmoid
 from wardstone.operators import metrics as M
@@ -16,6 +17,9 @@ from wardstone.operators import training as T
 from wardstone.tables import shared_table
 
 
+HEADLINE = "decision"  # fixed value: the layer that decides where a model is loaded
+
+
 class Refusal(ValueError):
     """An evaluation that would not measure what it claims to."""
 
@@ -32,6 +36,13 @@ def check_converged(folds: DataFrame) -> None:
         raise Refusal(f"training did not converge for {', '.join(sorted(bad))}")
 
 
+def check_unseen(rows: DataFrame) -> None:
+    """No fold trains on the family that it holds out."""
+    seen = [r.fold for r in rows.where("attack = 1 and family = fold").select("fold").distinct().collect()]  # a row per fold
+    if seen:
+        raise Refusal(f"folds trained on their own family: {', '.join(sorted(seen))}")
+
+
 def fold_scores(rows: DataFrame, folds: DataFrame, families: Iterable[str] = FAMILIES) -> DataFrame:
     """(fold, ordinal, attack, score): benign rows under every fold's model, attacks under the model that held their family out."""
     each = rows.select("*", F.explode(F.when(F.col("attack") == 1, F.array("family")).otherwise(F.array(*map(F.lit, families)))).alias("fold"))
@@ -40,31 +51,56 @@ def fold_scores(rows: DataFrame, folds: DataFrame, families: Iterable[str] = FAM
     return each.join(known, "fold").select("fold", "ordinal", "attack", sigmoid(linear + F.col("bias")).alias("score"))
 
 
-def held_out_results(rows: DataFrame, folds: DataFrame, budget: float, families: Iterable[str] = FAMILIES) -> DataFrame:
-    """Per fold: bypass with its interval, realised false positives, boundary and AUC.
+def layer_scores(rows: DataFrame, folds: DataFrame, families: Iterable[str] = FAMILIES) -> DataFrame:
+    """(fold, ordinal, attack, layer, score): the five layers of the rows that a fold judges.
 
-    Even positions of the fold's benign rows set the boundary, odd ones and the attacks measure it.
+    Benign rows are judged in every fold, attacks in the one that held their family out. A fold's rule and signal
+    layers leave out what its family motivated; its model never saw the family. rows hold the hits of all rules and
+    signals of their normal form, so each fold only filters them.
     """
-    return measured_results(fold_scores(rows, folds, families), budget)
+    families = list(families)
+    off = lambda layer: F.create_map(*[x for f in families for x in (F.lit(f), F.array(*map(F.lit, sorted(disabled_for(layer, f)))).cast("array<string>"))])
+    each = rows.select("*", F.explode(F.when(F.col("attack") == 1, F.array("family")).otherwise(F.array(*map(F.lit, families)))).alias("fold"))
+    known = F.broadcast(folds.select("fold", "bias", "weights"))  # a row per fold: of fixed size
+    linear = F.aggregate(F.zip_with("buckets", "values", lambda b, v: F.get("weights", b) * v), F.lit(0.0), lambda a, x: a + x)
+    left = lambda hits, name, layer: F.filter(hits, lambda h: ~F.array_contains(F.element_at(off(layer), F.col("fold")), h[name]))
+    each = each.join(known, "fold").select("fold", "ordinal", "attack", S.rule_layer(left("rules", "rule_id", "rule")).alias("r"), S.signal_layer(left("signals", "name", "signal")).alias("s"), sigmoid(linear + F.col("bias")).alias("m"))
+    r, s, m = F.col("r"), F.col("s"), F.col("m")
+    layers = {"rules": r, "signals": s, "model": m, "combined": S.combined_layer(r, s, m), HEADLINE: S.decision_score(r, s, m)}
+    return each.select("fold", "ordinal", "attack", F.inline(F.array(*[F.struct(F.lit(k).alias("layer"), v.alias("score")) for k, v in layers.items()])))
 
 
 def measured_results(scores: DataFrame, budget: float) -> DataFrame:
-    """held_out_results of scored rows (fold, ordinal, attack, score)."""
-    benign = M.with_position(scores.where("attack = 0"), "ordinal", ("fold",))
-    limit = M.threshold_at_fpr(benign.where("position % 2 = 0"), "score", budget, ("fold",)).select("fold", "boundary")
-    measured = benign.where("position % 2 = 1").select("fold", "attack", "score").unionByName(scores.where("attack = 1").select("fold", "attack", "score"))
+    """Per fold and layer: bypass with its interval, realised false positives, boundary and AUC of scores (fold, ordinal, attack, layer, score).
+
+    Even positions of the fold's benign rows set a layer's boundary, odd ones and the attacks measure it.
+    """
+    keys = ("fold", "layer")
+    benign = M.with_position(scores.where("attack = 0"), "ordinal", keys)
+    limit = M.threshold_at_fpr(benign.where("position % 2 = 0"), "score", budget, keys).select(*keys, "boundary")
+    measured = benign.where("position % 2 = 1").select(*keys, "attack", "score").unionByName(scores.where("attack = 1").select(*keys, "attack", "score"))
     flagged = F.coalesce(F.col("score") > F.col("boundary"), F.lit(True))
     attack = F.col("attack") == 1
-    out = measured.join(F.broadcast(limit), "fold").groupBy("fold", "boundary").agg(F.count_if(attack & ~flagged).alias("missed"), F.count_if(attack).alias("attacks"), F.count_if(~attack & flagged).alias("false_positives"), F.count_if(~attack).alias("benign"))
-    out = out.join(M.roc_auc(measured, attack, "score", ("fold",)), "fold").withColumn("i", M.wilson(F.col("missed"), F.col("attacks")))
-    return out.select("fold", "missed", "attacks", F.col("i.point").alias("bypass"), F.col("i.low").alias("low"), F.col("i.high").alias("high"), "false_positives", "benign", "boundary", "auc")
+    out = measured.join(F.broadcast(limit), list(keys)).groupBy(*keys, "boundary").agg(F.count_if(attack & ~flagged).alias("missed"), F.count_if(attack).alias("attacks"), F.count_if(~attack & flagged).alias("false_positives"), F.count_if(~attack).alias("benign"))  # a row per fold and layer
+    out = out.join(M.roc_auc(measured, attack, "score", keys), list(keys)).withColumn("i", M.wilson(F.col("missed"), F.col("attacks")))
+    return out.select(*keys, "missed", "attacks", F.col("i.point").alias("bypass"), F.col("i.low").alias("low"), F.col("i.high").alias("high"), "false_positives", "benign", "boundary", "auc")
+
+
+def pooled_by_layer(results: DataFrame) -> DataFrame:
+    """(layer, missed, attacks, bypass, low, high, control, false_positive_rate): held-out folds pooled, beside the control's bypass."""
+    held = F.col("fold") != "none"
+    out = results.groupBy("layer").agg(
+        F.sum(F.when(held, F.col("missed"))).alias("missed"), F.sum(F.when(held, F.col("attacks"))).alias("attacks"), F.max(F.when(~held, F.col("bypass"))).alias("control"),
+        (F.sum(F.when(held, F.col("false_positives"))) / F.sum(F.when(held, F.col("benign")))).alias("false_positive_rate"),
+    )
+    return out.withColumn("i", M.wilson(F.col("missed"), F.col("attacks"))).select("layer", "missed", "attacks", F.col("i.point").alias("bypass"), F.col("i.low").alias("low"), F.col("i.high").alias("high"), "control", "false_positive_rate")
 
 
 def feature_rows(samples: DataFrame, disabled: Iterable[str] = ()) -> DataFrame:
-    """(ordinal, attack, family, buckets, values) of samples (ordinal, text, label, family) normalised without some stages."""
+    """(ordinal, attack, family, buckets, values, rules, signals) of samples (ordinal, text, label, family) normalised without some stages."""
     norm = N.with_normalized(samples, disabled=disabled, exact=True)
-    rows = norm.select("ordinal", (F.col("label") == "attack").cast("int").alias("attack"), "family", X.exact_features(X.tokens(F.col("norm"))).alias("f"))
-    return rows.select("ordinal", "attack", "family", "f.buckets", "f.values")
+    rows = norm.select("ordinal", (F.col("label") == "attack").cast("int").alias("attack"), "family", X.exact_features(X.tokens(F.col("norm"))).alias("f"), S.rule_hits(F.col("norm")).alias("rules"), S.signal_hits(F.col("text"), F.col("norm")).alias("signals"))
+    return rows.select("ordinal", "attack", "family", "f.buckets", "f.values", "rules", "signals")
 
 
 def fitted_folds(training: DataFrame, families: list[str], steps: int = T.STEPS) -> Iterator[tuple[frozenset, list[str], list[str], DataFrame]]:
@@ -81,11 +117,12 @@ def fitted_folds(training: DataFrame, families: list[str], steps: int = T.STEPS)
         fitted = T.fit_folds(rows.repartition("fold"), X.BUCKETS, steps)
         fitted = training.sparkSession.createDataFrame(fitted.collect(), fitted.schema)  # a model per fold
         check_converged(fitted)
+        check_unseen(rows)
         yield disabled, held, own, fitted
 
 
 def evaluate(training: DataFrame, evaluation: DataFrame, budget: float = 0.01, families: Iterable[str] = FAMILIES, drop_shared: bool = False, steps: int = T.STEPS) -> DataFrame:
-    """held_out_results of every family, plus the control fold 'none' that holds nothing out.
+    """measured_results of every family and layer, plus the control fold 'none' that holds nothing out.
 
     A fold's normalisation leaves out the stages its family motivated; folds that leave out the same stages share
     their features. The control measures every n-th attack, n being the number of families. Refused: texts on
@@ -103,10 +140,10 @@ def evaluate(training: DataFrame, evaluation: DataFrame, budget: float = 0.01, f
     scores = None
     for disabled, held, own, fitted in fitted_folds(training, families, steps):
         measured = feature_rows(evaluation, disabled)
-        found = fold_scores(measured.where((F.col("attack") == 0) | F.col("family").isin(held)), fitted, own)
+        found = layer_scores(measured.where((F.col("attack") == 0) | F.col("family").isin(held)), fitted, own)
         if "none" in own:
             every = M.with_position(evaluation.where("label = 'attack'"), "ordinal").where(F.col("position") % len(families) == 0)
-            found = found.unionByName(fold_scores(feature_rows(every, disabled).withColumn("family", F.lit("none")), fitted, own))
+            found = found.unionByName(layer_scores(feature_rows(every, disabled).withColumn("family", F.lit("none")), fitted, own))
         found = shared_table(found, "scores")  # the measures read scores many times; plans of whole normalisations in each take minutes to analyse
         scores = found if scores is None else scores.unionByName(found)
     return measured_results(scores, budget)

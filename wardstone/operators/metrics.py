@@ -1,7 +1,8 @@
 """Intervals, confusion, grouped rates, rank AUC, calibration and positions as DataFrame operations.
 
-Ranks and positions never sort a whole table in one task: rows fall into ranges of their key, a small table of
-range totals gives each range its offset, and windows run inside ranges.
+Ranks and positions never sort a whole table in one task: rows fall into ranges between quantiles of their key, so
+that ranges stay even however the values pile up; a small table of range totals gives each range its offset, and
+windows run inside ranges.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z = 1.959963984540054  # fixed value: the two-sided 95 % normal quantile
-RANGES = 256
+STEPS = 16  # ranges are found in two steps of as many
 
 
 def wilson(hits: Column, total: Column) -> Column:
@@ -45,17 +46,42 @@ def rate_by_group(df: DataFrame, group: str, hit: Column) -> DataFrame:
     return out.withColumn("i", wilson(F.col("hits"), F.col("total"))).select(group, "hits", "total", "i.point", "i.low", "i.high")
 
 
+def _bounds(df: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """(keys, coarse, fine): values of by that cut each key's rows into STEPS * STEPS ranges of about equal size.
+
+    They are taken once, so that every use of them cuts alike. coarse holds each STEPS-th value, fine the values
+    between, as one array per coarse range.
+    """
+    shares = [i / (STEPS * STEPS) for i in range(1, STEPS * STEPS)]
+    cut = F.percentile_approx(by, shares, 10_000).alias("cut")
+    rows = (df.groupBy(*keys) if keys else df).agg(cut).where("cut is not null")
+    # a few hundred values per group of the evaluation
+    found = [(*[r[k] for k in keys], r["cut"][STEPS - 1 :: STEPS], [r["cut"][i : i + STEPS - 1] for i in range(0, STEPS * STEPS, STEPS)]) for r in rows.collect()]
+    kind = df.schema[by].dataType.simpleString()
+    own = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.sparkSession.createDataFrame(found, f"{own}{', ' * bool(keys)}coarse array<{kind}>, fine array<array<{kind}>>")
+
+
 def _running(df: DataFrame, keys: list[str], by: str, counts: list[str]) -> DataFrame:
-    """df (one row per key and value of by) with before_<c>: the sum of c over smaller values of by within the keys."""
-    span = df.groupBy(*keys).agg(F.min(by).alias("lo"), F.max(by).alias("hi")) if keys else df.agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
-    df = df.join(F.broadcast(span), keys) if keys else df.crossJoin(F.broadcast(span))  # a row per group of the evaluation
-    df = df.withColumn("range", F.when(F.col("hi") > F.col("lo"), F.floor((F.col(by) - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES)).otherwise(0).cast("int")).drop("lo", "hi")
-    total = df.groupBy(*keys, "range").agg(*[F.sum(c).alias(f"r_{c}") for c in counts])  # at most RANGES + 1 rows per group
+    """df (one row per key and value of by) with before_<c>: the sum of c over smaller values of by within the keys.
+
+    A null value of by has no place: its row is left out.
+    """
+    df = df.where(F.col(by).isNotNull())
+    bounds = F.broadcast(_bounds(df, keys, by))
+    same = [df[k].eqNullSafe(bounds[k]) for k in keys]
+    df = df.join(bounds, same).drop(*[bounds[k] for k in keys]) if keys else df.crossJoin(bounds)  # one row of bounds
+    high = F.size(F.filter("coarse", lambda x: x < F.col(by)))
+    df = df.withColumn("high", high).withColumn("range", F.col("high") * STEPS + F.size(F.filter(F.get("fine", F.col("high")), lambda x: x < F.col(by)))).drop("coarse", "fine", "high")
+    total = df.groupBy(*keys, "range").agg(*[F.sum(c).alias(f"r_{c}") for c in counts])  # at most STEPS * STEPS rows per group
     earlier = Window.partitionBy(*[F.col(k) for k in keys], F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select(*keys, "range", *[F.coalesce(F.sum(f"r_{c}").over(earlier), F.lit(0)).alias(f"o_{c}") for c in counts])
+    total = total.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("range").alias("r_range"), *[F.coalesce(F.sum(f"r_{c}").over(earlier), F.lit(0)).alias(f"o_{c}") for c in counts])
     within = Window.partitionBy(*keys, "range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.join(F.broadcast(total), [*keys, "range"])
-    return df.select(*[c for c in df.columns if not c.startswith("o_") and c != "range"], *[(F.col(f"o_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"before_{c}") for c in counts])
+    on = F.col("range") == F.col("r_range")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
+    names = [c for c in df.columns if c != "range"]
+    return df.join(total, on).select(*names, *[(F.col(f"o_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"before_{c}") for c in counts])
 
 
 def roc_auc(df: DataFrame, attack: Column, score: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -111,3 +137,15 @@ def gate(folds: DataFrame, recorded: DataFrame, tolerance: float = 0.05, ceiling
         .when(F.col("false_positive_rate") > ceiling, "too_many_false_positives").when(F.col("bypass") < F.col("was"), "improved").otherwise("ok")
     )
     return both.select("family", verdict.alias("verdict"), (F.col("bypass") - F.col("was")).alias("change"))
+
+
+def run_failures(budget: float, pooled: float, control: float | None, recorded: dict, tolerance: float = 0.05) -> list[str]:
+    """What of a whole run fails against a recorded baseline: another budget, a pooled rate or a control beyond tolerance."""
+    if abs(budget - recorded["target_false_positive_rate"]) > 1e-9:
+        return [f"the budget is {budget} and the baseline's is {recorded['target_false_positive_rate']}: the rates cannot be compared"]
+    out = []
+    if pooled > recorded["pooled_bypass"] + tolerance:
+        out.append(f"the pooled bypass rose from {recorded['pooled_bypass']:.4f} to {pooled:.4f}")
+    if control is not None and control > recorded["control_bypass"] + tolerance:
+        out.append(f"the control's bypass rose from {recorded['control_bypass']:.4f} to {control:.4f}")
+    return out

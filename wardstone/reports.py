@@ -7,13 +7,16 @@ from pathlib import Path
 from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wardstone.operators.evaluate import HEADLINE, pooled_by_layer
 
 FIELDS = ("fold", "missed", "attacks", "bypass", "low", "high", "false_positives", "benign", "boundary", "auc")
 
 
 def fold_rows(results: DataFrame) -> list[dict]:
     """Folds by bypass, highest first, then by name; the control last."""
-    rows = [{k: r[k] for k in FIELDS} for r in results.collect()]  # a row per family
+    rows = [{k: r[k] for k in FIELDS} for r in results.where(F.col("layer") == HEADLINE).collect()]  # a row per family
     return sorted(rows, key=lambda r: (r["fold"] == "none", -r["bypass"], r["fold"]))
 
 
@@ -25,14 +28,22 @@ def pooled(rows: list[dict]) -> dict:
     return {"bypass": share, "worst": held[0]["fold"] if held else None, "control": control, "gap": None if control is None else share - control}
 
 
-def as_json(rows: list[dict]) -> str:
-    return json.dumps({"pooled": pooled(rows), "folds": rows}, sort_keys=True, indent=2) + "\n"
+def layer_rows(results: DataFrame) -> list[dict]:
+    """Each layer's pooled bypass, control and false positives, in order of name."""
+    return [r.asDict() for r in pooled_by_layer(results).orderBy("layer").collect()]  # five rows
+
+
+def as_json(rows: list[dict], layers: list[dict] = ()) -> str:
+    return json.dumps({"pooled": pooled(rows), "folds": rows, "layers": list(layers)}, sort_keys=True, indent=2) + "\n"
 
 
-def as_markdown(rows: list[dict]) -> str:
+def as_markdown(rows: list[dict], layers: list[dict] = ()) -> str:
     lines = ["| fold | bypass | interval | false positives | AUC |", "| --- | --- | --- | --- | --- |"]
     for r in rows:
         lines.append(f"| {r['fold']} | {r['bypass']:.2%} | {r['low']:.2%} to {r['high']:.2%} | {r['false_positives']}/{r['benign']} | {r['auc']:.3f} |")
+    if layers:
+        lines += ["", "| layer | bypass, held out | bypass, control | false positives |", "| --- | --- | --- | --- |"]
+        lines += [f"| {r['layer']} | {r['bypass']:.2%} | {'-' if r['control'] is None else format(r['control'], '.2%')} | {r['false_positive_rate']:.2%} |" for r in layers]
     return "\n".join([f"Pooled bypass: {pooled(rows)['bypass']:.2%}", "", *lines]) + "\n"
 
 
@@ -49,7 +60,8 @@ def as_junit(rows: list[dict], most: float) -> str:
 def write(results: DataFrame, json_out: str | None = None, markdown_out: str | None = None, junit_out: str | None = None, most: float = 1.0) -> list[dict]:
     """Write the renderings asked for; the fold rows."""
     rows = fold_rows(results)
-    for path, text in ((json_out, as_json(rows)), (markdown_out, as_markdown(rows)), (junit_out, as_junit(rows, most))):
+    layers = layer_rows(results) if json_out or markdown_out else []
+    for path, text in ((json_out, as_json(rows, layers)), (markdown_out, as_markdown(rows, layers)), (junit_out, as_junit(rows, most))):
         if path:
             Path(path).write_text(text)
     return rows

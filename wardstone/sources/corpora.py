@@ -95,15 +95,23 @@ def save_baseline(path: str, pooled: float, control: float, families: dict[str,
     Path(path).write_text(json.dumps(body, sort_keys=True, indent=2) + "\n")
 
 
-def load_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """(family, bypass) of a recorded baseline."""
+def load_run_baseline(path: str) -> dict:
+    """A recorded baseline with all its fields."""
     try:
         body = json.loads(Path(path).read_text())
     except (OSError, ValueError) as e:
         raise SourceError(f"{path}: no baseline") from e
-    if body.get("format") != 1:
+    if not isinstance(body, dict) or body.get("format") != 1:
         raise SourceError(f"{path}: another format")
-    return spark.createDataFrame(sorted(body["family_bypass"].items()), "family string, bypass double")
+    missing = {"family_bypass", "pooled_bypass", "control_bypass", "target_false_positive_rate"} - set(body)
+    if missing:
+        raise SourceError(f"{path}: without {', '.join(sorted(missing))}")
+    return body
+
+
+def load_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(family, bypass) of a recorded baseline."""
+    return spark.createDataFrame(sorted(load_run_baseline(path)["family_bypass"].items()), "family string, bypass double")
 
 
 def corpus_digest(samples: DataFrame) -> str:
