@@ -79,7 +79,7 @@ class Transducer:
         self.code = "H" if self.width == "<u2" else "I"
         self.known: dict[str, bytes] = {}
         self.often: set[str] = set()
-        self.normal = {ord(" "): BLANK}  # the normaliser's arcs that change a character
+        self.normal = (" ", BLANK)  # the normaliser's one arc that changes a character
         if self.merges:
             self._compile_pairs()
         self._compile_tables()
@@ -317,7 +317,7 @@ class Transducer:
         """Find and remember the ids of chunks: short words together, long ones and blanks by themselves."""
         words, plan = {}, []
         for chunk in chunks:
-            whole = chunk.translate(self.normal)
+            whole = chunk.replace(*self.normal)
             word = whole.lstrip(BLANK)
             blanks = len(whole) - len(word)
             # in a merge model the last blank may join the word, and the blanks before it merge among themselves
