@@ -27,10 +27,30 @@ class Usage(argparse.ArgumentParser):
         self.exit(1, f"{self.prog}: {message}\n")
 
 
+SETTINGS = ("FLAG", "BLOCK", "SALT", "MODE", "RECORD", "RECORD_TEXT", "MODEL")
+
+
+def settings(folder: str = ".") -> dict[str, str]:
+    """WARDSTONE_* settings from the environment and, where that is silent, from a .env file; others are ignored."""
+    found, path = {}, os.path.join(folder, ".env")
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                name, given, value = line.strip().partition("=")
+                if given and not name.startswith("#"):
+                    found[name.removeprefix("export ").strip()] = value.strip().strip("'\"")
+    found |= os.environ
+    return {k: found[f"WARDSTONE_{k}"] for k in SETTINGS if f"WARDSTONE_{k}" in found}
+
+
 def policy(args) -> audit.Policy:
-    """A policy from WARDSTONE_FLAG, WARDSTONE_BLOCK and WARDSTONE_SALT, and the command's own switches."""
-    env = os.environ
-    return audit.Policy(float(env.get("WARDSTONE_FLAG", 0.5)), float(env.get("WARDSTONE_BLOCK", 0.9)), args.enforce, args.record, salt=env.get("WARDSTONE_SALT", ""))
+    """A policy from the settings and the command's own switches."""
+    own = settings()
+    if own.get("MODE", "monitor") not in ("monitor", "enforce"):
+        raise ValueError("WARDSTONE_MODE is monitor or enforce")
+    enforce, log = args.enforce or own.get("MODE") == "enforce", args.record or own.get("RECORD")
+    keep = own.get("RECORD_TEXT", "").lower() in ("1", "true", "yes")
+    return audit.Policy(float(own.get("FLAG", 0.5)), float(own.get("BLOCK", 0.9)), enforce, log, keep, salt=own.get("SALT", ""))
 
 
 def _generate(spark, plan, exclude=None):
@@ -74,11 +94,11 @@ def _with_model(spark, messages, path):
 
 
 def scan(spark, args):
-    messages, model = _with_model(spark, corpora.read_messages(spark, args.messages), args.model)
+    messages, model = _with_model(spark, corpora.read_messages(spark, args.messages), args.model or settings().get("MODEL"))
     own = policy(args)
     verdicts = audit.inspect(messages, own, model_score=model)
     if own.log:
-        audit.records(verdicts, own).write.mode("append").json(own.log)
+        audit.append(audit.records(verdicts, own), own)
     for row in verdicts.select("line", F.to_json(F.struct("decision", "score", "layers", "reasons")).alias("v")).orderBy("line").toLocalIterator():
         print(row["v"])
     return 0
@@ -123,6 +143,13 @@ def audit_(spark, args):
     return 0
 
 
+def probe(spark, args):
+    """The lexicon probe: bypass with a shared and with a split lexicon."""
+    for r in evaluate.lexicon_probe(spark, args.per_family, args.benign, args.held_out).orderBy("family", "arm").collect():
+        print(json.dumps(r.asDict(), sort_keys=True))
+    return 0
+
+
 def rules(spark, args):
     print(json.dumps({layer: [{"name": c.name, "weight": c.weight, "motivated_by": list(c.motivated_by)} for c in known] for layer, known in LAYERS.items()}, indent=2))
     return 0
@@ -157,6 +184,8 @@ def parser() -> argparse.ArgumentParser:
     command("evaluate", evaluate_, "training", "evaluation", budget=budget, steps=steps, drop_shared=switch, json_out=text, markdown_out=text, junit_out=text, baseline={"default": "baseline.json"}, update_baseline=switch, no_gate=switch, max_family_bypass={"type": float, "default": 1.0})
     command("calibrate", calibrate, "corpus", model=text, budget=budget)
     command("audit", audit_, "log")
+    count = lambda n: {"type": int, "default": n}
+    command("probe", probe, per_family=count(120), benign=count(1800), held_out=count(60))
     command("rules", rules)
     command("doctor", doctor)
     return top

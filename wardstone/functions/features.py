@@ -65,6 +65,17 @@ def unit_rows(df: DataFrame, text: str, id_col: str, buckets: int = BUCKETS) ->
     return rows.select(id_col, F.inline(F.arrays_zip(F.col("f.buckets").alias("bucket"), F.col("f.values").alias("value"))))
 
 
+def select_rows(rows: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose ids are among the wanted, each once, whatever their order."""
+    return rows.join(wanted.select(id_col).distinct(), id_col, "left_semi")
+
+
+def column_sums(rows: DataFrame, factors: DataFrame, id_col: str) -> DataFrame:
+    """(bucket, total): the transpose of rows (id, bucket, value) times a factor per id."""
+    joined = rows.join(factors.select(id_col, "factor"), id_col)
+    return joined.groupBy("bucket").agg(F.sum(F.col("value") * F.col("factor")).alias("total"))
+
+
 def scorer(weights: DataFrame, bias: float, lane: str = "md5") -> Callable[[Column], Column]:
     """A column function: bias plus the weighted sum of a text's unit row; weights (bucket, weight) hold a row per bucket."""
     known = np.zeros(BUCKETS)

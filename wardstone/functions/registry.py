@@ -104,6 +104,11 @@ def disabled_for(layer: str, family: str | None) -> frozenset[str]:
     return frozenset(c.name for c in LAYERS[layer] if family in c.motivated_by)
 
 
+def coverage(layer: str = "rule") -> dict[str, list[str]]:
+    """The countermeasures of a layer that each family motivated, in table order; families by name."""
+    return {family: [c.name for c in LAYERS[layer] if family in c.motivated_by] for family in sorted(FAMILIES)}
+
+
 def countermeasures(spark: SparkSession) -> DataFrame:
     """(layer, name, pos, weight, motivated_by): the registry as a table, a row per countermeasure."""
     rows = [(layer, c.name, i, c.weight, list(c.motivated_by)) for layer, known in LAYERS.items() for i, c in enumerate(known)]

@@ -68,6 +68,8 @@ BENIGN = {
     "credential_hygiene": (0.06, False, "{HYGIENE} {OPENERS}"), "security_docs": (0.08, True, "{ADVICE} \"{LEADS} {SCOPES}\" in {SUBJECTS}."),
 }
 TRIES = 40  # fixed value: draws for each message wanted, at most
+#: Slots of the attack lexicon that a split deals to two sides
+LEXICON = ("LEADS", "SCOPES", "PIVOTS", "TASKS", "PERSONAS", "AUTHORITIES")
 _PART = re.compile(r"\{([A-Z]+)(?:\+(\d+))?\}")
 
 
@@ -77,15 +79,51 @@ def pick(seed: int, bucket: str, draw: Column, slot: str, n: int) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
-def fill(template: str, seed: int, bucket: str, draw: Column) -> Column:
+def words_of_slot(name: str, half: int | None = None) -> list[str]:
+    """A slot's words; with half 0 or 1 every other word of a lexicon slot, so that the halves share none."""
+    if name not in SLOTS:
+        raise KeyError(f"no slot {name}; there are {', '.join(sorted(SLOTS))}")
+    return SLOTS[name] if half is None or name not in LEXICON else SLOTS[name][half::2]
+
+
+def template_of(name: str) -> str:
+    """The template of a family or harmless kind."""
+    known = ATTACKS | {k: t for k, (_, _, t) in BENIGN.items()}
+    if name not in known:
+        raise KeyError(f"no family or kind {name}; there are {', '.join(sorted(known))}")
+    return known[name]
+
+
+def fill(template: str, seed: int, bucket: str, draw: Column, half: int | None = None) -> Column:
     parts, at = [], 0
     for m in _PART.finditer(template):
-        slot, shift = SLOTS[m[1]], int(m[2] or 0)
+        slot, shift = words_of_slot(m[1], half), int(m[2] or 0)
         parts += [F.lit(template[at : m.start()]), F.element_at(F.array(*map(F.lit, slot)), (pick(seed, bucket, draw, m[1], len(slot)) + shift) % len(slot) + 1)]
         at = m.end()
     return F.concat(*parts, F.lit(template[at:]))
 
 
+def lookalikes(rate: float = 1.0) -> tuple[str, str]:
+    """Latin letters and their Cyrillic lookalikes: the given share of the twelve, the commonest letters first."""
+    order = "eaoisxcpdhyj"
+    kept = order[: max(1, round(rate * len(order)))]
+    return kept, "".join(N.LOOKALIKES[N.LOOKALIKES_LATIN.index(c)] for c in kept)
+
+
+def look_alike(text: Column, rate: float = 1.0) -> Column:
+    return F.translate(text, *lookalikes(rate))
+
+
+def sprinkled(text: Column, every: int = 3) -> Column:
+    """A zero-width space after each run of so many small letters."""
+    return F.regexp_replace(text, f"([a-z]{{{every}}})", "$1\u200b")
+
+
+def without_accents(text: Column) -> Column:
+    """Latin letters without their marks, for comparisons."""
+    return F.translate(text, "áàâäãåéèêëíìîïóòôöõúùûüñçýÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ", "aaaaaaeeeeiiiiooooouuuuncyAAAAAAEEEEIIIIOOOOOUUUUNCY")
+
+
 def _wrapped(text: Column, seed: int, draw: Column) -> Column:
     """An encoded text behind a hint: base64, spaced hex, rot13 or reversed."""
     hint = F.element_at(F.array(*map(F.lit, SLOTS["HINTS"])), pick(seed, "encoding_wrapper", draw, "HINTS", len(SLOTS["HINTS"])) + 1)
@@ -94,18 +132,21 @@ def _wrapped(text: Column, seed: int, draw: Column) -> Column:
     return F.concat(hint, F.lit(" "), F.when(way == 0, F.replace(F.base64(F.encode(text, "utf-8")), F.lit("\r\n"), F.lit(""))).when(way == 1, spaced).when(way == 2, N.rot13(text)).otherwise(F.reverse(text)))
 
 
+MIXED_RATE, MIXED_EVERY = 0.35, 6
+
+
 def _disguised(text: Column, seed: int, draw: Column) -> Column:
-    """A text in lookalike letters, in fullwidth letters or with zero-width breaks."""
-    way = pick(seed, "homoglyph", draw, "way", 3)
-    lookalike = F.translate(text, N.LOOKALIKES_LATIN[:12], N.LOOKALIKES[:12])
-    return F.when(way == 0, lookalike).when(way == 1, F.translate(text, N.FULLWIDTH_ASCII, N.FULLWIDTH)).otherwise(F.regexp_replace(text, "([a-z]{3})", "$1​"))
+    """A text in lookalike letters, in fullwidth letters, with zero-width breaks, or with some of both letters and breaks."""
+    way = pick(seed, "homoglyph", draw, "way", 4)
+    mixed = sprinkled(look_alike(text, MIXED_RATE), MIXED_EVERY)
+    return F.when(way == 0, look_alike(text)).when(way == 1, F.translate(text, N.FULLWIDTH_ASCII, N.FULLWIDTH)).when(way == 2, sprinkled(text)).otherwise(mixed)
 
 
-def attacks(draws: DataFrame, seed: int) -> DataFrame:
-    """(draw, family, text): one attack per draw; families in turn."""
+def attacks(draws: DataFrame, seed: int, half: int | None = None) -> DataFrame:
+    """(draw, family, text): one attack per draw; families in turn, from the whole lexicon or one half of it."""
     draw, out = F.col("draw"), F.lit(None).cast("string")
     for i, family in enumerate(FAMILIES):
-        text = fill(ATTACKS[family], seed, family, draw)
+        text = fill(ATTACKS[family], seed, family, draw, half)
         if family == "encoding_wrapper":
             text = _wrapped(text, seed, draw)
         elif family == "homoglyph":
@@ -132,10 +173,16 @@ def first_draws(drawn: DataFrame) -> DataFrame:
     return drawn.withColumn("fresh", F.row_number().over(Window.partitionBy("text").orderBy("draw")) == 1)
 
 
-def _draws(spark: SparkSession, seed: int, per_family: int, benign_total: int, exclude: DataFrame | None, tries: int) -> DataFrame:
+def collisions(drawn: DataFrame, by: str = "family") -> DataFrame:
+    """(by, requested, kept, collisions, rate) of draws (draw, by, text); the rate of no draws is 0."""
+    out = first_draws(drawn).groupBy(by).agg(F.count("*").alias("requested"), F.count_if("fresh").alias("kept"), F.count_if(~F.col("fresh")).alias("collisions"))
+    return out.withColumn("rate", F.when(F.col("requested") > 0, F.col("collisions") / F.col("requested")).otherwise(0.0))
+
+
+def _draws(spark: SparkSession, seed: int, per_family: int, benign_total: int, exclude: DataFrame | None, tries: int, half: int | None) -> DataFrame:
     """The distinct texts of so many draws per message wanted, each with k: its place among those of its family or kind, and quota."""
     n = len(FAMILIES)
-    drawn = attacks(spark.range(per_family * n * tries).select(F.col("id").alias("draw")), seed).withColumns({"label": F.lit("attack"), "kind": F.lit("")})
+    drawn = attacks(spark.range(per_family * n * tries).select(F.col("id").alias("draw")), seed, half).withColumns({"label": F.lit("attack"), "kind": F.lit("")})
     harmless = benign(spark.range(benign_total * tries).select(F.col("id").alias("draw")), seed).withColumns({"label": F.lit("benign"), "family": F.lit("")})
     rows = drawn.unionByName(harmless)
     if exclude is not None:
@@ -147,15 +194,15 @@ def _draws(spark: SparkSession, seed: int, per_family: int, benign_total: int, e
     return rows.where(F.col("k") <= F.col("quota"))
 
 
-def generate(spark: SparkSession, seed: int, per_family: int, benign_total: int, exclude: DataFrame | None = None) -> DataFrame:
+def generate(spark: SparkSession, seed: int, per_family: int, benign_total: int, exclude: DataFrame | None = None, half: int | None = None) -> DataFrame:
     """A corpus (ordinal, sample_id, text, label, family, kind): distinct texts, as many as asked for unless a grammar runs out.
 
     Draws are doubled until every family and kind has its quota, up to 40 times the quota; later draws never
-    change what earlier ones gave. Texts of exclude are not used.
+    change what earlier ones gave. Texts of exclude are not used. half restricts the attacks to one half of the lexicon.
     """
     tries, wanted = 2, per_family * len(FAMILIES) + benign_total
     while True:
-        rows = _draws(spark, seed, per_family, benign_total, exclude, tries).persist()
+        rows = _draws(spark, seed, per_family, benign_total, exclude, tries, half).persist()
         if tries >= TRIES or rows.count() >= wanted:
             break
         rows.unpersist()
@@ -220,8 +267,10 @@ def attacks_sql(seed: int) -> str:
             way = _pick_sql(seed, family, "way", 4)
             text = f"{hint} || ' ' || CASE {way} WHEN 0 THEN to_base64(encode({text})) WHEN 1 THEN trim(regexp_replace(lower(hex(encode({text}))), '(..)', '\\1 ', 'g')) WHEN 2 THEN translate({text}, '{N.ROT13_FROM}', '{N.ROT13_TO}') ELSE reverse({text}) END"
         elif family == "homoglyph":
-            way = _pick_sql(seed, family, "way", 3)
-            text = f"CASE {way} WHEN 0 THEN translate({text}, '{N.LOOKALIKES_LATIN[:12]}', '{N.LOOKALIKES[:12]}') WHEN 1 THEN translate({text}, {_sql(N.FULLWIDTH_ASCII)}, {_sql(N.FULLWIDTH)}) ELSE regexp_replace({text}, '([a-z]{{3}})', '\\1' || chr(8203), 'g') END"
+            way = _pick_sql(seed, family, "way", 4)
+            full, some = lookalikes(), lookalikes(MIXED_RATE)
+            broken = lambda t, n: f"regexp_replace({t}, '([a-z]{{{n}}})', '\\1' || chr(8203), 'g')"
+            text = f"CASE {way} WHEN 0 THEN translate({text}, '{full[0]}', '{full[1]}') WHEN 1 THEN translate({text}, {_sql(N.FULLWIDTH_ASCII)}, {_sql(N.FULLWIDTH)}) WHEN 2 THEN {broken(text, 3)} ELSE {broken(f"translate({text}, '{some[0]}', '{some[1]}')", MIXED_EVERY)} END"
         cases.append(f"WHEN {i} THEN {text}")
     names = ", ".join(f"'{f}'" for f in FAMILIES)
     return f"WITH a AS (SELECT doc_id, list_extract([{names}], CAST(doc_id % {len(FAMILIES)} AS BIGINT) + 1) AS family, CASE doc_id % {len(FAMILIES)} {' '.join(cases)} END AS text FROM documents)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstone.functions import features as X
@@ -12,6 +12,7 @@ from wardstone.functions import normalize as N
 from wardstone.functions import scoring as S
 from wardstone.functions.registry import FAMILIES, disabled_for
 from wardstone.functions.scoring import sigmoid
+from wardstone.operators import corpus as C
 from wardstone.operators import metrics as M
 from wardstone.operators import training as T
 from wardstone.tables import shared_table
@@ -147,3 +148,22 @@ def evaluate(training: DataFrame, evaluation: DataFrame, budget: float = 0.01, f
         found = shared_table(found, "scores")  # the measures read scores many times; plans of whole normalisations in each take minutes to analyse
         scores = found if scores is None else scores.unionByName(found)
     return measured_results(scores, budget)
+
+
+PROBED = ("homoglyph", "hypothetical", "indirect")
+
+
+def lexicon_probe(spark: SparkSession, per_family: int = 120, benign_total: int = 1800, held_out: int = 60, seeds: tuple[int, int] = (31, 47), budget: float = 0.01, families: Iterable[str] = PROBED) -> DataFrame:
+    """(arm, family, attacks, bypass, low, high, false_positives, benign) of two arms: 'shared', where training and
+    evaluation draw from one lexicon, and 'disjoint', where each has its own half of it.
+
+    A bypass that rises from the first arm to the second is owed to words that the model knew, not to the technique.
+    """
+    out = None
+    for arm, halves in (("shared", (None, None)), ("disjoint", (0, 1))):
+        training = shared_table(C.generate(spark, seeds[0], per_family, benign_total, half=halves[0]), "training")
+        evaluation = shared_table(C.generate(spark, seeds[1], held_out, benign_total, exclude=training, half=halves[1]), "evaluation")
+        found = evaluate(training, evaluation, budget, families).where((F.col("layer") == HEADLINE) & (F.col("fold") != "none"))
+        found = found.select(F.lit(arm).alias("arm"), F.col("fold").alias("family"), "attacks", "bypass", "low", "high", "false_positives", "benign")
+        out = found if out is None else out.unionByName(found)
+    return out

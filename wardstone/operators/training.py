@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardstone.functions.features import CHAR_GRAM, WORD_GRAM
+
 MAX_ROWS = 10_000
 # Fixed values
 RATE, MOMENTUM, PENALTY, STEPS, TOLERANCE, FORMAT = 8.0, 0.9, 1e-4, 4_000, 1e-6, 1
@@ -57,7 +59,9 @@ class Fit:
 
 
 def config_digest(buckets: int, families: list[str]) -> str:
-    return sha256(json.dumps({"format": FORMAT, "buckets": buckets, "families": sorted(families)}, sort_keys=True).encode()).hexdigest()
+    """A digest of what a model was trained for: format, feature widths, families and size, not the weights."""
+    body = {"format": FORMAT, "spec": {"buckets": buckets, "char_gram": CHAR_GRAM, "word_gram": WORD_GRAM}, "families": sorted(families), "size": buckets}
+    return "sha256:" + sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

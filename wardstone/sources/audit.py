@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from secrets import token_hex
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,6 +28,7 @@ class Policy:
     log: str | None = None
     keep_text: bool = False
     salt: str = ""
+    max_log_bytes: int = 64 * 1024 * 1024  # fixed value: a log of this size takes no more records
 
     def __post_init__(self):
         if not 0 <= self.flag <= self.block <= 1:
@@ -60,11 +64,30 @@ def records(verdicts: DataFrame, policy: Policy, text: str = "text") -> DataFram
     return verdicts.select(F.current_timestamp().alias("at"), S.fingerprint(F.col(text), policy.salt).alias("fingerprint"), F.length(text).alias("length"), F.round("score", 6).alias("score"), "decision", (F.col("decision") != "block").alias("called"), layers.alias("layers"), "reasons", *kept)
 
 
+def log_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a log folder, 0 where there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(folder).getLength() if files.exists(folder) else 0
+
+
+def append(found: DataFrame, policy: Policy) -> bool:
+    """Append records to the policy's log; whether they were written. A full log or a failing disk never fails the messages."""
+    try:
+        if log_bytes(found.sparkSession, policy.log) >= policy.max_log_bytes:
+            return False
+        found.write.mode("append").json(policy.log)
+    except (Py4JError, PySparkException, OSError) as e:
+        logging.getLogger(__name__).warning("the audit log was not written: %s", e)
+        return False
+    return True
+
+
 def guard(messages: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
     """Judge messages and, where the policy has a log, append their records; the verdicts."""
     verdicts = inspect(messages, policy, text)
     if policy.log:
-        records(verdicts, policy, text).write.mode("append").json(policy.log)
+        append(records(verdicts, policy, text), policy)
     return verdicts
 
 
