@@ -142,3 +142,16 @@ def test_settings_come_from_a_file_and_the_environment(tmp_path, monkeypatch):
     (tmp_path / ".env").write_text("# note\nWARDSTONE_FLAG=0.3\nexport WARDSTONE_SALT='s'\nOTHER=1\nWARDSTONE_BLOCK=0.7\n")
     monkeypatch.setenv("WARDSTONE_BLOCK", "0.8")
     assert settings(str(tmp_path)) == {"FLAG": "0.3", "BLOCK": "0.8", "SALT": "s"} and settings(str(tmp_path / "none")) == {"BLOCK": "0.8"}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    from wardstone import tables
+
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master)))
+    given = SimpleNamespace(get=lambda key, default=None: "hdfs://x/y/")
+    assert tables.shared_dir(SimpleNamespace(conf=given)) == "hdfs://x/y"

@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     the master is local (tests); on a cluster an unset folder is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(shared_dir, "own", None)
         if not folder:
