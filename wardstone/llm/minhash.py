@@ -26,7 +26,7 @@ MISSES = 1e-6  # the most likely share of linked pairs that no band finds
 VALUES = 256  # signature values, where the threshold allows
 BLOCK_SHINGLES, BLOCK_ROWS = 400_000, 500  # what one verifying task holds from each of its two sides
 IDS_SENT = 500_000  # ids of 24 bytes that are sent to the texts; more are joined by a shuffle
-WORDS_KEPT = 150_000  # word hashes a worker remembers
+WORDS_KEPT = 50_000  # word hashes a worker remembers
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

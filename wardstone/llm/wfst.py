@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-CHUNKS_KEPT = 200_000  # chunk paths a worker remembers
+CHUNKS_KEPT = 120_000  # chunk paths a worker remembers
+WORDS_AT_ONCE = 4_000  # chunks that are relaxed together
 LONG = 64  # characters of a chunk, beyond which it is not relaxed together with others
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 
@@ -325,7 +326,10 @@ class Transducer:
             plan.append((chunk, core, blanks))
             if 0 < len(core) <= LONG:
                 words[core] = None
-        paths = dict(zip(words, self._shortest_many(list(words)), strict=True)) if words else {}
+        paths, ordered = {}, sorted(words, key=len)  # words of one length together: fewer steps for each part, whose arrays stay small
+        for at in range(0, len(ordered), WORDS_AT_ONCE):
+            part = ordered[at : at + WORDS_AT_ONCE]
+            paths |= zip(part, self._shortest_many(part), strict=True)
         for chunk, core, blanks in plan:
             path = paths[core] if core in paths else self._shortest(core) if core else []
             if self.merges and blanks:
