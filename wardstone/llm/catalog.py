@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardstone.llm import covertree, decontaminate, language, license, linededup, minhash, oracles, quality, secrets, tokenfiles, wfst
+from wardstone.llm import covertree, decontaminate, hardneg, language, lexical, license, linededup, minhash, oracles, quality, secrets, tokenfiles, toxicity, wfst
 from wardstone.llm.common import shared_path
 from wardstone.tables import read_table
 
@@ -97,10 +97,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    found = (op1_benchmark_decontamination, op2_embedding_near_dedup, op3_secret_scan, op4_line_dedup, op5_sentencepiece, op6_token_files, op7_minhash_near_dedup, op8_quality_classifier, op9_license_scan, op10_language_id)
+    found = (op1_benchmark_decontamination, op2_embedding_near_dedup, op3_secret_scan, op4_line_dedup, op5_sentencepiece, op6_token_files, op7_minhash_near_dedup, op8_quality_classifier, op9_license_scan, op10_language_id, op11_hard_negatives, op12_toxicity, op13_lexical_search)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op2_embedding_near_dedup": oracles.OP2, "op3_secret_scan": oracles.OP3, "op4_line_dedup": OP4_SQL, "op7_minhash_near_dedup": oracles.OP7, "op9_license_scan": oracles.OP9}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op2_embedding_near_dedup": oracles.OP2, "op3_secret_scan": oracles.OP3, "op4_line_dedup": OP4_SQL, "op7_minhash_near_dedup": oracles.OP7, "op9_license_scan": oracles.OP9, "op11_hard_negatives": oracles.OP11, "op13_lexical_search": oracles.OP13}

@@ -123,6 +123,12 @@ def fit(texts: list[str | None], labels: list[str], seed: int = 3) -> Model:
 
 
 def train(docs: DataFrame) -> Model:
+    """The model of a bounded sample of documents with a language.
+
+    Repeated rows of an id count once, and an id with several languages has the first in order; null and empty texts
+    have no n-grams; extra columns are ignored. Empty tables, or languages that are all null, give the model that
+    calls every text und.
+    """
     marks = docs.where("lang is not null").groupBy("doc_id").agg(F.min("lang").alias("label"))
     return fit(*labelled_sample(docs, marks, TRAIN_ROWS, TRAIN_CHARS))
 

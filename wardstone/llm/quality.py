@@ -7,6 +7,7 @@ gradient descent in numpy on a bounded sample; scoring runs inside Spark tasks o
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,12 +87,21 @@ def score_texts(texts: list[str | None], logits: np.ndarray, bias: float) -> np.
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+_BLANK = re.compile(r"[\x00-\x20]")
+
+
 def parts(text: str | None, size: int = 1 << 20):
-    """A text in pieces of at least size characters that end at blanks; memory stays bounded on very long texts."""
+    """A text in pieces that end at blanks, ASCII controls among them, of size to 2 * size characters; the last may be shorter.
+
+    Where no blank follows for size characters a piece ends inside the run, whose parts count as words of their own:
+    memory stays bounded whatever a very long text holds.
+    """
     text, at = text or "", 0
     while at < len(text):
-        cut = text.find(" ", at + size) if len(text) - at > size else -1
-        cut = len(text) if cut < 0 else cut + 1
+        cut = len(text)
+        if cut - at > size:
+            blank = _BLANK.search(text, at + size, at + 2 * size)
+            cut = blank.end() if blank else min(cut, at + 2 * size)
         yield text[at:cut]
         at = cut
 
@@ -102,7 +112,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 11, epochs: int
     model = Classifier(np.zeros((2 * BUCKETS, DIM), np.float32), rng.uniform(-1, 1, (DIM, 2)), np.zeros(2))  # unseen rows say nothing
     docs = []
     for text, label in zip(texts, labels, strict=True):
-        rows, n = np.unique(document_rows(text), return_counts=True)
+        rows, n = np.unique(np.concatenate([np.empty(0, np.int64), *map(document_rows, parts(text))]), return_counts=True)
         docs.append((rows.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32), int(label)))
     steps, done = max(1, epochs * len(docs)), 0
     for _ in range(epochs):
@@ -122,29 +132,37 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 11, epochs: int
     return model
 
 
-def labelled_sample(docs: DataFrame, marks: DataFrame, rows: int, chars: int) -> tuple[list, list]:
-    """Texts and labels of a bounded sample outside the held-out fold, the same for the same ids: lowest id hashes first.
+def labelled_sample(docs: DataFrame, marks: DataFrame, rows: int, chars: int, outside=held_out) -> tuple[list, list]:
+    """Texts and labels of a bounded sample of ids outside the held-out fold, the same for the same ids: lowest id hashes first.
 
-    A text that no longer fits into chars is left out; later ones that fit are taken.
-    marks holds (doc_id, label) once per id. Of rows that repeat an id one is taken.
+    A text that no longer fits into chars is left out; later ones that fit are taken. marks holds (doc_id, label) once
+    per id; of rows that repeat an id its shortest text is taken, of equal ones the first in order, and null texts
+    are empty. At most rows ids and texts of chars characters in all reach the driver.
     """
-    marks = marks.where(~held_out(F.col("doc_id")))
-    picked = docs.select("doc_id", F.length("text").alias("size")).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    label, total = {}, 0
-    for r in picked:
-        size = r["size"] or 0
-        if total + size <= chars:
-            total += size
-            label[r["doc_id"]] = r["label"]
+    marks = marks.where(~outside(F.col("doc_id")))
+    sized = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size")).join(marks, "doc_id")
+    once = sized.groupBy("doc_id").agg(F.min("size").alias("size"), F.first("label").alias("label"))  # an id's labels are one
+    label, sizes, total = {}, {}, 0
+    for r in once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect():
+        if total + r["size"] <= chars:
+            total += r["size"]
+            label[r["doc_id"]], sizes[r["doc_id"]] = r["label"], r["size"]
     if not label:
         return [], []
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted(label)], "doc_id long")
-    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").collect()
-    text = {r["doc_id"]: r["text"] for r in sorted(found, key=lambda r: (r["doc_id"], r["text"] or ""))}
-    return [text[i] for i in sorted(text)], [label[i] for i in sorted(text)]
+    wanted = docs.sparkSession.createDataFrame(sorted(sizes.items()), "doc_id long, size int")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    found = docs.select("doc_id", text).join(F.broadcast(wanted), "doc_id").where(F.length("text") == F.col("size")).groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = {r["doc_id"]: r["text"] for r in found.collect()}
+    return [texts[i] for i in sorted(texts)], [label[i] for i in sorted(texts)]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
+    """The classifier of a bounded sample of labelled documents.
+
+    Labels other than 0 and 1 are ignored, and an id with both is 0. Repeated rows of an id count once; null and
+    empty texts are texts without words; extra columns are ignored. Empty tables, or labels of no document, give the
+    classifier whose every score is 0.5.
+    """
     marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
     return fit(*labelled_sample(docs, marks, TRAIN_ROWS, TRAIN_CHARS))
 
@@ -164,7 +182,11 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Classifier, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, whole and in all columns, whose text scores at least threshold."""
+    """The rows of docs, whole and in all columns whatever their names, whose text scores at least threshold.
+
+    Every row is judged by its own text, repeated rows alike; null and empty texts are texts without words; a score at
+    the threshold is kept; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.logits(), float(model.bias[1] - model.bias[0])))
     text = docs.columns.index("text")
 
