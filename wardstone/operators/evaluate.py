@@ -13,9 +13,10 @@ from wardstone.functions import scoring as S
 from wardstone.functions.registry import FAMILIES, disabled_for
 from wardstone.functions.scoring import sigmoid
 from wardstone.operators import corpus as C
+from wardstone.operators import descent as D
 from wardstone.operators import metrics as M
 from wardstone.operators import training as T
-from wardstone.tables import shared_table
+from wardstone.tables import discard, shared_table
 
 
 HEADLINE = "decision"  # fixed value: the layer that decides where a model is loaded
@@ -107,18 +108,26 @@ def feature_rows(samples: DataFrame, disabled: Iterable[str] = ()) -> DataFrame:
 def fitted_folds(training: DataFrame, families: list[str], steps: int = T.STEPS) -> Iterator[tuple[frozenset, list[str], list[str], DataFrame]]:
     """(disabled stages, families held out, folds, models) per distinct set of disabled stages; refused unless converged.
 
-    The folds are the families held out and, where no stage is disabled, the control 'none'.
+    The folds are the families held out and, where no stage is disabled, the control 'none'. Up to MAX_ROWS rows a fold
+    is fitted in one task; more are fitted over blocks, all folds at once, by the same steps.
     """
     sets: dict[frozenset, list[str]] = {}
     for family in families:
         sets.setdefault(disabled_for("stage", family), []).append(family)
+    few = training.limit(T.MAX_ROWS + 1).count() <= T.MAX_ROWS
     for disabled, held in sorted(sets.items(), key=lambda x: sorted(x[0])):
         own = [*held, "none"] if not disabled else held
-        rows = feature_rows(training, disabled).select("*", F.explode(F.array(*map(F.lit, own))).alias("fold")).where("family <> fold")
-        fitted = T.fit_folds(rows.repartition("fold"), X.BUCKETS, steps)
+        rows = feature_rows(training, disabled).select("ordinal", "attack", "family", "buckets", "values")
+        if few:
+            each = rows.select("*", F.explode(F.array(*map(F.lit, own))).alias("fold")).where("family <> fold")
+            check_unseen(each)
+            fitted = T.fit_folds(each.repartition("fold"), X.BUCKETS, steps)
+        else:
+            rows = shared_table(rows, "features")
+            fitted = D.fit_folds(rows, own, X.BUCKETS, steps)
+            discard(rows)
         fitted = training.sparkSession.createDataFrame(fitted.collect(), fitted.schema)  # a model per fold
         check_converged(fitted)
-        check_unseen(rows)
         yield disabled, held, own, fitted
 
 

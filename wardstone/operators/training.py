@@ -1,7 +1,7 @@
-"""The learned layer: logistic regression by heavy-ball descent, one fold per task.
+"""The learned layer: logistic regression by heavy-ball descent, here with one fold per task.
 
-Training sets are bounded (MAX_ROWS per fold, a documented parameter), so a fold fits one task and all folds fit
-at once; scoring has no bound and runs as a join with the weights.
+Training sets of up to MAX_ROWS rows fit one task a fold, and all folds fit at once; larger ones go through
+operators/descent.py by the same steps. Scoring has no bound and runs as a join with the weights.
 """
 
 from __future__ import annotations
