@@ -43,3 +43,23 @@ def test_repeats_nulls_and_empty(spark):
     got = [(r.doc_id, r.base) for r in secrets.scan(frame(spark, [(None, KEY, ""), (2, KEY, ""), (2, KEY, ""), (2, "none", "")])).collect()]
     assert sorted(got, key=str) == sorted([(None, "access:0:20"), (2, "access:0:20"), (2, "access:0:20"), (2, "")], key=str)
     assert secrets.scan(frame(spark, [])).collect() == []
+
+
+def test_a_text_of_many_parts_takes_time_in_proportion(spark):
+    import time
+
+    def text(n):
+        return "\n".join(f"GET https://db{i}.example.com/a?x={i} by AKIA{i:016d} 200" for i in range(n))
+
+    secrets.scan(frame(spark, rows(text(10)))).collect()
+    began = time.time()
+    [row] = secrets.scan(frame(spark, rows(text(20_000)))).collect()
+    assert row.n_access == 20_000 and row.spans.count("endpoint:") == 20_000 and row.base == brute(text(20_000))[1]
+    assert time.time() - began < 40
+
+
+def test_weak_parts_inside_strong_ones_of_any_length_are_reported_once(spark):
+    long = "token=" + "z" * 900 + "/" + SECRET + "." + "y" * 900
+    texts = [f"{KEY} {long}", f"secret: {SECRET} {KEY}", f"{KEY} {SECRET} password={'x' * 1000}"]
+    got = {r.doc_id: re.sub(r":\d+:\d+", "", r.spans) for r in secrets.scan(frame(spark, rows(*texts))).collect()}
+    assert got == {1: "access,assign", 2: "assign,access", 3: "access,weak_secret,assign"}

@@ -29,19 +29,26 @@ COMPLEMENTS = {"weak_id": ("assign", "hex", "weak_secret"), "weak_secret": ("acc
 
 
 def _found(kind: str) -> Column:
-    """Array of struct(kind, at, gap, match, value) of one kind's matches; gap is the length of the text since the match before."""
+    """Array of struct(kind, at, gap, size, value) of one kind's matches; gap is the length of the text since the match before.
+
+    Each expression over the text stands outside the lambda, where it is evaluated once for the text.
+    """
     pattern, _, group = PATTERNS[kind]
     text, regex = F.col("text"), F.lit(pattern)
-    matches, gaps = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, regex, F.lit(group)) if group else matches
-    rows = F.transform(F.sequence(F.lit(0), F.size(matches) - 1), lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.length(F.get(gaps, i)).alias("gap"), F.length(F.get(matches, i)).alias("size"), F.length(F.get(values, i)).alias("value")))
+    parts = [F.regexp_extract_all(text, regex, F.lit(0)).alias("match"), F.split(text, pattern, -1).alias("gap")]
+    if group:
+        parts.append(F.regexp_extract_all(text, regex, F.lit(group)).alias("value"))
+    rows = F.transform(F.arrays_zip(*parts), lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.length(m["gap"]).alias("gap"), F.length(m["match"]).alias("size"), F.length(m["value" if group else "match"]).alias("value")))
+    rows = F.filter(rows, lambda m: m["size"].isNotNull())  # the text after the last match
     return F.when(text.rlike(pattern), rows).otherwise(F.array().cast("array<struct<kind:string,at:int,gap:int,size:int,value:int>>"))
 
 
 def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, text_hash, kind, start, end) of every reported span; code points, end exclusive, one row per distinct span.
 
-    Matches of a kind are leftmost and do not overlap; those too short for their kind are dropped.
+    Matches of a kind are leftmost and do not overlap; those too short for their kind are dropped. Null texts have
+    none; rows that repeat an id and a text give their spans once; spans of equal start and end but other kinds all
+    count; an empty table gives no rows.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     parts = rows.select("doc_id", "text_hash", F.concat(*map(_found, PATTERNS)).alias("found")).where(F.size("found") > 0).dropDuplicates(["doc_id", "text_hash"])
@@ -50,18 +57,25 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     least = F.create_map(*[F.lit(x) for kind, (_, n, _) in PATTERNS.items() for x in (kind, n)])
     spans = parts.withColumn("end", end).where(F.col("value") >= least[F.col("kind")]).select("doc_id", "text_hash", "kind", (F.col("end") - F.col("size")).alias("start"), "end")
     spans = shared_table(spans, "spans")
-    covered = spans.where(F.col("kind").isin(*STRONG)).select("doc_id", "text_hash", F.col("kind").alias("other"), F.col("start").alias("s2"), F.col("end").alias("e2"))
+    cell = lambda at: F.floor(at / scope).cast("long")
+    cells = F.explode(F.sequence(cell(F.col("start")), cell(F.col("end") - 1))).alias("cell")  # those that a span lies in
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"]) & (a["cell"] == b["cell"])
 
     kinds = F.array(*[F.struct(F.lit(weak).alias("needs"), F.lit(part).alias("kind")) for weak, own in COMPLEMENTS.items() for part in own])
     needs = spans.select("doc_id", "text_hash", F.col("kind").alias("part"), F.col("start").alias("near"), F.explode(kinds).alias("k")).where("part = k.kind").select("doc_id", "text_hash", F.col("k.needs").alias("kind"), "near")
-    cell = (F.col("near") / scope).cast("long")
-    needs = needs.select("*", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    weak = spans.where(~F.col("kind").isin(*STRONG)).withColumn("cell", (F.col("start") / scope).cast("long"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-    linked = weak.join(needs.hint("merge"), same(weak, needs) & (weak["kind"] == needs["kind"]) & (weak["cell"] == needs["cell"]) & (F.abs(weak["start"] - needs["near"]) <= scope), "left_semi")
+    needs = needs.select("*", F.explode(F.array(*[cell(F.col("near")) + i for i in (-1, 0, 1)])).alias("cell"))
+    weak = spans.where(~F.col("kind").isin(*STRONG)).withColumn("cell", cell(F.col("start")))
+    linked = weak.join(needs.hint("merge"), same(weak, needs) & (weak["kind"] == needs["kind"]) & (F.abs(weak["start"] - needs["near"]) <= scope), "left_semi").drop("cell")
+    linked = shared_table(linked, "linked")
     # what a strong span covers is reported once, by the strong span
-    linked = linked.join(covered.hint("merge"), same(linked, covered) & (linked["start"] < covered["e2"]) & (covered["s2"] < linked["end"]), "left_anti")
-    return spans.where(F.col("kind").isin(*STRONG)).unionByName(linked.drop("cell"))
+    placed = linked.select("*", cells)
+    covered = spans.where(F.col("kind").isin(*STRONG)).select("doc_id", "text_hash", F.col("start").alias("s2"), F.col("end").alias("e2"), cells)
+    hidden = placed.join(covered.hint("merge"), same(placed, covered) & (placed["start"] < covered["e2"]) & (covered["s2"] < placed["end"]), "left_semi").drop("cell").distinct()
+    alike = linked["doc_id"].eqNullSafe(hidden["doc_id"])
+    for c in ("text_hash", "kind", "start", "end"):
+        alike = alike & (linked[c] == hidden[c])
+    shown = linked.join(hidden.hint("merge"), alike, "left_anti")
+    return spans.where(F.col("kind").isin(*STRONG)).unionByName(shown)
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
