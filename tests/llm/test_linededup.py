@@ -11,7 +11,7 @@ def brute(rows, ratio):
     for host, text in {(host or "", text or "") for _, text, host in rows}:
         pages[host] += 1
         held.update({(host, x.strip(" \t\r")) for x in text.split("\n") if x.strip(" \t\r")})
-    bad = {k for k, n in held.items() if n > 2 and n - 2 > ratio * (pages[k[0]] - 2)}
+    bad = {k for k, n in held.items() if n > 1 and n > ratio * pages[k[0]]}
     out = []
     for i, text, host in rows:
         lines = (text or "").split("\n")
@@ -47,6 +47,20 @@ def test_small_sites_are_cleaned_and_exact_copies_are_one_page(spark):
     assert [got[i] for i in range(4)] == [f"own {i}" for i in range(4)] and {got[10 + i] for i in range(9)} == {"one copied page\nof two lines"}
 
 
+def test_two_pages_make_a_site_and_a_quotation_is_no_furniture(spark):
+    rows = [(1, "own 1\nmenu", "two.com"), (2, "own 2\nmenu", "two.com"), (3, "own 3\nmenu", "one.com")]
+    rows += [(100 + i, f"own {i}" + "\nas someone said" * (i < 4) + "\nfooter" * (i < 5), "hundred.com") for i in range(100)]
+    got = {r.doc_id: r.text for r in run(spark, rows).collect()}
+    assert (got[1], got[2], got[3]) == ("own 1", "own 2", "own 3\nmenu")
+    assert [got[100 + i] for i in range(5)] == [f"own {i}\nas someone said" for i in range(4)] + ["own 4"]
+
+
+def test_many_boilerplate_lines_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "KEYS_SENT", 0)
+    got = [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in run(spark, data()).collect()]
+    assert sorted(got, key=repr) == sorted(brute(data(), linededup.MAX_RATIO), key=repr)
+
+
 def test_columns_stay_and_tables_may_be_empty(spark):
     out = run(spark, data())
     assert out.columns == ["doc_id", "text", "source", "keys", "n_lines", "n_dropped"] and {r["keys"] for r in out.collect()} == {"keep"}

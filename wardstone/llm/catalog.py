@@ -41,7 +41,7 @@ WITH l AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS pa
            FROM (SELECT doc_id, source, text, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line
                  FROM (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
 n AS (SELECT coalesce(source, '') AS host, count(DISTINCT coalesce(text, '')) AS pages FROM documents GROUP BY 1),
-bad AS (SELECT host, bare FROM (SELECT DISTINCT host, page, bare FROM l WHERE bare IS NOT NULL) JOIN n USING (host) GROUP BY host, bare, pages HAVING count(*) > 2 AND count(*) - 2 > 0.02::DOUBLE * (pages - 2)),
+bad AS (SELECT host, bare FROM (SELECT DISTINCT host, page, bare FROM l WHERE bare IS NOT NULL) JOIN n USING (host) GROUP BY host, bare, pages HAVING count(*) > 1 AND count(*) > 0.04::DOUBLE * pages),
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(bad.bare) AS n_dropped, string_agg(CASE WHEN bad.bare IS NULL THEN line END, chr(10) ORDER BY i) AS text
       FROM l LEFT JOIN bad ON l.host = bad.host AND l.bare = bad.bare GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines, CASE WHEN d.text IS NULL THEN 0 ELSE n_dropped END AS n_dropped,

@@ -1,9 +1,8 @@
 """Line dedup by site-relative frequency (DataFrame functions only).
 
-A site's pages are its distinct texts, so that exact copies of a page count once. A line is boilerplate where,
-beyond the two pages that a single quotation makes, its share of the site's pages exceeds max_ratio. The shares of
-one site's lines add up to its mean lines per page, so a site has at most about (mean lines per page / max_ratio)
-boilerplate lines: they fit one row per site, whatever the site's size.
+A site's pages are its distinct texts, so that exact copies of a page count once. A line is boilerplate where two pages
+or more hold it and its share of the site's pages exceeds max_ratio. The shares of one site's lines add up to its mean
+lines per page, so a site has at most about (mean lines per page / max_ratio) boilerplate lines, whatever its size.
 """
 
 from __future__ import annotations
@@ -11,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardstone.llm.common import broadcast_if_small, fresh, shared_table
+from wardstone.llm.common import fresh, shared_table
 
-MAX_RATIO = 0.02  # a line that a reader meets on every fiftieth page of a site
+MAX_RATIO = 0.04  # a line that a reader meets on more than every twenty-fifth page of a site
+KEYS_SENT = 200_000  # boilerplate lines of all sites, of about 60 bytes each, that are sent to all tasks; more are joined by a shuffle
 
 
 def site_of(url: Column) -> Column:
@@ -36,27 +36,38 @@ def _host(host: Column | str) -> Column:
     return F.coalesce((F.col(host) if isinstance(host, str) else host).cast("string"), F.lit(""))
 
 
+def _page(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def _page_lines(rows: DataFrame) -> DataFrame:
+    """(host, page, key): each line of each distinct page once; rows are (host, text)."""
+    keys = F.array_distinct(F.transform(_lines(F.col("text")), _key))
+    return rows.select("host", _page(F.col("text")).alias("page"), F.explode(keys).alias("key")).where("key is not null").distinct()
+
+
 def boilerplate(docs: DataFrame, host: Column | str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
-    """(host, pages, keys): distinct pages of every host, and digests of its boilerplate lines (null without any).
+    """(host, key): digests of every host's boilerplate lines.
 
     A null text is the page without lines; a null host is the host ''.
     """
     rows = docs.select(_host(host).alias("host"), F.col(text_col).alias("text"))
-    page = F.md5(F.coalesce("text", F.lit("")))
-    total = rows.select("host", page.alias("page")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    keys = F.array_distinct(F.transform(_lines(F.col("text")), _key))
-    once = rows.select("host", page.alias("page"), F.explode(keys).alias("key")).where("key is not null").distinct()
-    held = once.groupBy("host", "key").agg(F.count("*").alias("held")).where("held > 2")
-    often = held.join(total, "host").where(F.col("held") - 2 > max_ratio * (F.col("pages") - 2))
-    return total.join(often.groupBy("host").agg(F.array_sort(F.collect_set("key")).alias("keys")), "host", "left")
+    total = rows.select("host", _page(F.col("text")).alias("page")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    held = _page_lines(rows).groupBy("host", "key").agg(F.count("*").alias("held")).where("held > 1")
+    return held.join(total, "host").where(F.col("held") > max_ratio * F.col("pages")).select("host", "key")
 
 
 def _judged(docs: DataFrame, host: Column | str, text_col: str, max_ratio: float) -> tuple[DataFrame, str]:
     """docs with one more column: a struct of the text that is left, the lines there were and those dropped; and its name."""
-    of, keys, lines, found, kept, out = fresh(docs, "of", "keys", "lines", "found", "kept", "judged")
-    known = boilerplate(docs, host, text_col, max_ratio).where("keys is not null").select(F.col("host").alias(of), F.col("keys").alias(keys))
-    rows = docs.join(broadcast_if_small(shared_table(known, "boilerplate")), _host(host) == F.col(of), "left")
-    text = F.col(text_col)
+    of, page, keys, lines, found, kept, out = fresh(docs, "of", "page", "keys", "lines", "found", "kept", "judged")
+    known, text = shared_table(boilerplate(docs, host, text_col, max_ratio), "boilerplate"), F.col(text_col)
+    if known.count() <= KEYS_SENT:
+        own = known.groupBy("host").agg(F.collect_set("key").alias(keys)).withColumnRenamed("host", of)
+        rows = docs.join(F.broadcast(own), _host(host) == F.col(of), "left").withColumn(page, F.lit(None))
+    else:  # lines meet boilerplate by host and digest; a page then gets its own boilerplate alone
+        own = _page_lines(docs.select(_host(host).alias("host"), text.alias("text"))).join(known, ["host", "key"])
+        own = own.groupBy(F.col("host").alias(of), F.col("page").alias(page)).agg(F.collect_set("key").alias(keys))
+        rows = docs.join(own, (_host(host) == F.col(of)) & (_page(text) == F.col(page)), "left")
     # the document's own boilerplate by one hashed intersection; lines are then held against that alone
     rows = rows.withColumn(lines, F.when(F.col(keys).isNotNull(), _lines(text))).withColumn(found, F.array_intersect(F.transform(lines, _key), F.col(keys)))
     left = F.when(text.isNotNull() & (F.size(found) > 0), F.filter(lines, lambda line: ~F.coalesce(F.array_contains(found, _key(line)), F.lit(False))))
@@ -64,7 +75,7 @@ def _judged(docs: DataFrame, host: Column | str, text_col: str, max_ratio: float
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(_lines(text)))
     n_dropped = F.when(F.col(kept).isNull(), 0).otherwise(n_lines - F.size(kept))
     judged = F.struct(F.when(F.col(kept).isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text"), n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
-    return rows.withColumn(out, judged).drop(of, keys, lines, found, kept), out
+    return rows.withColumn(out, judged).drop(of, page, keys, lines, found, kept), out
 
 
 def drop_boilerplate(docs: DataFrame, host: Column | str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO) -> DataFrame:
