@@ -177,6 +177,30 @@ def test_ranks_with_piled_up_values(spark):
     assert all(where[i] == i // 2 for i in range(len(v)))
 
 
+def test_draws_are_a_permutation_and_never_give_a_text_twice(spark):
+    for seed, spaces in ((3, {"a": C.Space("{BANS} {LIMITS}"), "b": C.Space("{LANGUAGES} {PIVOTS} {TASKS}. {ENDINGS}"), "c": C.Space("{BANS}")}),):
+        for name, space in spaces.items():
+            draws = spark.range(space.size).select(F.lit(name).alias("of"), F.col("id").alias("k"))
+            got = C.permuted(draws, seed, spaces)
+            assert got.select("left", "right").distinct().count() == space.size
+            assert got.agg(F.max("left"), F.max("right")).first()[:] == (space.sizes[0] - 1, space.sizes[1] - 1)
+    sizes = {f: C.space_of(f).size for f in C.FAMILIES}
+    draws = spark.range(12 * min(sizes.values()))
+    assert C.attacks(draws.withColumnRenamed("id", "draw"), 8).select("text").distinct().count() == draws.count()
+    kinds = spark.range(200).select(F.explode(F.array(*map(F.lit, C.BENIGN))).alias("kind"), F.col("id").alias("k"))
+    texts = C.benign_texts(kinds, 4)
+    assert texts.select("text").distinct().count() == 200 * len(C.BENIGN) and texts.where("text is null").isEmpty()
+
+
+def test_quotas_are_filled_beside_an_excluded_corpus_in_one_pass(spark):
+    one = C.generate(spark, 5, 200, 900).cache()
+    two = C.generate(spark, 5, 150, 900, exclude=one)  # the same seed: the first draws are all taken
+    counts = {r.name: r.n for r in two.groupBy(F.coalesce(F.nullif("family", F.lit("")), F.col("kind")).alias("name")).agg(F.count("*").alias("n")).collect()}
+    assert all(counts[f] == 150 for f in C.FAMILIES) and sum(counts[k] for k in C.BENIGN) == 900
+    assert two.join(one, "text").count() == 0 and two.select("text").distinct().count() == two.count()
+    assert C.generate(spark, 5, 10**6, 0).where("family = 'payload_splitting'").count() == C.space_of("payload_splitting").size  # all there are
+
+
 def test_lexicon_halves_share_no_words_and_draws_count_collisions(spark):
     for slot in C.LEXICON:
         a, b = set(C.words_of_slot(slot, 0)), set(C.words_of_slot(slot, 1))
@@ -186,7 +210,7 @@ def test_lexicon_halves_share_no_words_and_draws_count_collisions(spark):
     drawn = spark.createDataFrame([(1, "x", "t"), (2, "x", "t"), (3, "y", "u")], "draw long, family string, text string")
     assert {r.family: (r.requested, r.kept, r.collisions, r.rate) for r in C.collisions(drawn).collect()} == {"x": (2, 1, 1, 0.5), "y": (1, 1, 0, 0.0)}
     with pytest.raises(KeyError, match="direct_override"):
-        C.template_of("nothing")
+        C.templates_of("nothing")
     row = spark.range(1).select(C.look_alike(F.lit("peace"), 0.25).alias("a"), C.sprinkled(F.lit("abcdefg"), 6).alias("b"), C.without_accents(F.lit("Élève")).alias("c")).first()
     assert row.a != "peace" and row.b == "abcdef\u200bg" and row.c == "Eleve"
 
