@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wardstone import reports
 from wardstone.functions import features as X
 from wardstone.functions.registry import LAYERS
-from wardstone.operators import corpus, evaluate, metrics, training
+from wardstone.operators import corpus, descent, evaluate, merkle, metrics, training
 from wardstone.sources import audit, corpora
 
 #: name -> (seed, attacks per family, harmless messages)
@@ -65,15 +65,23 @@ def synth(spark, args):
 
 
 def check(spark, args):
-    same = corpora.corpus_digest(_generate(spark, args.plan, args.disjoint_from)) == corpora.corpus_digest(corpora.read_corpus(spark, args.corpus).drop("meta"))
-    print("the corpus matches its plan" if same else "the corpus differs from its plan")
-    return 0 if same else 2
+    grown, there = _generate(spark, args.plan, args.disjoint_from), corpora.read_corpus(spark, args.corpus).drop("meta")
+    # a plan's ordinals leave gaps, a file's are its lines: both are numbered anew
+    one, two = (merkle.tree(corpora.corpus_lines(corpora.numbered(d.withColumnRenamed("ordinal", "at"), "at")), "ordinal", F.col("value"), args.range) for d in (grown, there))
+    apart = merkle.first_difference(one, two)
+    if apart is None:
+        print("the corpus matches its plan")
+        return 0
+    print(f"the corpus differs from its plan, first among samples {apart.range * args.range + 1} to {(apart.range + 1) * args.range}")
+    return 2
 
 
 def train(spark, args):
     samples = corpora.read_corpus(spark, args.corpus)
     rows = evaluate.feature_rows(samples).withColumn("fold", F.lit("all"))
-    r = training.fit_folds(rows, X.BUCKETS, args.steps).first()
+    few = samples.limit(training.MAX_ROWS + 1).count() <= training.MAX_ROWS
+    fitted = training.fit_folds(rows, X.BUCKETS, args.steps) if few else descent.fit_folds(rows, ["all"], X.BUCKETS, args.steps, args.state)
+    r = fitted.first()
     import numpy as np
 
     families = [f.family for f in samples.where("family <> ''").select("family").distinct().collect()]
@@ -178,8 +186,8 @@ def parser() -> argparse.ArgumentParser:
     plan, text, switch = {"choices": sorted(PLANS), "default": "tiny"}, {"default": None}, {"action": "store_true"}
     steps, budget = {"type": int, "default": training.STEPS}, {"type": float, "default": 0.01}
     command("synth", synth, "out", plan=plan, disjoint_from=text)
-    command("check", check, "corpus", plan=plan, disjoint_from=text)
-    command("train", train, "corpus", "out", steps=steps)
+    command("check", check, "corpus", plan=plan, disjoint_from=text, range={"type": int, "default": 16})
+    command("train", train, "corpus", "out", steps=steps, state=text)
     command("scan", scan, "messages", model=text, enforce=switch, record=text)
     command("evaluate", evaluate_, "training", "evaluation", budget=budget, steps=steps, drop_shared=switch, json_out=text, markdown_out=text, junit_out=text, baseline={"default": "baseline.json"}, update_baseline=switch, no_gate=switch, max_family_bypass={"type": float, "default": 1.0})
     command("calibrate", calibrate, "corpus", model=text, budget=budget)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardstone.operators import merkle
 from wardstone.operators import metrics as M
 from wardstone.operators import samples as P
 from wardstone.tables import read_table, shared_path
@@ -119,6 +120,18 @@ def sample_digests(spark, sf_dir):
     return P.line_digests(samples(spark, sf_dir), ("label", "sample_id", "text"))
 
 
+def digest_leaves(spark, sf_dir):
+    """The leaves of the hash tree over all documents' texts in the order of their ids, 64 to a leaf."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return merkle.leaves(docs, "doc_id", F.col("text"), 64)
+
+
+def digest_levels(spark, sf_dir):
+    """The whole hash tree over the documents' texts, 64 digests to a node: every level's ranges up to the root."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return merkle.tree(docs, "doc_id", F.col("text"), 64)
+
+
 def audit_rows(spark, sf_dir):
     """The audit log's (at, decision, score): event types as decisions, values scaled to scores."""
     events = read_table(spark, sf_dir, "events")
@@ -181,10 +194,17 @@ _AUDIT = "a AS (SELECT ts, event_type, CASE WHEN event_type IS NULL THEN 'unknow
 
 
 def queries() -> dict:
-    found = (wilson_by_group, bypass_by_group, flag_rate_by_group, confusion_at_threshold, roc_auc, roc_auc_overall, calibrate_threshold, benign_halves, control_stride, fold_scores, pooled_bypass, baseline_gate, overlap_semi, overlap_anti, corpus_counts, validate_samples, sample_digests, audit_summary, audit_quantiles, audit_windows, request_path)
+    found = (wilson_by_group, bypass_by_group, flag_rate_by_group, confusion_at_threshold, roc_auc, roc_auc_overall, calibrate_threshold, benign_halves, control_stride, fold_scores, pooled_bypass, baseline_gate, overlap_semi, overlap_anti, corpus_counts, validate_samples, sample_digests, digest_leaves, digest_levels, audit_summary, audit_quantiles, audit_windows, request_path)
     return {f.__name__: f for f in found}
 
 
+_LEAVES = "l0 AS MATERIALIZED (SELECT pos // 64 AS range, min(doc_id) AS first, count(*) AS rows, sha256(string_agg(d, '' ORDER BY pos)) AS digest FROM (SELECT doc_id, sha256(coalesce(text, '')) AS d, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) GROUP BY 1)"
+
+
+def _fold_sql(i: int) -> str:
+    return f"l{i + 1} AS MATERIALIZED (SELECT range // 64 AS range, min(first) AS first, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(digest, '' ORDER BY l{i}.range)) AS digest FROM l{i} GROUP BY l{i}.range // 64)"
+
+
 def oracle_sql() -> dict[str, str]:
     gate = lambda where: f"SELECT family, {_div('fn', 'tp + fn')} AS bypass, ({_div('fp', 'fp + tn')}) / 20 AS fpr FROM (SELECT family, {_CONF} FROM s WHERE {where} GROUP BY family)"
     return {
@@ -201,6 +221,8 @@ def oracle_sql() -> dict[str, str]:
         "overlap_anti": "SELECT lang, count(*) AS n FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.text = d.text) GROUP BY lang",
         "corpus_counts": f"WITH {_SAMPLES} SELECT coalesce(nullif(family, ''), kind) AS name, count(*) AS n FROM p GROUP BY 1",
         "validate_samples": f"WITH {_SAMPLES} SELECT CASE WHEN coalesce(length(text), 0) < 1 THEN 'text_empty' WHEN length(text) > 20000 THEN 'text_long' WHEN NOT regexp_matches(text, '\\S') THEN 'text_blank' WHEN label = 'attack' AND family = '' THEN 'attack_without_family' WHEN label = 'attack' AND kind <> '' THEN 'attack_with_kind' WHEN label = 'benign' AND kind = '' THEN 'benign_without_kind' END AS error, count(*) AS n FROM p GROUP BY 1",
+        "digest_leaves": f"WITH {_LEAVES} SELECT range, first, rows, digest FROM l0",
+        "digest_levels": f"WITH {_LEAVES}, {_fold_sql(0)}, {_fold_sql(1)}, {_fold_sql(2)}, {_fold_sql(3)} SELECT * FROM ({' UNION ALL '.join(f'SELECT {i} AS level, range, first, rows, digest FROM l{i} WHERE {i} = 0 OR (SELECT count(*) FROM l{max(i - 1, 0)}) > 1' for i in range(5))})",
         "sample_digests": f"WITH {_SAMPLES} SELECT ordinal, sha256(CAST(to_json({{'label': label, 'sample_id': sample_id, 'text': text}}) AS VARCHAR)) AS digest FROM p",
         "audit_summary": f"WITH {_AUDIT}, g AS (SELECT coalesce(event_type, 'all') AS event_type, count(*) AS total, count(*) FILTER (decision = 'allow') AS allowed, count(*) FILTER (decision = 'flag') AS flagged, count(*) FILTER (decision = 'block') AS blocked FROM a GROUP BY ROLLUP (event_type)) SELECT *, round(CASE WHEN total > 0 THEN CAST(total - allowed AS DOUBLE) / total ELSE 0.0 END, 9) AS flag_rate FROM g",
         "audit_quantiles": f"WITH {_AUDIT}, r AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM a WHERE decision = 'allow'), q(name, share) AS (VALUES ('p50', 0.5::DOUBLE), ('p90', 0.9), ('p99', 0.99), ('max', 1.0)) SELECT name, score AS value FROM q JOIN r ON i = least(n - 1, floor(share * (n - 1) + 0.5))",

@@ -1,7 +1,8 @@
 """Corpora, messages, models and baselines on disk.
 
-Corpora are JSON lines (plain or .gz, by suffix alone), one sample a line. Reading is strict: unknown fields,
-broken lines and invalid samples are named by line; the decompressed size is bounded before anything is parsed.
+Corpora are JSON lines (plain or .gz, by suffix alone), one sample a line, in a file or a folder of part files. Reading
+is strict: unknown fields, broken lines and invalid samples are named by line; the decompressed size and the length of
+a line are bounded before anything is parsed, and numbers of lines hold over any number of splits.
 """
 
 from __future__ import annotations
@@ -10,13 +11,17 @@ import gzip
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardstone.operators import merkle
+from wardstone.operators.metrics import with_position
 from wardstone.operators.samples import error_code
 from wardstone.operators.training import Fit
+from wardstone.sources.lines import MAX_BYTES, TooLarge, read_lines
+from wardstone.sources.parts import PART_ROWS, write_parts
 
-MAX_BYTES = 256 * 1024 * 1024  # of one corpus, decompressed
 FIELDS = ("sample_id", "text", "label", "family", "kind", "meta")
 SCHEMA = "sample_id string, text string, label string, family string, kind string, meta map<string,string>"
 
@@ -35,10 +40,10 @@ def read_corpus(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> D
     Fails with the first bad line's number for broken JSON, unknown fields or an invalid sample, and for repeated
     ids, an empty corpus or one larger than max_bytes.
     """
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id() + 1)  # one file is read in order
-    size = lines.agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).first()[0]
-    if size > max_bytes:
-        raise SourceError(f"{path}: more than {max_bytes} bytes decompressed")
+    lines = _lines(spark, path, max_bytes)
+    bad = lines.where("error is not null").orderBy("line").first()
+    if bad:
+        raise SourceError(f"{path}:{bad['line']}: {bad['error']}")
     rows = lines.where(F.trim("value") != "").select("line", F.from_json("value", SCHEMA).alias("s"), F.json_object_keys("value").alias("keys"), F.get_json_object("value", "$").alias("whole"))
     rows = rows.select("line", "keys", "whole", "s.*")
     broken = F.when(F.col("whole").isNull() | F.col("keys").isNull(), "not_json").when(F.size(F.array_except("keys", F.array(*map(F.lit, FIELDS)))) > 0, "unknown_field").otherwise(error_code())
@@ -54,6 +59,16 @@ def read_corpus(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> D
     return out
 
 
+def _lines(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
+    """bounded lines (line, value, error) of a path; files that cannot be used are SourceErrors."""
+    try:
+        return read_lines(spark, path, max_bytes)
+    except (TooLarge, FileNotFoundError) as e:
+        raise SourceError(str(e)) from e
+    except PySparkException as e:
+        raise SourceError(f"{path}: not readable: {str(e).strip().splitlines()[-1]}") from e
+
+
 def corpus_lines(samples: DataFrame) -> DataFrame:
     """(ordinal, value): each sample as JSON with sorted keys."""
     fields = sorted(c for c in samples.columns if c in FIELDS)
@@ -68,16 +83,17 @@ def write_corpus(samples: DataFrame, path: str) -> None:
             out.write(row["value"].encode() + b"\n")
 
 
-def write_corpus_folder(samples: DataFrame, path: str, compressed: bool = False) -> None:
-    """The same lines as a folder of part files in order, for corpora beyond one file."""
-    lines = corpus_lines(samples).repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("value")
-    lines.write.text(path, compression="gzip" if compressed else None)
+def write_corpus_folder(samples: DataFrame, path: str, compressed: bool = False, part_rows: int = PART_ROWS) -> None:
+    """The same lines as a folder of numbered part files in order, for corpora beyond one file: committed as a whole, and
+    byte for byte the same for the same samples."""
+    write_parts(corpus_lines(samples), path, compressed=compressed, part_rows=part_rows)
 
 
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """(line, text): one message a line, white-space lines dropped."""
-    rows = spark.read.text(path).select((F.monotonically_increasing_id() + 1).alias("line"), F.col("value").alias("text"))
-    return rows.where(F.col("text").rlike(r"(?U)\S"))
+def read_messages(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(line, text): one message a line, white-space lines dropped; bounded like a corpus."""
+    lines = _lines(spark, path, max_bytes)
+    text = F.when(F.col("error").isNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit(f"{path}:"), F.col("line").cast("string"), F.lit(": "), F.col("error"))).cast("string"))
+    return lines.select("line", text.alias("text")).where(F.col("text").rlike(r"(?U)\S"))
 
 
 def save_model(fit: Fit, path: str) -> None:
@@ -115,15 +131,10 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus_digest(samples: DataFrame) -> str:
-    """sha256 over the ordered JSON lines; rows are digested where they lie, the digests are folded in order."""
-    from hashlib import sha256
-
-    out = sha256()
-    for row in corpus_lines(samples).select("ordinal", F.sha2("value", 256).alias("d")).orderBy("ordinal").toLocalIterator():
-        out.update(row["d"].encode())
-    return f"sha256:{out.hexdigest()}"
+    """The root of the hash tree over the ordered JSON lines; nothing but the root reaches the driver."""
+    return merkle.root(merkle.tree(corpus_lines(samples), "ordinal", F.col("value")))
 
 
 def numbered(samples: DataFrame, order: str) -> DataFrame:
-    """samples with a dense ordinal in the order of a column, for corpora small enough to be written as one file."""
-    return samples.withColumn("ordinal", F.row_number().over(Window.orderBy(order)))
+    """samples with a dense ordinal from 1 in the order of a column without nulls or repeats."""
+    return with_position(samples, order).withColumn("ordinal", F.col("position") + 1).drop("position")
