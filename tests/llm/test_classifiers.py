@@ -1,7 +1,10 @@
 import random
+import subprocess
+import sys
 from zlib import crc32
 
 import numpy as np
+import pytest
 
 from tests.llm.texts import ODD
 from pyspark.sql import functions as F
@@ -97,3 +100,30 @@ def test_an_oversized_text_does_not_end_the_sample(spark):
     docs = spark.createDataFrame([(first, "x" * 500)] + [(i, f"text {i}") for i in others], "doc_id long, text string")
     marks = spark.createDataFrame([(i, i % 2) for i in [first, *others]], "doc_id long, label int")
     assert quality.labelled_sample(docs, marks, 100, 400) == ([f"text {i}" for i in sorted(others)], [i % 2 for i in sorted(others)])
+
+
+def test_repeats_of_one_id_do_not_fill_the_sample(spark):
+    docs = [(i, f"text number {i}", "x") for i in range(300)]
+    ids = spark.createDataFrame([(i,) for i, *_ in docs], "doc_id long").where(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id")
+    first = ids.first().doc_id
+    repeated = spark.createDataFrame([*docs, *[(first, f"text number {first}", "x")] * 7000, (first, None, "x"), (first, "y", "x")], "doc_id long, text string, label string")
+    marks = spark.createDataFrame([(i, i % 2) for i, *_ in docs], "doc_id long, label int")
+    texts, labels = quality.labelled_sample(repeated, marks, 50, 10**6)
+    want = sorted(r.doc_id for r in ids.limit(50).collect())
+    assert labels == [i % 2 for i in want] and texts == ["" if i == first else f"text number {i}" for i in want]
+    assert quality.labelled_sample(repeated.where("false"), marks, 50, 10**6) == ([], [])
+
+
+@pytest.mark.parametrize("text", ["word\n" * 2_000_000, "wörd\t" * 1_500_000, "x" * 8_000_000, "漢" * 4_000_000])
+def test_very_long_texts_are_scored_in_pieces_whatever_their_blanks(text):
+    assert "".join(quality.parts(text)) == text
+    assert max(map(len, quality.parts(text))) <= 2 << 20
+    code = f"import resource, sys; import numpy as np; from wardstone.llm import language, quality; text = {text[:5]!r} * {len(text) // len(text[:5])}; logits = np.zeros(2 * quality.BUCKETS); model = language.Model(['a', 'b'], np.zeros((language.BUCKETS, 2)), np.zeros(2), 1.0); base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; quality.score_texts([text], logits, 0.0); model.predict(text); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base)"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=240, cwd=quality.__file__.rsplit("/wardstone/", 1)[0])
+    assert done.returncode == 0, done.stderr[-1000:]
+    assert int(done.stdout) < 400 * 1024
+
+
+def test_a_classifier_fitted_on_nothing_judges_nothing(spark):
+    docs = spark.createDataFrame([(1, "a", "b"), (None, None, "c")], "doc_id long, text string, lang string")
+    assert quality.keep_good(docs, quality.fit([], [])).count() == 2

@@ -50,23 +50,39 @@ def paths(t, s, last=-1):
     """Every path of the composed lattice of a chunk, with its weight."""
     if not s:
         yield [], 0.0
+    written = s.translate({32: "▁", 0xD800: "▁"})  # what the normaliser writes
     for n in range(1, len(s) + 1):
-        piece = t.arcs.get(s[:n])
-        if piece is None and n == 1:
-            piece = -1 - ord(s[0])
-        if piece is not None and not (t.merges and last >= 0 and piece >= 0 and not t.accepts(last, piece)):
+        piece = t.made.get(written[:n])
+        if piece is not None and not (t.merges and last >= 0 and not t.accepts(last, piece)):
             for rest, weight in paths(t, s[n:], piece):
-                yield [piece, *rest], weight + t.weight.get(piece, t.unknown)
+                yield [piece, *rest], weight + t.weight[piece]
+        elif piece is None and n == 1:
+            chain = [t.byte[b] for b in s[0].encode()]
+            for rest, weight in paths(t, s[1:], chain[-1]):
+                yield [*chain, *rest], weight + t.unknown
 
 
 def test_the_shortest_of_all_paths_is_taken():
     rng = random.Random(6)
-    words = ["▁the", "▁weights", "straße", "▁aaaaaaaa", "▁12漢3"] + ["▁" + "".join(rng.choice("aeinrst") for _ in range(8)) for _ in range(40)]
+    words = [wfst.BEGIN + "the", " weights", "straße", "▁aaaaaaaa", " 12漢3", "   ab", "\x00\ue000x", "     "] + [" " + "".join(rng.choice("aeinrst") for _ in range(8)) for _ in range(40)]
     merge, one = wfst.transducer(PATH), wfst.Transducer(unigram())
     for w in words:
         assert [p for p, _ in paths(merge, w)] == [merge._shortest(w)]  # the acceptor leaves one path
         found = one._shortest(w)
         assert min(x for _, x in paths(one, w)) == pytest.approx(next(x for p, x in paths(one, w) if p == found))
+    for t in (merge, one):
+        assert t._shortest_many(words) == [t._shortest(w) for w in words]
+
+
+def test_runs_of_blanks_and_long_chunks_are_paths_like_any_other():
+    own, library = wfst.transducer(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    rng = random.Random(8)
+    for n in [*range(1, 70), 200, 1001]:
+        for s in (" " * n, "a" + " " * n, " " * n + "b", "x" + " " * n + "the", "▁" * n + "\n" + " " * (n // 2)):
+            assert own.encode(s).tolist() == library.encode(s), (n, s[:3])
+    for alphabet in ("ab", "aeinrst漢字", "\x00\ue000é", "=-#*"):
+        s = "".join(rng.choice(alphabet) for _ in range(3000))
+        assert own.encode(s).tolist() == library.encode(s)
 
 
 def test_a_full_memory_changes_nothing(monkeypatch):

@@ -70,6 +70,7 @@ class Classifier:
     embedding: np.ndarray  # (2 * BUCKETS, DIM)
     output: np.ndarray  # (DIM, 2)
     bias: np.ndarray  # (2,)
+    rows: int = 0  # texts it was fitted on
 
     def logits(self) -> np.ndarray:
         """Of class 1 against class 0, for each embedding row: averaging rows and averaging these agree."""
@@ -114,7 +115,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 11, epochs: int
     for text, label in zip(texts, labels, strict=True):
         rows, n = np.unique(np.concatenate([np.empty(0, np.int64), *map(document_rows, parts(text))]), return_counts=True)
         docs.append((rows.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32), int(label)))
-    steps, done = max(1, epochs * len(docs)), 0
+    model.rows, steps, done = len(docs), max(1, epochs * len(docs)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(docs)):
             rows, share, y = docs[k]
@@ -185,8 +186,10 @@ def keep_good(docs: DataFrame, model: Classifier, threshold: float = 0.7) -> Dat
     """The rows of docs, whole and in all columns whatever their names, whose text scores at least threshold.
 
     Every row is judged by its own text, repeated rows alike; null and empty texts are texts without words; a score at
-    the threshold is kept; an empty table stays empty.
+    the threshold is kept; an empty table stays empty. A classifier that was fitted on nothing judges nothing: all rows stay.
     """
+    if not model.rows:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast((model.logits(), float(model.bias[1] - model.bias[0])))
     text = docs.columns.index("text")
 

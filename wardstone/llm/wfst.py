@@ -2,19 +2,20 @@
 
 A model compiles into transducers that are composed lazily with each input:
 
-* the normaliser: one arc that writes a leading blank, then a state whose arcs map blanks to U+2581 and every other
-  character to itself;
-* the pieces: an arc from a piece's characters to its id, weighing minus its score;
-* byte fallback: for a character that no piece begins with, a chain of arcs to its bytes' ids;
+* the normaliser: an arc at the start of a text that writes a leading blank, and arcs that map blanks to U+2581 and every
+  other character to itself. It is composed with the pieces when compiling: the piece arcs read the text as it is;
+* byte fallback: a character that is no piece becomes a chain of arcs, one to each of its bytes' ids;
+* the pieces: a trie of arcs from a piece's characters, ending in its id, weighing minus its score;
 * for a merge model (BPE), the acceptor of neighbouring pieces: its states are pieces, and an arc leads from one to
   the next if merging the characters of both ends in these two. A sequence of such arcs is the merge order's own
-  result, so the composed lattice holds one complete path. For a unigram model it has one state and accepts all.
+  result, runs of blanks included, so the composed lattice holds one complete path. For a unigram model it has one
+  state and accepts all.
 
 A state of the composition is a position with the acceptor's state. Positions are its topological order; each arc
 out of a position relaxes the state it leads to in the tropical semiring (sums along a path, the least over paths),
-and the least state at the end gives the path back.
+and the least state at the end gives the path back, which is the ids.
 
-No piece spans a line break or starts a blank inside a word (checked when compiling), so the lattice has cut
+No piece spans a line break or holds a blank after another character (checked when compiling), so the lattice has cut
 points there and falls into chunks, whose paths a worker remembers.
 """
 
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
+BEGIN = "\ud800"  # stands before the first character on the input tape; no Unicode text holds it
+BYTE = 0x110000  # the symbol of byte b on the tape is BYTE + b, beyond all characters
 CHUNKS_KEPT = 120_000  # chunk paths a worker remembers
 WORDS_AT_ONCE = 4_000  # chunks that are relaxed together
 LONG = 64  # characters of a chunk, beyond which it is not relaxed together with others
-_CHUNK = re.compile(r" *[^ \n]+| +|\n")
+_CHUNK = re.compile(rf"[ {BLANK}{BEGIN}]*[^ {BLANK}{BEGIN}\n]+|[ {BLANK}{BEGIN}]+|\n")
 
 
 class Transducer:
@@ -63,24 +66,17 @@ class Transducer:
             else:
                 self.bytes_of.append(b"")
         self.text_of = {i: s for s, i in self.arcs.items()}
-        self.longest = max(map(len, self.arcs))
-        beyond: dict[str, set[int]] = {}
-        for s in self.arcs:
-            if len(s) > 4:
-                beyond.setdefault(s[:4], set()).add(len(s))
-        #: Lengths of the longer pieces that begin with four characters, longest first
-        self.lengths = {s: tuple(sorted(n, reverse=True)) for s, n in beyond.items()}
-        self.leaving: dict[str, tuple] = {}
-        self.passes: dict[int, bool] = {}  # arcs of the acceptor found so far, and pairs without one
         if any("\n" in s and len(s) > 1 or BLANK in s.lstrip(BLANK) for s in self.arcs):
             raise ValueError("pieces span cut points")
-        self.blank = self.arcs.get(BLANK)
+        if any(c not in self.arcs for s in self.arcs for c in s):
+            raise ValueError("characters of pieces must be pieces")
+        self.passes: dict[int, bool] = {}  # arcs of the acceptor found so far, and pairs without one
         self.unknown = max(self.weight.values(), default=0) + 10.0
         self.width = "<u2" if len(proto.pieces) <= 1 << 16 else "<u4"
         self.code = "H" if self.width == "<u2" else "I"
         self.known: dict[str, bytes] = {}
         self.often: set[str] = set()
-        self.normal = (" ", BLANK)  # the normaliser's one arc that changes a character
+        self.made = dict(self.arcs)
         if self.merges:
             self._compile_pairs()
         self._compile_tables()
@@ -88,18 +84,16 @@ class Transducer:
     # -- the acceptor of neighbouring pieces ---------------------------------------------------------
 
     def _compile_pairs(self):
-        runs = {s for s in self.arcs if not s.strip(BLANK)}
-        lightest_run = min((self.weight[self.arcs[s]] for s in runs if len(s) > 1), default=np.inf)
-        if any(self.weight[i] >= lightest_run for s, i in self.arcs.items() if s not in runs and len(s) > 1) or any(len(s.lstrip(BLANK)) < len(s) - 1 for s in self.arcs if s not in runs):
-            raise ValueError("runs of blanks must merge last, and pieces begin with one blank at most")
         #: Rank of the merge that makes a piece; characters are never made. Parts: what that merge joined.
         self.rank = {i: -1.0 if len(s) == 1 else self.weight[i] for s, i in self.arcs.items()}
         self.parts: dict[int, tuple[int, int]] = {}
         for s, i in sorted(self.arcs.items(), key=lambda x: self.rank[x[1]]):
-            if len(s) > 1 and s not in runs:
-                self.parts[i] = self._last_merge(s)
-                if self.parts[i][0] < 0:
-                    raise ValueError(f"merging never makes the piece {s!r}")
+            if len(s) > 1:
+                parts = self._last_merge(s)
+                if parts[0] >= 0:
+                    self.parts[i] = parts
+                else:  # merging never makes it, so no arc leads to it
+                    del self.made[s]
 
     def _last_merge(self, s: str) -> tuple[int, int]:
         symbols = [self.arcs.get(c, -1) for c in s]
@@ -115,6 +109,8 @@ class Transducer:
 
     def accepts(self, left: int, right: int) -> bool:
         """Whether merging the characters of two pieces ends in these two: no merge across the seam comes first."""
+        if self.is_byte[left] or self.is_byte[right]:  # bytes merge with nothing
+            return True
         key = left << 20 | right
         known = self.passes.get(key)
         if known is None:
@@ -138,24 +134,28 @@ class Transducer:
 
     # -- shortest paths ------------------------------------------------------------------------------
 
-    def _arcs(self, head: str) -> tuple[tuple[int, int | None, float], ...]:
-        """(characters, id, weight) of the arcs that leave a position where a text goes on with head, of up to four
-        characters. Arcs longer than head are named by their length alone; byte fallback is minus one minus the character."""
-        if len(self.leaving) > 100_000:
-            self.leaving.clear()
-        near = [(n, self.arcs[head[:n]], self.weight[self.arcs[head[:n]]]) for n in range(1, len(head) + 1) if head[:n] in self.arcs]
-        if not near or near[0][0] > 1:
-            near.insert(0, (1, -1 - ord(head[0]), self.unknown))
-        more = [(n, None, 0.0) for n in self.lengths.get(head, ())] if len(head) == 4 else []
-        found = self.leaving[head] = (*near, *more)
-        return found
-
-    def _shortest(self, s: str) -> list[int]:
-        """The ids on the shortest path of the lattice of a normalised chunk, byte fallback as minus one minus the character.
+    def _tape(self, chunk: str) -> np.ndarray:
+        """The symbols of a chunk: characters that are pieces as they are, others as a chain of their bytes."""
+        points = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        return points if self.single[points].all() else self._with_bytes(points, np.zeros(len(points), np.int64))[0]
+
+    def _with_bytes(self, points: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and their words, with the bytes of every character that is no piece in its place."""
+        at = np.flatnonzero(~self.single[points])
+        chains = [chr(c).encode("utf-8", "surrogatepass") for c in points[at].tolist()]
+        size = np.ones(len(points), np.int64)
+        size[at] = [len(c) for c in chains]
+        out = np.repeat(points, size)
+        out[np.repeat(~self.single[points], size)] = np.frombuffer(b"".join(chains), np.uint8).astype(np.int64) + BYTE
+        return out, np.repeat(word, size)
+
+    def _shortest(self, chunk: str) -> list[int]:
+        """The ids on the shortest path of a chunk's lattice, symbol by symbol.
 
         Of equally long paths of a unigram model that whose last arcs begin first.
         """
-        n, get, leaving, passes, accepts, weights, merges = len(s), self.arcs.get, self.leaving.get, self.passes.get, self.accepts, self.weight, self.merges
+        tape, step, piece_at, weights, merges = self._tape(chunk).tolist(), self.next_node, self.piece_list, self.weight_list, self.merges
+        n = len(tape)
         states: list = [None] * (n + 1)  # per position: (length, acceptor's state, state before)
         states[0] = [(0.0, -1, None)]
         for at in range(n):
@@ -164,28 +164,24 @@ class Transducer:
                 continue
             if not merges and len(here) > 1:
                 here = [min(here, key=lambda x: x[0])]
-            head = s[at : at + 4]
-            for size, piece, weight in leaving(head) or self._arcs(head):
-                if piece is None:
-                    piece = get(s[at : at + size])
-                    if piece is None or at + size > n:
-                        continue
-                    weight = weights[piece]
+            node, to = 0, at
+            while to < n and (node := step.get(node << 21 | tape[to])) is not None:
+                to += 1
+                piece = piece_at[node]
+                if piece < 0:
+                    continue
                 best = None
                 for state in here:
-                    left = state[1]
-                    if left >= 0 and piece >= 0 and merges:
-                        ok = passes(left << 20 | piece)
-                        if not (accepts(left, piece) if ok is None else ok):
-                            continue
+                    if merges and state[1] >= 0 and not self.accepts(state[1], piece):
+                        continue
                     if best is None or state[0] < best[0]:
                         best = state
                 if best is not None:
-                    to = at + size
+                    new = (best[0] + weights[piece], piece, best)
                     if states[to] is None:
-                        states[to] = [(best[0] + weight, piece, best)]
+                        states[to] = [new]
                     else:
-                        states[to].append((best[0] + weight, piece, best))
+                        states[to].append(new)
         state, path = min(states[n], key=lambda x: x[0]), []
         while state[2] is not None:
             path.append(state[1])
@@ -195,22 +191,39 @@ class Transducer:
     # -- the same relaxation for many chunks at once ---------------------------------------------------
 
     def _compile_tables(self):
-        """The piece arcs as a trie of (node, character) keys, and the merges across two pieces as (left, right) keys."""
+        """The normaliser, byte fallback and piece arcs as one trie of (node, symbol) keys, and the merges across two pieces
+        as (left, right) keys."""
         next_node, piece_at = {}, [-1]
-        for s, i in self.arcs.items():
+        read_as = {BLANK: (" ", BLANK, BEGIN)}  # what the normaliser writes as a character
+        for s, i in self.made.items():
             node = 0
             for c in s:
                 to = next_node.setdefault(node << 21 | ord(c), len(piece_at))
                 if to == len(piece_at):
                     piece_at.append(-1)
+                for other in read_as.get(c, ()):
+                    next_node[node << 21 | ord(other)] = to
                 node = to
             piece_at[node] = i
+        size = len(self.bytes_of)
+        self.is_byte = np.zeros(size, bool)
+        self.weight_of, self.rank_of, self.parts_of = np.zeros(size), np.full(size, -1.0), np.zeros((size, 2), np.int64)
+        for b, i in self.byte.items():
+            next_node[BYTE + b] = len(piece_at)
+            piece_at.append(i)
+            self.is_byte[i], self.weight_of[i] = True, 0.0 if b & 0xC0 == 0x80 else self.unknown  # a chain weighs this once
         order = sorted(next_node)
         self.step_key, self.step_to = np.array(order, np.int64), np.array([next_node[k] for k in order], np.int64)
-        self.piece_at, size = np.array(piece_at, np.int64), len(self.bytes_of)
-        self.weight_of, self.rank_of, self.parts_of = np.zeros(size), np.full(size, -1.0), np.zeros((size, 2), np.int64)
+        self.next_node, self.piece_list, self.piece_at = next_node, piece_at, np.array(piece_at, np.int64)
+        self.first_node = np.full(BYTE + 256, -1, np.int32)  # the arcs that leave the root, by symbol
+        for k, to in next_node.items():
+            if k < BYTE + 256:
+                self.first_node[k] = to
+        self.single = np.zeros(BYTE, bool)  # characters that are pieces after the normaliser
+        self.single[[k for k, to in next_node.items() if k < BYTE and piece_at[to] >= 0]] = True
         for i, w in self.weight.items():
             self.weight_of[i] = w
+        self.weight_list = self.weight_of.tolist()
         merged = {}
         if self.merges:
             for i, r in self.rank.items():
@@ -225,9 +238,9 @@ class Transducer:
         self.merge_key, self.merge_rank = np.array(order or [-1], np.int64), np.array([merged[k] for k in order] or [np.inf])
 
     def _accept_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """accepts() of many pairs; a character outside the vocabulary (negative) merges with nothing."""
+        """accepts() of many pairs."""
         ok = np.ones(len(left), bool)
-        at = np.flatnonzero((left >= 0) & (right >= 0))
+        at = np.flatnonzero(~(self.is_byte[left] | self.is_byte[right]))
         a, b, before, right_was = left[at], right[at], np.full(len(at), np.inf), np.zeros(len(at), bool)
         while len(at):
             key = a << 20 | b
@@ -246,30 +259,28 @@ class Transducer:
     def _shortest_many(self, words: list[str]) -> list[list[int]]:
         """_shortest() of chunks, none empty. A state of the composition is an arc that ends in it; positions go in order."""
         size = np.array([len(w) for w in words])
-        begin = np.r_[0, np.cumsum(size)]
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         word = np.repeat(np.arange(len(words)), size)
+        if not self.single[points].all():
+            points, word = self._with_bytes(points, word)
+            size = np.bincount(word, minlength=len(words))
+        begin = np.r_[0, np.cumsum(size)]
         last = begin[1:][word]  # where each position's word ends
-        place, node, reach = np.arange(len(points)), np.zeros(len(points), np.int64), np.arange(len(points))
-        found = []
+        place, node, reach, found = np.arange(len(points)), self.first_node[points].astype(np.int64), np.arange(1, len(points) + 1), []
         while len(place):  # walk the trie from every position at once
-            key = node << 21 | points[reach]
-            k = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
-            good = self.step_key[k] == key
-            place, node, reach = place[good], self.step_to[k[good]], reach[good] + 1
             piece = self.piece_at[node]
             some = piece >= 0
             found.append((place[some], reach[some], piece[some]))
             inside = reach < last[place]
             place, node, reach = place[inside], node[inside], reach[inside]
+            key = node << 21 | points[reach]
+            k = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
+            good = self.step_key[k] == key
+            place, node, reach = place[good], self.step_to[k[good]], reach[good] + 1
         start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        single = np.zeros(len(points), bool)
-        single[start[end == start + 1]] = True
-        alone = np.flatnonzero(~single)  # characters outside the vocabulary
-        start, end, piece = np.r_[start, alone], np.r_[end, alone + 1], np.r_[piece, -1 - points[alone]]
         order = np.lexsort((end, start))
         start, end, piece = start[order], end[order], piece[order]
-        weight = np.where(piece >= 0, self.weight_of[np.maximum(piece, 0)], self.unknown)
+        weight = self.weight_of[piece]
         leaving = np.searchsorted(start, np.arange(len(points) + 1))  # arcs that leave a position
         length, back = np.full(len(start), np.inf), np.full(len(start), -1)
         first = np.isin(start, begin[:-1])
@@ -302,49 +313,22 @@ class Transducer:
         ids, some = np.array(steps[0::2]).T, np.array(steps[1::2]).T
         return [row[:n][::-1].tolist() for row, n in zip(ids, some.sum(1).tolist(), strict=True)]
 
-    @lru_cache(maxsize=64)  # noqa: B019  one transducer lives as long as its worker
-    def _blanks(self, n: int) -> tuple[int, ...]:
-        """Path of a run of n blanks in a merge model: equal merges, leftmost first."""
-        longest = max((len(s) for s in self.arcs if not s.strip(BLANK)), default=1)
-        head = max(0, n - 3 * longest) // longest * longest
-        names = [BLANK] * (n - head)
-        while True:
-            k = next((k for k, (a, b) in enumerate(zip(names, names[1:], strict=False)) if a + b in self.arcs), None)
-            if k is None:
-                return (self.arcs[BLANK * longest],) * (head // longest) + tuple(self.arcs[s] for s in names)
-            names[k : k + 2] = [names[k] + names[k + 1]]
-
     def _learn(self, chunks: set[str]) -> None:
-        """Find and remember the ids of chunks: short words together, long ones and blanks by themselves."""
-        words, plan = {}, []
+        """Find and remember the ids of chunks: short ones together, long ones by themselves."""
+        short = sorted((c for c in chunks if len(c) <= LONG), key=len)  # of one length together: fewer steps for each part, whose arrays stay small
+        for at in range(0, len(short), WORDS_AT_ONCE):
+            part = short[at : at + WORDS_AT_ONCE]
+            for chunk, path in zip(part, self._shortest_many(part), strict=True):
+                self.known[chunk] = array(self.code, path).tobytes()
         for chunk in chunks:
-            whole = chunk.replace(*self.normal)
-            word = whole.lstrip(BLANK)
-            blanks = len(whole) - len(word)
-            # in a merge model the last blank may join the word, and the blanks before it merge among themselves
-            core = (whole[blanks - 1 :] if blanks else word) if self.merges and word else whole if not self.merges else ""
-            plan.append((chunk, core, blanks))
-            if 0 < len(core) <= LONG:
-                words[core] = None
-        paths, ordered = {}, sorted(words, key=len)  # words of one length together: fewer steps for each part, whose arrays stay small
-        for at in range(0, len(ordered), WORDS_AT_ONCE):
-            part = ordered[at : at + WORDS_AT_ONCE]
-            paths |= zip(part, self._shortest_many(part), strict=True)
-        for chunk, core, blanks in plan:
-            path = paths[core] if core in paths else self._shortest(core) if core else []
-            if self.merges and blanks:
-                own = bool(path) and path[0] == self.blank
-                path = [*self._blanks(blanks - bool(core) + own), *path[own:]]
-            if path and min(path) < 0:
-                path = [i for p in path for i in ((p,) if p >= 0 else (self.byte[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")))]
-            self.known[chunk] = array(self.code, path).tobytes()
+            if len(chunk) > LONG:
+                self.known[chunk] = array(self.code, self._shortest(chunk)).tobytes()
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts; null and empty texts have none. U+2581 in a text is a blank, as in the library."""
         out, held, waiting = [[] for _ in texts], [], 0
         for i, text in enumerate(texts):
-            # the normaliser's first arc; its others are taken chunk by chunk
-            chunks = _CHUNK.findall(" " + text.replace(BLANK, " ")) if text else []
+            chunks = _CHUNK.findall(BEGIN + text) if text else []
             for at in range(0, len(chunks), 20_000):
                 held.append((i, chunks[at : at + 20_000]))
                 waiting += len(held[-1][1])
