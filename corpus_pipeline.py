@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstone.llm import catalog, decontaminate, linededup, minhash, quality, wfst
-from wardstone.llm.common import shared_table
+from wardstone.llm.common import discard, shared_table
 from wardstone.tables import read_table
 
 
@@ -14,8 +14,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the quality classifier rejects go.
 
     The classifier learns from labelled rows outside the held-out fold. Null and empty texts are scored as texts
-    without words; every row is judged by itself, so repeated rows share their fate; without labels all scores
-    are 0.5 and all rows go; an empty table stays empty. Other columns stay, whatever their names.
+    without words; every row is judged by itself, so repeated rows share their fate; without usable labels there is
+    nothing to judge by and all rows stay; an empty table stays empty. Other columns stay, whatever their names.
     """
     return quality.keep_good(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
@@ -65,7 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's table; every other stage's table is deleted once the next one is written."""
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = shared_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
