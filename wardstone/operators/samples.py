@@ -29,6 +29,31 @@ def counts(samples: DataFrame) -> DataFrame:
     return samples.groupBy(F.coalesce(F.nullif("family", F.lit("")), F.col("kind")).alias("name")).agg(F.count("*").alias("n"))
 
 
+def texts(samples: DataFrame) -> DataFrame:
+    """(ordinal, text) of all samples."""
+    return samples.select("ordinal", "text")
+
+
+def labels(samples: DataFrame) -> DataFrame:
+    """(ordinal, attack): 1 for attacks, 0 for harmless samples."""
+    return samples.select("ordinal", (F.col("label") == "attack").cast("int").alias("attack"))
+
+
+def families(samples: DataFrame) -> DataFrame:
+    """(ordinal, family) of the attacks."""
+    return samples.where("label = 'attack'").select("ordinal", "family")
+
+
+def kinds(samples: DataFrame) -> DataFrame:
+    """(ordinal, kind) of the harmless samples."""
+    return samples.where("label = 'benign'").select("ordinal", "kind")
+
+
+def only(samples: DataFrame, families: tuple[str, ...] = (), kinds: tuple[str, ...] = ()) -> DataFrame:
+    """The attacks of the named families and the harmless samples of the named kinds."""
+    return samples.where((F.col("label") == "attack") & F.col("family").isin(*families) | (F.col("label") == "benign") & F.col("kind").isin(*kinds))
+
+
 def shared_texts(evaluation: DataFrame, training: DataFrame, keep: bool = True) -> DataFrame:
     """Evaluation rows whose text is among the training texts; with keep=False the others."""
     return evaluation.join(training.select("text").where("text is not null").distinct(), "text", "left_semi" if keep else "left_anti")

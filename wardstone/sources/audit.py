@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wardstone.functions import normalize as N
 from wardstone.functions import scoring as S
+from wardstone.functions.registry import disabled_for
+from wardstone.tables import shared_table
 
 SCHEMA = "at timestamp, fingerprint string, length int, score double, decision string, called boolean, layers struct<rules:double,signals:double,model:double,combined:double,decision:double>, reasons array<string>, text string"
 
@@ -29,6 +31,7 @@ class Policy:
     keep_text: bool = False
     salt: str = ""
     max_log_bytes: int = 64 * 1024 * 1024  # fixed value: a log of this size takes no more records
+    rotate: bool = False  # of a stream's log: its oldest batches make room instead
 
     def __post_init__(self):
         if not 0 <= self.flag <= self.block <= 1:
@@ -39,14 +42,16 @@ class Policy:
             object.__setattr__(self, "salt", token_hex(16))
 
 
-def inspect(messages: DataFrame, policy: Policy | None = None, text: str = "text", model_score: str | None = None) -> DataFrame:
+def inspect(messages: DataFrame, policy: Policy | None = None, text: str = "text", model_score: str | None = None, family: str | None = None) -> DataFrame:
     """messages with norm, score, decision, layers and reasons.
 
     model_score names a column with the learned layer's probability; it alone decides where given. Texts are
-    normalised in exact Unicode, as the learned layer's are.
+    normalised in exact Unicode, as the learned layer's are. family: the fold that holds this family out, without the
+    stages, rules and signals that it motivated.
     """
     policy = policy or Policy()
-    df = N.with_normalized(messages, text, exact=True).withColumn("__r", S.rule_hits(F.col("norm"))).withColumn("__s", S.signal_hits(F.col(text), F.col("norm")))
+    off = {layer: disabled_for(layer, family) for layer in ("stage", "rule", "signal")}
+    df = N.with_normalized(messages, text, off["stage"], exact=True).withColumn("__r", S.rule_hits(F.col("norm"), off["rule"])).withColumn("__s", S.signal_hits(F.col(text), F.col("norm"), off["signal"]))
     df = df.withColumn("__rl", S.rule_layer(F.col("__r"))).withColumn("__sl", S.signal_layer(F.col("__s")))
     model = F.col(model_score) if model_score else F.lit(0.0)
     df = df.withColumn("score", S.decision_score(F.col("__rl"), F.col("__sl"), model if model_score else None))
@@ -84,8 +89,11 @@ def append(found: DataFrame, policy: Policy) -> bool:
 
 
 def guard(messages: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
-    """Judge messages and, where the policy has a log, append their records; the verdicts."""
-    verdicts = inspect(messages, policy, text)
+    """Judge messages once and, where the policy has a log, append their records; the verdicts, as a shared table.
+
+    What is logged and what is returned are the same rows, whatever the messages' plan.
+    """
+    verdicts = shared_table(inspect(messages, policy, text), "verdicts")
     if policy.log:
         append(records(verdicts, policy, text), policy)
     return verdicts
@@ -105,8 +113,8 @@ def wrap(call, policy: Policy):
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log rows; lines that are no records are dropped."""
-    return spark.read.schema(SCHEMA).json(path, mode="DROPMALFORMED").where("decision is not null or score is not null")
+    """Log rows, those of a stream's batches too; lines that are no records are dropped."""
+    return spark.read.schema(SCHEMA).option("recursiveFileLookup", True).json(path, mode="DROPMALFORMED").where("decision is not null or score is not null")
 
 
 def summary(log: DataFrame) -> DataFrame:
@@ -114,6 +122,42 @@ def summary(log: DataFrame) -> DataFrame:
     return log.groupBy(F.coalesce("decision", F.lit("unknown")).alias("decision")).agg(F.count("*").alias("n"))
 
 
+def _batches(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, bytes) of a log's batch folders, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in files.listStatus(folder) if x.isDirectory() and x.getPath().getName().startswith("batch-")] if files.exists(folder) else []
+    return sorted((x.getName(), files.getContentSummary(x).getLength()) for x in found)
+
+
+def append_batch(found: DataFrame, batch: int, policy: Policy, path: str) -> bool:
+    """Write a stream's batch of records into its own folder of the log; whether they are there.
+
+    A batch that comes again replaces itself. Of a log that has reached max_log_bytes the oldest batches go where the
+    policy rotates; else the batch is not written. A failing disk never fails the stream.
+    """
+    spark, own = found.sparkSession, f"batch-{batch:012d}"
+    try:
+        total = log_bytes(spark, path) - dict(_batches(spark, path)).get(own, 0)
+        for name, size in _batches(spark, path) if policy.rotate else ():
+            if total >= policy.max_log_bytes and name < own:
+                gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+                gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+                total -= size
+        if total >= policy.max_log_bytes:
+            return False
+        found.write.mode("overwrite").json(f"{path}/{own}")
+    except (Py4JError, PySparkException, OSError) as e:
+        logging.getLogger(__name__).warning("a batch of the audit log was not written: %s", e)
+        return False
+    return True
+
+
 def guard_stream(messages: DataFrame, policy: Policy, path: str, checkpoint: str) -> StreamingQuery:
-    """Judge a stream of messages and append the records to a log folder; stateless, so nothing grows."""
-    return records(inspect(messages, policy), policy).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Judge a stream of messages and append the records to a log folder, a batch to a folder; stateless, so nothing grows.
+
+    A batch that is replayed after a failure adds nothing, and the log keeps to max_log_bytes but for its last batch.
+    """
+    judged = records(inspect(messages, policy), policy)
+    write = lambda rows, batch: append_batch(rows, batch, policy, path) and None
+    return judged.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
