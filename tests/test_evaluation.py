@@ -201,6 +201,20 @@ def test_quotas_are_filled_beside_an_excluded_corpus_in_one_pass(spark):
     assert C.generate(spark, 5, 10**6, 0).where("family = 'payload_splitting'").count() == C.space_of("payload_splitting").size  # all there are
 
 
+def test_any_number_of_groups_has_its_own_ranks(spark, monkeypatch):
+    monkeypatch.setattr(M, "KEYS_SENT", 3)
+    rng = np.random.default_rng(4)
+    rows = [(f"g{i % 40}" if i % 41 else None, float(rng.integers(0, 9)), int(rng.random() < 0.5), i) for i in range(1200)]
+    df = spark.createDataFrame(rows, "g string, v double, y int, id long")
+    got = {r.g: r.auc for r in M.roc_auc(df, F.col("y") == 1, "v", ("g",)).collect()}
+    assert len(got) == 41
+    for g in got:
+        a, b = ([v for k, v, y, _ in rows if k == g and y == w] for w in (1, 0))
+        assert abs(got[g] - np.mean([(x > z) + 0.5 * (x == z) for x in a for z in b])) < 1e-12
+    place = {r.id: r.position for r in M.with_position(df, "id", ("g",)).collect()}
+    assert all(place[i] == sum(1 for k, _, _, j in rows if k == g and j < i) for g, _, _, i in rows)
+
+
 def test_lexicon_halves_share_no_words_and_draws_count_collisions(spark):
     for slot in C.LEXICON:
         a, b = set(C.words_of_slot(slot, 0)), set(C.words_of_slot(slot, 1))

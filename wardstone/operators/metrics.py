@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardstone.tables import shared_table
+
 Z = 1.959963984540054  # fixed value: the two-sided 95 % normal quantile
 STEPS = 16  # ranges are found in two steps of as many
+KEYS_SENT = 1_000  # groups whose range bounds, 2 KB each, are sent to all tasks; those of more lie in a shared table
 
 
 def wilson(hits: Column, total: Column) -> Column:
@@ -55,11 +58,16 @@ def _bounds(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     shares = [i / (STEPS * STEPS) for i in range(1, STEPS * STEPS)]
     cut = F.percentile_approx(by, shares, 10_000).alias("cut")
     rows = (df.groupBy(*keys) if keys else df).agg(cut).where("cut is not null")
-    # a few hundred values per group of the evaluation
-    found = [(*[r[k] for k in keys], r["cut"][STEPS - 1 :: STEPS], [r["cut"][i : i + STEPS - 1] for i in range(0, STEPS * STEPS, STEPS)]) for r in rows.collect()]
+    few = rows.limit(KEYS_SENT + 1).collect()
+    if len(few) > KEYS_SENT:  # any number of keys: a table, joined by a shuffle
+        rows = shared_table(rows, "bounds")
+        coarse = F.transform(F.sequence(F.lit(STEPS - 1), F.lit(STEPS * STEPS - 2), F.lit(STEPS)), lambda i: F.get("cut", i))
+        fine = F.transform(F.sequence(F.lit(1), F.lit(STEPS * (STEPS - 1) + 1), F.lit(STEPS)), lambda i: F.slice("cut", i, F.lit(STEPS - 1)))
+        return rows.select(*keys, coarse.alias("coarse"), fine.alias("fine"))
+    found = [(*[r[k] for k in keys], r["cut"][STEPS - 1 :: STEPS], [r["cut"][i : i + STEPS - 1] for i in range(0, STEPS * STEPS, STEPS)]) for r in few]
     kind = df.schema[by].dataType.simpleString()
     own = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.sparkSession.createDataFrame(found, f"{own}{', ' * bool(keys)}coarse array<{kind}>, fine array<array<{kind}>>")
+    return F.broadcast(df.sparkSession.createDataFrame(found, f"{own}{', ' * bool(keys)}coarse array<{kind}>, fine array<array<{kind}>>"))
 
 
 def _running(df: DataFrame, keys: list[str], by: str, counts: list[str]) -> DataFrame:
@@ -68,7 +76,7 @@ def _running(df: DataFrame, keys: list[str], by: str, counts: list[str]) -> Data
     A null value of by has no place: its row is left out.
     """
     df = df.where(F.col(by).isNotNull())
-    bounds = F.broadcast(_bounds(df, keys, by))
+    bounds = _bounds(df, keys, by)
     same = [df[k].eqNullSafe(bounds[k]) for k in keys]
     df = df.join(bounds, same).drop(*[bounds[k] for k in keys]) if keys else df.crossJoin(bounds)  # one row of bounds
     high = F.size(F.filter("coarse", lambda x: x < F.col(by)))
