@@ -26,6 +26,15 @@ def test_base_equals_brute_force(spark):
     assert 0.5 <= got[n + 5].score < 1 and got[n + 4].score == 1 and got[1].score == 0
 
 
+def test_each_template_is_found_in_its_own_text_and_not_in_half_of_it(spark):
+    labels = sorted(license.TEXTS)
+    whole = [prose(i, 30) + " " + license.TEXTS[k].upper() + ". " + prose(i + 99, 30) for i, k in enumerate(labels)]
+    some = [prose(i, 30) + " " + " ".join(license.TEXTS[k].split()[: len(license.TEXTS[k].split()) // 3]) for i, k in enumerate(labels)]
+    got = {r.doc_id: r for r in license.scan(frame(spark, rows(*whole, *some))).collect()}
+    assert all(k in got[i].labels.split(",") and got[i].score == 1 for i, k in enumerate(labels, 1))
+    assert all(k not in got[len(labels) + i].labels.split(",") for i, k in enumerate(labels, 1))
+
+
 def test_repeats_nulls_and_empty(spark):
     t = "the mit license"
     got = [(r.doc_id, r.n_base) for r in license.scan(frame(spark, [(None, t, ""), (2, t, ""), (2, t, ""), (2, "no", "")])).collect()]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from wardstone.llm.common import broadcast_if_small, shared_table
 
 KEYS_PER_BUCKET = 50_000
-SHARD_BYTES = 32 << 20  # of text in a shard, on average
+SHARD_BYTES, LEAST_SHARD = 32 << 20, 1 << 20  # bytes of text in a shard, on average; at least where shards are made for more cores
 READ_BYTES = 8 << 20  # that are read from a shard at a time
 WORDS_KEPT = 500_000  # encoded words a worker remembers, from task to task
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("length", "<u4")])
@@ -331,7 +331,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, shard_byt
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, math.ceil(size / shard_bytes))
+    cores = docs.sparkSession.sparkContext.defaultParallelism  # a small table still has a shard for each, of LEAST_SHARD at least
+    parts = max(1, math.ceil(size / shard_bytes), min(cores, size // LEAST_SHARD))
     ranged = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     entries = shared_table(ranged.mapInArrow(_write_shards(folder, path, end_id), "doc_id long, repeat int, shard int, at long, n_tokens long"), "entries")
     shards = entries.groupBy("shard").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"))
