@@ -79,3 +79,12 @@ def test_repeats_nulls_and_empty_tables(spark):
     assert run(spark, [], ITEMS) == []
     assert run(spark, [(1, a, "")], []) == [(1, (13, 0, [], False))]
     assert SCHEMA.startswith("doc_id")
+
+
+def test_a_line_of_many_items_multiplies_nothing(spark):
+    line = prose(77, 13)
+    items = [(i, line + " " + prose(1000 + i, 5)) for i in range(300)] + [(1000 + i, line) for i in range(50)]
+    data = rows(*[prose(i, 60) + " " + line for i in range(40)], prose(5, 30))
+    got = dict(run(spark, data, items))
+    assert {i: got[i] for i, *_ in data} == {i: b for (i, *_), b in zip(data, brute([t for _, t, *_ in data], items), strict=True)}
+    assert len(got[1][2]) == 350 and got[41][2] == []

@@ -92,11 +92,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     hits = places.join(broadcast_if_small(prefix), ["k", "hash"]).where((start >= 0) & (start + F.col("n") <= F.col("n_words")))
     hits = hits.where(F.slice("around", start - F.col("first") + 1, F.col("n")) == F.col("window_words")).select("doc_id", "text_hash", start.alias("start"), "n", "window_words").distinct()
 
+    # windows of the same items share one set of them, so that a line that many items hold multiplies no hits
+    owned = windows.groupBy("window_words").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")).withColumn("of_items", F.sha2(F.to_json("items"), 256))
+    owned = shared_table(owned, "owned")
+    hits = shared_table(hits.join(broadcast_if_small(owned.select("window_words", "of_items")), "window_words").select("doc_id", "text_hash", "start", "n", "of_items"), "hits")
+
     ends = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))))
     zero = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(0).alias("upto"))
     union = F.aggregate("spans", zero, lambda a, s: F.struct((a.covered + F.greatest(s.end - F.greatest(s.start, a.upto), F.lit(0))).alias("covered"), F.greatest(a.upto, s.end).alias("upto")))
-    found = hits.join(broadcast_if_small(windows.select("window_words", "item_id")), "window_words").groupBy("doc_id", "text_hash").agg(ends.alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    found = found.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), union["covered"].alias("n_hit"), "item_ids")
+    found = hits.groupBy("doc_id", "text_hash").agg(ends.alias("spans")).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), union["covered"].alias("n_hit"))
+    sets = hits.select("doc_id", "text_hash", "of_items").distinct().join(owned.select("of_items", "items").distinct(), "of_items")
+    held = sets.groupBy(F.col("doc_id").alias("held_id"), F.col("text_hash").alias("held_hash")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
+    found = found.join(held, F.col("hit_id").eqNullSafe(F.col("held_id")) & (F.col("hit_hash") == F.col("held_hash")))
     joined = texts.withColumn("n_words", F.col("n_words").cast("long")).join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
