@@ -11,8 +11,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -158,14 +159,24 @@ BUILDERS = {"nfkc": nfkc, "zero_width": zero_width, "confusables": confusables,
 GROWING, AGAIN = ("decode", "reassemble"), ("nfkc", "zero_width", "confusables", "casefold")
 
 
-@F.pandas_udf(StringType())
-def nfkc_exact(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def _beyond_ascii(texts: pa.Array, plain: pa.Array, other) -> pa.Array:
+    """plain where a text is null or ASCII, as whole batches mostly are; other(text, place) for the rest."""
+    ascii_only = pc.fill_null(pc.string_is_ascii(texts), True)
+    places = np.flatnonzero(~ascii_only.to_numpy(zero_copy_only=False))
+    if not len(places):
+        return plain
+    found = [other(t, i) for t, i in zip(texts.take(pa.array(places)).to_pylist(), places.tolist(), strict=True)]
+    return pc.replace_with_mask(plain, pc.invert(ascii_only), pa.array(found, plain.type))
 
 
-@F.pandas_udf(StringType())
-def casefold_exact(s: pd.Series) -> pd.Series:
-    return s.map(str.casefold, na_action="ignore")
+@F.arrow_udf(StringType())
+def nfkc_exact(texts: pa.Array) -> pa.Array:
+    return _beyond_ascii(texts, texts, lambda t, _: unicodedata.normalize("NFKC", t))
+
+
+@F.arrow_udf(StringType())
+def casefold_exact(texts: pa.Array) -> pa.Array:
+    return _beyond_ascii(texts, pc.ascii_lower(texts), lambda t, _: t.casefold())
 
 
 def _with_last_exact(df: DataFrame, on: list[str]) -> DataFrame:
@@ -179,15 +190,17 @@ def _with_last_exact(df: DataFrame, on: list[str]) -> DataFrame:
         "confusables": lambda t: t.translate(table), "casefold": str.casefold,
     }
 
-    def one(text: str | None, grew: bool) -> str | None:
+    def one(text: str, grew: bool) -> str:
         for name in ["casefold"] * ("casefold" in on) + [n for n in AGAIN if n in on and grew]:
-            text = None if text is None else steps[name](text)
+            text = steps[name](text)
         return text
 
     def last(batches):
         for batch in batches:
-            norm = [one(t, g) for t, g in zip(batch["__grown"].to_pylist(), batch["__grew"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(norm, pa.string())], names=[*batch.schema.names, "norm"])
+            texts, grew = batch["__grown"], batch["__grew"]
+            # the character stages leave ASCII as it is, but for its case
+            norm = _beyond_ascii(texts, pc.ascii_lower(texts) if "casefold" in on else texts, lambda t, i, grew=grew: one(t, grew[i].as_py()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, norm], names=[*batch.schema.names, "norm"])
 
     df = df.drop("norm")
     return df.mapInArrow(last, StructType([*df.schema.fields, StructField("norm", StringType())]))
