@@ -208,12 +208,13 @@ def _stragglers(met: DataFrame, star: DataFrame, sizes: DataFrame, sets: DataFra
     joined = connected_components(star)
     comp = met.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     comp = shared_table(comp, "labelled")
-    still = comp.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    still = shared_table(comp.join(still, "band").select("rep", "hub", "comp").distinct(), "open")
+    still = comp.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band", "low")
+    still = shared_table(comp.join(still, "band").select("rep", "comp", "low").distinct(), "open")
     if still.isEmpty():
         return None
-    coarse = connected_components(still.select(F.col("rep").alias("src"), F.col("hub").alias("dst")))
-    member = still.select("rep", "comp").distinct().join(coarse.withColumnsRenamed({"node": "rep", "component": "coarse"}), "rep").join(sizes, "rep")
+    # components that meet in a band, not classes: a large group is one node, whatever its bands
+    coarse = connected_components(still.select(F.col("comp").alias("src"), F.col("low").alias("dst")))
+    member = still.select("rep", "comp").distinct().join(coarse.withColumnsRenamed({"node": "comp", "component": "coarse"}), "comp").join(sizes, "rep")
     member = shared_table(member.select("rep", "comp", "coarse", "n"), "member")
 
     by_comp = member.groupBy("coarse", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
