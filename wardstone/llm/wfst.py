@@ -40,6 +40,41 @@ LONG = 64  # characters of a chunk, beyond which it is not relaxed together with
 _CHUNK = re.compile(rf"[ {BLANK}{BEGIN}]*[^ {BLANK}{BEGIN}\n]+|[ {BLANK}{BEGIN}]+|\n")
 
 
+class Table:
+    """Numbers by key, for many keys at once: open addressing with a load of an eighth at most, so that one probe mostly settles a key."""
+
+    def __init__(self, entries: dict[int, float], default: float, kind: type):
+        bits = max(4, (8 * len(entries)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values, self.default = np.full(1 << bits, -1, np.int64), np.full(1 << bits, default, kind), default
+        keys, values = np.array(list(entries), np.int64), np.array(list(entries.values()), kind)
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] == -1)
+            _, first = np.unique(at[free], return_index=True)
+            own = free[first]
+            self.keys[at[own]], self.values[at[own]] = keys[own], values[own]
+            rest = np.delete(np.arange(len(keys)), own)
+            keys, values, at = keys[rest], values[rest], (at[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, the default for those that are none."""
+        at = self._slot(keys)
+        found, out = self.keys[at], self.values[at]
+        more = np.flatnonzero((found != keys) & (found != -1))
+        at = at[more]
+        while len(more):
+            at = (at + 1) & self.mask
+            found = self.keys[at]
+            out[more] = self.values[at]
+            on = np.flatnonzero((found != keys[more]) & (found != -1))
+            more, at = more[on], at[on]
+        return out
+
+
 class Transducer:
     """The compiled model at a path; encode and decode whole texts."""
 
@@ -212,8 +247,7 @@ class Transducer:
             next_node[BYTE + b] = len(piece_at)
             piece_at.append(i)
             self.is_byte[i], self.weight_of[i] = True, 0.0 if b & 0xC0 == 0x80 else self.unknown  # a chain weighs this once
-        order = sorted(next_node)
-        self.step_key, self.step_to = np.array(order, np.int64), np.array([next_node[k] for k in order], np.int64)
+        self.steps = Table(next_node, -1, np.int32)
         self.next_node, self.piece_list, self.piece_at = next_node, piece_at, np.array(piece_at, np.int64)
         self.first_node = np.full(BYTE + 256, -1, np.int32)  # the arcs that leave the root, by symbol
         for k, to in next_node.items():
@@ -234,8 +268,7 @@ class Transducer:
                 for k in range(1, len(s)):
                     if s[:k] in self.arcs and s[k:] in self.arcs:
                         merged[self.arcs[s[:k]] << 20 | self.arcs[s[k:]]] = self.rank[i]
-        order = sorted(merged)
-        self.merge_key, self.merge_rank = np.array(order or [-1], np.int64), np.array([merged[k] for k in order] or [np.inf])
+        self.merge_rank = Table(merged, np.inf, float)
 
     def _accept_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """accepts() of many pairs."""
@@ -243,9 +276,7 @@ class Transducer:
         at = np.flatnonzero(~(self.is_byte[left] | self.is_byte[right]))
         a, b, before, right_was = left[at], right[at], np.full(len(at), np.inf), np.zeros(len(at), bool)
         while len(at):
-            key = a << 20 | b
-            k = np.minimum(np.searchsorted(self.merge_key, key), len(self.merge_key) - 1)
-            across = np.where(self.merge_key[k] == key, self.merge_rank[k], np.inf)
+            across = self.merge_rank.get(a << 20 | b)
             bad = (across < before) | (across == before) & right_was & np.isfinite(across)
             ok[at[bad]] = False
             ra, rb = self.rank_of[a], self.rank_of[b]
@@ -273,12 +304,11 @@ class Transducer:
             found.append((place[some], reach[some], piece[some]))
             inside = reach < last[place]
             place, node, reach = place[inside], node[inside], reach[inside]
-            key = node << 21 | points[reach]
-            k = np.minimum(np.searchsorted(self.step_key, key), len(self.step_key) - 1)
-            good = self.step_key[k] == key
-            place, node, reach = place[good], self.step_to[k[good]], reach[good] + 1
+            node = self.steps.get(node << 21 | points[reach]).astype(np.int64)
+            good = node >= 0
+            place, node, reach = place[good], node[good], reach[good] + 1
         start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((end, start))
+        order = np.argsort(start, kind="stable")  # they were found by their lengths
         start, end, piece = start[order], end[order], piece[order]
         weight = self.weight_of[piece]
         leaving = np.searchsorted(start, np.arange(len(points) + 1))  # arcs that leave a position
@@ -298,10 +328,12 @@ class Transducer:
                 ok = self._accept_many(piece[state], piece[arc])
                 state, arc = state[ok], arc[ok]
             new = length[state] + weight[arc]
-            order = np.lexsort((start[state], new, arc))  # of equals the arc that begins first
-            state, arc, new = state[order], arc[order], new[order]
-            least = np.r_[True, arc[1:] != arc[:-1]] if len(arc) else np.empty(0, bool)
-            length[arc[least]], back[arc[least]] = new[least], state[least]
+            if not self.merges:  # in a merge model one state leads to an arc at most: what comes before it is a text too, with one path
+                order = np.lexsort((start[state], new, arc))  # of equals the arc that begins first
+                state, arc, new = state[order], arc[order], new[order]
+                least = np.r_[True, arc[1:] != arc[:-1]] if len(arc) else np.empty(0, bool)
+                state, arc, new = state[least], arc[least], new[least]
+            length[arc], back[arc] = new, state
         final = np.flatnonzero(end == last[start])
         final = final[np.lexsort((start[final], length[final], word[start[final]]))]
         now = final[np.searchsorted(word[start[final]], np.arange(len(words)))]
