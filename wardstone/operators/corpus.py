@@ -76,9 +76,9 @@ BENIGN = {
     "role_request": (0.12, True, ("{TUTORS} {SUBJECTS}. {ENDINGS}", "{TUTORS} {OBJECTS}; {SITUATIONS}. {THANKS}", "{GREETINGS} {TUTORS} {SUBJECTS} {QUALIFIERS}.")),
     "imperative": (0.14, True, ("{COMMANDS} {SUBJECTS}. {OPENERS}", "{COMMANDS} {OBJECTS} {QUALIFIERS}. {THANKS}", "{SITUATIONS}, so {VERBS} {OBJECTS} {QUALIFIERS}. {COMMANDS} {SUBJECTS}.")),
     "markup": (0.12, True, ("{ASKS} this: {MARKUP}", "{GREETINGS} {SITUATIONS}. {MARKUP}\n{THANKS}", "{MARKUP}\n{VERBS} {OBJECTS} {QUALIFIERS}, please.")),
-    "encoding_question": (0.08, True, ("{OPENERS} {ENCODED}", "{GREETINGS} {ENCODED} {THANKS}", "{SITUATIONS}. {ENCODED}")),
+    "encoding_question": (0.08, True, ("{OPENERS} {ENCODED} {ENDINGS}", "{GREETINGS} {ENCODED} {THANKS}", "{SITUATIONS}. {ENCODED}")),
     "multilingual": (0.06, False, ("{FOREIGN} {SUBJECTS}", "{FOREIGN} {OBJECTS}. {ENDINGS}")),
-    "credential_hygiene": (0.06, False, ("{HYGIENE} {OPENERS}", "{GREETINGS} {HYGIENE} {THANKS}", "{SITUATIONS}. {HYGIENE}")),
+    "credential_hygiene": (0.06, False, ("{HYGIENE} {OPENERS} {ENDINGS}", "{GREETINGS} {HYGIENE} {THANKS}", "{SITUATIONS}. {HYGIENE}")),
     "security_docs": (0.08, True, ("{ADVICE} \"{LEADS} {SCOPES}\" in {SUBJECTS}.", "{GREETINGS} {ADVICE} \"{LEADS} {SCOPES}\"; {VERBS} {OBJECTS} {QUALIFIERS}.")),
 }
 ROUNDS = 4  # of the permutation of a template's texts
