@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from wardstone.tables import discard, shared_path, shared_table
 
-__all__ = ["NOT_WORD", "broadcast_if_small", "connected_components", "discard", "fresh", "lower_ascii", "shared_path", "shared_table", "spread", "words_of"]
+__all__ = ["NOT_WORD", "broadcast_if_small", "connected_components", "discard", "fresh", "lower_ascii", "shared_path", "shared_table", "spread", "text_batches", "words_of"]
 
+ARROW_ROWS = 1_000  # rows with whole texts in an Arrow batch
 #: Separators of the word class ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` (digits, a-z and everything beyond ASCII are word characters).
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -36,6 +37,18 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, with the session set to send rows to Python workers ARROW_ROWS at a time where it has Spark's default of 10,000.
+
+    Rows that hold whole texts make Arrow batches of many megabytes otherwise, on both sides, for every task at once.
+    Another setting of the session's own stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """A broadcast hint only when df has at most max_rows rows (counted here); else Spark shuffles the join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardstone.llm.common import discard, shared_table, words_of
+from wardstone.llm.common import discard, shared_table, text_batches, words_of
 
 K = 20
 BLOCK = 128  # postings of a block
@@ -163,7 +163,7 @@ def build_index(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
         if shard.ids:
             yield from shard.rows(f"{part}-{shards}", names or [t.decode("utf-8", "replace") for t in number])
 
-    return shared_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX), "index")
+    return shared_table(text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX), "index")
 
 
 # -- search ---------------------------------------------------------------------------------------------

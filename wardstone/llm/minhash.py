@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardstone.llm.common import broadcast_if_small, connected_components, discard, fresh, shared_table
+from wardstone.llm.common import broadcast_if_small, connected_components, discard, fresh, shared_table, text_batches
 
 MISSES = 1e-6  # the most likely share of linked pairs that no band finds
 VALUES = 256  # signature values, where the threshold allows
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     returned; an id that repeats with other texts is one document, which links by either. Other columns of docs
     are ignored; an empty table gives no rows.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     digest = shared_table(own.mapInArrow(_digests(width, percent), "doc_id long, digest binary, n_shingles long, bands array<long>"), "digests")
     classes = digest.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = shared_table(classes, "classes")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardstone.llm.common import text_batches
+
 BUCKETS = 1 << 16  # rows of words and character n-grams; as many more for word pairs
 DIM = 8
 TRAIN_ROWS = 6_000  # labelled rows fitted on, at most
@@ -178,7 +180,7 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
                 part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score_texts(part.column(1).to_pylist(), *shared.value))], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score")
 
 
@@ -199,4 +201,4 @@ def keep_good(docs: DataFrame, model: Classifier, threshold: float = 0.7) -> Dat
                 part = batch.slice(at, 500)
                 yield part.filter(pa.array(score_texts(part.column(text).to_pylist(), *shared.value) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)

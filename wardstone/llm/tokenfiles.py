@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardstone.llm.common import broadcast_if_small, shared_table
+from wardstone.llm.common import broadcast_if_small, shared_table, text_batches
 
 KEYS_PER_BUCKET = 50_000
 SHARD_BYTES, LEAST_SHARD = 32 << 20, 1 << 20  # bytes of text in a shard, on average; at least where shards are made for more cores
@@ -329,7 +329,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, shard_byt
     by the id and how many precede them. Other columns are ignored. An empty table writes no files. There is a
     shard for every shard_bytes of text, so a task's work does not grow with the table.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     cores = docs.sparkSession.sparkContext.defaultParallelism  # a small table still has a shard for each, of LEAST_SHARD at least
     parts = max(1, math.ceil(size / shard_bytes), min(cores, size // LEAST_SHARD))

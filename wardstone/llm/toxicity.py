@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardstone.llm.common import text_batches
 from wardstone.llm.quality import labelled_sample
 
 TRAIN_ROWS, TRAIN_CHARS = 8_000, 40_000_000  # labelled rows fitted on, and their characters, at most
@@ -307,5 +308,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(part.column(1).to_pylist()))], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score")

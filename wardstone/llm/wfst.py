@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardstone.llm.common import text_batches
+
 BLANK = "▁"
 BEGIN = "\ud800"  # stands before the first character on the input tape; no Unicode text holds it
 BYTE = 0x110000  # the symbol of byte b on the tape is BYTE + b, beyond all characters
@@ -41,10 +43,10 @@ _CHUNK = re.compile(rf"[ {BLANK}{BEGIN}]*[^ {BLANK}{BEGIN}\n]+|[ {BLANK}{BEGIN}]
 
 
 class Table:
-    """Numbers by key, for many keys at once: open addressing with a load of an eighth at most, so that one probe mostly settles a key."""
+    """Numbers by key, for many keys at once: open addressing with a load of a quarter at most, so that one probe mostly settles a key."""
 
     def __init__(self, entries: dict[int, float], default: float, kind: type):
-        bits = max(4, (8 * len(entries)).bit_length())
+        bits = max(4, (4 * len(entries)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values, self.default = np.full(1 << bits, -1, np.int64), np.full(1 << bits, default, kind), default
         keys, values = np.array(list(entries), np.int64), np.array(list(entries.values()), kind)
@@ -149,7 +151,7 @@ class Transducer:
         key = left << 20 | right
         known = self.passes.get(key)
         if known is None:
-            if len(self.passes) > 300_000:
+            if len(self.passes) > 50_000:
                 self.passes.clear()
             known = self.passes[key] = self._accepts(left, right)
         return known
@@ -418,4 +420,4 @@ def encode(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "round_trip", "ids"][: len(columns)])
 
     schema = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
