@@ -109,3 +109,45 @@ def test_operator_handles_odd_rows(spark):
     assert len(got) == len(ODD) + 2 and all(r.round_trip for r in got)
     assert all(list(r.ids) == library.encode(texts[r.doc_id] or "") for r in got if r.doc_id)
     assert wfst.encode(frame(spark, []), PATH).collect() == []
+
+
+def learned(own, monkeypatch):
+    """Every chunk whose path is looked for from now on."""
+    found, learn = [], own._learn
+    monkeypatch.setattr(own, "_learn", lambda chunks: (found.extend(chunks), learn(chunks)))
+    return found
+
+
+def test_a_word_is_relaxed_once_whatever_stands_around_it(monkeypatch):
+    with open(PATH, "rb") as f:
+        own = wfst.Transducer(f.read())
+    library, found = sentencepiece.SentencePieceProcessor(model_file=PATH), learned(own, monkeypatch)
+    for s in (f"{a}lattice{b}" for a in (" ", " (", ' "', " 12", "\n") for b in ("", ",", ".", "!?", "***", "7", "_x")):
+        assert own.encode(s).tolist() == library.encode(s)
+    assert [c for c in found if "lattice" in c].count(" lattice") <= 1
+    assert len([c for c in found if "lattice" in c]) <= 3  # after a blank, at the start of a text, after a mark
+
+
+def test_words_that_come_again_stay_when_the_memory_is_full(monkeypatch):
+    monkeypatch.setattr(wfst, "CHUNKS_KEPT", 200)
+    with open(PATH, "rb") as f:
+        own = wfst.Transducer(f.read())
+    found, name = learned(own, monkeypatch), lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    often = " ".join(name(n) for n in range(1000, 1120))
+    for k in range(20):
+        own.encode(often + " " + " ".join(name(n) for n in range(5000 + 50 * k, 5050 + 50 * k)))
+        assert len(own.known) <= 200
+    assert len(found) == len(set(found))
+    assert len(own.before) <= 300
+
+
+def test_pieces_of_letters_and_marks_are_never_cut():
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(PATH, "rb") as f:
+        proto.ParseFromString(f.read())
+    for p, mixed in zip(reversed(proto.pieces), (p for p in ("e,", "1a", "t.")), strict=False):
+        p.piece, p.type, p.score = mixed, 1, -0.5
+    own, library = wfst.Transducer(proto.SerializeToString()), sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    for s in ("the, e, tree,e", "11a1a a1a", "at.e,1a", "here, there. that. 1a2a"):
+        assert own.encode(s).tolist() == library.encode(s)
+    assert any(own.text_of[i] == "e," for i in own.encode("tree, e,").tolist())

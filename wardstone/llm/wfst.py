@@ -15,8 +15,9 @@ A state of the composition is a position with the acceptor's state. Positions ar
 out of a position relaxes the state it leads to in the tropical semiring (sums along a path, the least over paths),
 and the least state at the end gives the path back, which is the ids.
 
-No piece spans a line break or holds a blank after another character (checked when compiling), so the lattice has cut
-points there and falls into chunks, whose paths a worker remembers.
+Between two characters that no piece holds side by side nothing merges and no arc passes, so the lattice has a cut point
+there and falls into chunks, whose paths a worker remembers. Chunks are cut by kinds of characters, which the model's pieces
+are checked against when compiling: at line breaks and before blanks, and where letters meet others, if no piece mixes them.
 """
 
 from __future__ import annotations
@@ -36,10 +37,17 @@ from wardstone.llm.common import text_batches
 BLANK = "▁"
 BEGIN = "\ud800"  # stands before the first character on the input tape; no Unicode text holds it
 BYTE = 0x110000  # the symbol of byte b on the tape is BYTE + b, beyond all characters
-CHUNKS_KEPT = 120_000  # chunk paths a worker remembers
-WORDS_AT_ONCE = 4_000  # chunks that are relaxed together
+CHUNKS_KEPT = 400_000  # chunk paths a worker remembers
+SYMBOLS_AT_ONCE = 80_000  # characters of chunks that are relaxed together
 LONG = 64  # characters of a chunk, beyond which it is not relaxed together with others
-_CHUNK = re.compile(rf"[ {BLANK}{BEGIN}]*[^ {BLANK}{BEGIN}\n]+|[ {BLANK}{BEGIN}]+|\n")
+NEVER = 2**31 - 1  # the rank of a merge that the model lacks
+_BLANKS = rf" {BLANK}{BEGIN}"
+_FIGURES = r"\d_²³¹¼½¾"  # of the word class, but with the marks
+#: Ways to cut a text into chunks, the finest first. Each cuts between two characters by their kinds alone.
+_CHUNKS = (
+    re.compile(rf"[{_BLANKS}]*[^\W{_FIGURES}]+|[{_BLANKS}]*(?:[^{_BLANKS}\n\w]|[{_FIGURES}])+|[{_BLANKS}]+|\n"),  # letters and others apart
+    re.compile(rf"[{_BLANKS}]*[^{_BLANKS}\n]+|[{_BLANKS}]+|\n"),
+)
 
 
 class Table:
@@ -103,7 +111,8 @@ class Transducer:
             else:
                 self.bytes_of.append(b"")
         self.text_of = {i: s for s, i in self.arcs.items()}
-        if any("\n" in s and len(s) > 1 or BLANK in s.lstrip(BLANK) for s in self.arcs):
+        self.chunks = next((way for way in _CHUNKS if all(way.findall(s) == [s] for s in self.arcs)), None)
+        if self.chunks is None:
             raise ValueError("pieces span cut points")
         if any(c not in self.arcs for s in self.arcs for c in s):
             raise ValueError("characters of pieces must be pieces")
@@ -111,8 +120,8 @@ class Transducer:
         self.unknown = max(self.weight.values(), default=0) + 10.0
         self.width = "<u2" if len(proto.pieces) <= 1 << 16 else "<u4"
         self.code = "H" if self.width == "<u2" else "I"
-        self.known: dict[str, bytes] = {}
-        self.often: set[str] = set()
+        self.known: dict[str, bytes] = {}  # paths of chunks met of late, and before those
+        self.before: dict[str, bytes] = {}
         self.made = dict(self.arcs)
         if self.merges:
             self._compile_pairs()
@@ -244,7 +253,7 @@ class Transducer:
             piece_at[node] = i
         size = len(self.bytes_of)
         self.is_byte = np.zeros(size, bool)
-        self.weight_of, self.rank_of, self.parts_of = np.zeros(size), np.full(size, -1.0), np.zeros((size, 2), np.int64)
+        self.weight_of, self.rank_of, self.left_of, self.right_of = np.zeros(size), np.full(size, -1, np.int32), np.zeros(size, np.int64), np.zeros(size, np.int64)
         for b, i in self.byte.items():
             next_node[BYTE + b] = len(piece_at)
             piece_at.append(i)
@@ -262,98 +271,112 @@ class Transducer:
         self.weight_list = self.weight_of.tolist()
         merged = {}
         if self.merges:
+            order = {r: 2 * k for k, r in enumerate(sorted({r for r in self.rank.values() if r >= 0}))}  # even, so that odd numbers come right after
             for i, r in self.rank.items():
-                self.rank_of[i] = r
-            for i, both in self.parts.items():
-                self.parts_of[i] = both
+                self.rank_of[i] = order.get(r, -1)
+            for i, (left, right) in self.parts.items():
+                self.left_of[i], self.right_of[i] = left, right
             for s, i in self.arcs.items():
                 for k in range(1, len(s)):
                     if s[:k] in self.arcs and s[k:] in self.arcs:
-                        merged[self.arcs[s[:k]] << 20 | self.arcs[s[k:]]] = self.rank[i]
-        self.merge_rank = Table(merged, np.inf, float)
+                        merged[self.arcs[s[:k]] << 20 | self.arcs[s[k:]]] = order[self.rank[i]]
+        self.merge_rank = Table(merged, NEVER, np.int32)
 
     def _accept_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """accepts() of many pairs."""
+        """accepts() of many pairs. Bytes have no parts and no merges, so nothing forbids them."""
         ok = np.ones(len(left), bool)
-        at = np.flatnonzero(~(self.is_byte[left] | self.is_byte[right]))
-        a, b, before, right_was = left[at], right[at], np.full(len(at), np.inf), np.zeros(len(at), bool)
+        at, a, b, before = np.arange(len(left)), left, right, np.full(len(left), NEVER, np.int32)
         while len(at):
-            across = self.merge_rank.get(a << 20 | b)
-            bad = (across < before) | (across == before) & right_was & np.isfinite(across)
+            bad = self.merge_rank.get(a << 20 | b) < before
             ok[at[bad]] = False
             ra, rb = self.rank_of[a], self.rank_of[b]
+            go = np.flatnonzero(~bad & ((ra >= 0) | (rb >= 0)))
+            at, a, b, ra, rb = at[go], a[go], b[go], ra[go], rb[go]
             undo_left = ra > rb
-            go = ~bad & (undo_left | (rb >= 0))
-            at, a, b, ra, rb, undo_left = at[go], a[go], b[go], ra[go], rb[go], undo_left[go]
-            before, right_was = np.where(undo_left, ra, rb), ~undo_left
-            a, b = np.where(undo_left, self.parts_of[a, 1], a), np.where(undo_left, b, self.parts_of[b, 0])
+            before = np.where(undo_left, ra, rb + 1)  # a merge of equal rank comes before one on its right
+            a, b = np.where(undo_left, self.right_of[a], a), np.where(undo_left, b, self.left_of[b])
         return ok
 
-    def _shortest_many(self, words: list[str]) -> list[list[int]]:
-        """_shortest() of chunks, none empty. A state of the composition is an arc that ends in it; positions go in order."""
+    def _relax(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids on the shortest paths of chunks, none empty, one after another, and where those of each chunk end.
+
+        Positions go in order, those of all chunks together. A position has one state that counts, the arc that ends in it
+        on the least path: a unigram model's acceptor has no other, and a merge model lets one arc in (what comes before
+        a position is a text too, with one path). Of equally long paths that whose last arcs begin first.
+        """
         size = np.array([len(w) for w in words])
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        word = np.repeat(np.arange(len(words)), size)
         if not self.single[points].all():
-            points, word = self._with_bytes(points, word)
+            points, word = self._with_bytes(points, np.repeat(np.arange(len(words)), size))
             size = np.bincount(word, minlength=len(words))
-        begin = np.r_[0, np.cumsum(size)]
-        last = begin[1:][word]  # where each position's word ends
-        place, node, reach, found = np.arange(len(points)), self.first_node[points].astype(np.int64), np.arange(1, len(points) + 1), []
-        while len(place):  # walk the trie from every position at once
+        end = np.cumsum(size)
+        begin = end - size
+        # Arcs are walked from every position at once, by their lengths; then they stand by the positions that they leave.
+        place, node, left, found, count = np.arange(len(points)), self.first_node[points], np.repeat(end, size) - 1, [], np.zeros(len(points) + 1, np.int64)
+        left -= place  # symbols that follow in the chunk
+        length = 0
+        while len(place):
             piece = self.piece_at[node]
-            some = piece >= 0
-            found.append((place[some], reach[some], piece[some]))
-            inside = reach < last[place]
-            place, node, reach = place[inside], node[inside], reach[inside]
-            node = self.steps.get(node << 21 | points[reach]).astype(np.int64)
-            good = node >= 0
-            place, node, reach = place[good], node[good], reach[good] + 1
-        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(start, kind="stable")  # they were found by their lengths
-        start, end, piece = start[order], end[order], piece[order]
+            some = np.flatnonzero(piece >= 0)
+            from_here = place[some]
+            found.append((from_here, count[from_here], length, piece[some]))
+            count[from_here] += 1
+            inside = np.flatnonzero(left > length)
+            length += 1
+            place, left = place[inside], left[inside]
+            node = self.steps.get(node[inside].astype(np.int64) << 21 | points[place + length])
+            good = np.flatnonzero(node >= 0)
+            place, node, left = place[good], node[good], left[good]
+        first = np.r_[0, np.cumsum(count[:-1])]  # the first arc that leaves a position
+        start, last, piece = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+        for place, nth, length, pieces in found:
+            to = first[place] + nth
+            start[to], last[to], piece[to] = place, place + length, pieces
         weight = self.weight_of[piece]
-        leaving = np.searchsorted(start, np.arange(len(points) + 1))  # arcs that leave a position
-        length, back = np.full(len(start), np.inf), np.full(len(start), -1)
-        first = np.isin(start, begin[:-1])
-        length[first] = weight[first]
-        within = end - begin[word[start]]  # how far into its word an arc ends
-        by_end = np.argsort(within, kind="stable")
-        upto = np.searchsorted(within[by_end], np.arange(1, int(size.max()) + 2))
-        for t in range(int(size.max()) - 1):
-            states = by_end[upto[t] : upto[t + 1]]
-            states = states[np.isfinite(length[states]) & (end[states] < last[start[states]])]
-            n = leaving[end[states] + 1] - leaving[end[states]]
-            state = np.repeat(states, n)
-            arc = np.repeat(leaving[end[states]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(states) else np.empty(0, np.int64)
-            if self.merges and len(arc):
-                ok = self._accept_many(piece[state], piece[arc])
-                state, arc = state[ok], arc[ok]
-            new = length[state] + weight[arc]
-            if not self.merges:  # in a merge model one state leads to an arc at most: what comes before it is a text too, with one path
-                order = np.lexsort((start[state], new, arc))  # of equals the arc that begins first
-                state, arc, new = state[order], arc[order], new[order]
-                least = np.r_[True, arc[1:] != arc[:-1]] if len(arc) else np.empty(0, bool)
-                state, arc, new = state[least], arc[least], new[least]
-            length[arc], back[arc] = new, state
-        final = np.flatnonzero(end == last[start])
-        final = final[np.lexsort((start[final], length[final], word[start[final]]))]
-        now = final[np.searchsorted(word[start[final]], np.arange(len(words)))]
-        steps = []
-        while (now >= 0).any():
-            steps.append(np.where(now >= 0, piece[now], 0))
-            steps.append(now >= 0)
-            now = np.where(now >= 0, back[now], -1)
-        ids, some = np.array(steps[0::2]).T, np.array(steps[1::2]).T
-        return [row[:n][::-1].tolist() for row, n in zip(ids, some.sum(1).tolist(), strict=True)]
+        total, into = np.full(len(points), np.inf), np.full(len(points), -1)  # of the least path that ends with a symbol, and its last arc
+        for t in range(int(size.max())):
+            at = begin[size > t] + t
+            if t:
+                at = at[into[at - 1] >= 0]
+            n = count[at]
+            arc = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            new = weight[arc]
+            if t:
+                before = np.repeat(at - 1, n)
+                if self.merges:
+                    ok = np.flatnonzero(self._accept_many(piece[into[before]], piece[arc]))
+                    arc, before, new = arc[ok], before[ok], new[ok]
+                new = total[before] + new
+            to = last[arc]
+            less = np.flatnonzero(new < total[to])
+            total[to[less]], into[to[less]] = new[less], arc[less]
+        own, now, steps = np.arange(len(words)), into[end - 1], []
+        while len(own):  # back from the ends
+            steps.append((own, piece[now]))
+            on = np.flatnonzero(start[now] > begin[own])
+            own, now = own[on], into[start[now[on]] - 1]
+        ends = np.cumsum(np.bincount(np.concatenate([own for own, _ in steps]), minlength=len(words)))
+        ids = np.empty(ends[-1], np.int64)
+        for k, (own, pieces) in enumerate(steps, 1):
+            ids[ends[own] - k] = pieces
+        return ids, ends
+
+    def _shortest_many(self, words: list[str]) -> list[list[int]]:
+        """_shortest() of chunks, none empty."""
+        ids, ends = self._relax(words)
+        return [path.tolist() for path in np.split(ids, ends[:-1])]
 
     def _learn(self, chunks: set[str]) -> None:
         """Find and remember the ids of chunks: short ones together, long ones by themselves."""
-        short = sorted((c for c in chunks if len(c) <= LONG), key=len)  # of one length together: fewer steps for each part, whose arrays stay small
-        for at in range(0, len(short), WORDS_AT_ONCE):
-            part = short[at : at + WORDS_AT_ONCE]
-            for chunk, path in zip(part, self._shortest_many(part), strict=True):
-                self.known[chunk] = array(self.code, path).tobytes()
+        short = sorted((c for c in chunks if len(c) <= LONG), key=len, reverse=True)  # of one length together: fewer steps for each part
+        at = 0
+        while at < len(short):
+            part = short[at : at + SYMBOLS_AT_ONCE // len(short[at])]
+            at += len(part)
+            ids, ends = self._relax(part)
+            raw, ends = ids.astype(self.width).tobytes(), (ends * int(self.width[-1])).tolist()
+            for chunk, begin, end in zip(part, [0, *ends], ends, strict=False):
+                self.known[chunk] = raw[begin:end]
         for chunk in chunks:
             if len(chunk) > LONG:
                 self.known[chunk] = array(self.code, self._shortest(chunk)).tobytes()
@@ -362,7 +385,7 @@ class Transducer:
         """Ids of whole texts; null and empty texts have none. U+2581 in a text is a blank, as in the library."""
         out, held, waiting = [[] for _ in texts], [], 0
         for i, text in enumerate(texts):
-            chunks = _CHUNK.findall(BEGIN + text) if text else []
+            chunks = self.chunks.findall(BEGIN + text) if text else []
             for at in range(0, len(chunks), 20_000):
                 held.append((i, chunks[at : at + 20_000]))
                 waiting += len(held[-1][1])
@@ -374,15 +397,14 @@ class Transducer:
 
     def _join(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
         own = set().union(*(part for _, part in held))
-        new = own.difference(self.known)
-        self.often |= own - new
-        if len(self.known) + len(new) > CHUNKS_KEPT:  # those that came again stay
-            self.known = {c: self.known[c] for c in self.often} if len(self.often) < CHUNKS_KEPT // 2 else {}
-            self.often = set()
-            new = own.difference(self.known)
+        missing = own.difference(self.known)
+        new = missing.difference(self.before)
+        self.known.update({c: self.before[c] for c in missing - new})  # those that come again stay
         self._learn(new)
         for i, part in held:
             out[i].append(b"".join(map(self.known.__getitem__, part)))
+        if len(self.known) > CHUNKS_KEPT // 2:
+            self.before, self.known = self.known, {}
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many([text])[0]
