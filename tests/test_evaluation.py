@@ -252,3 +252,16 @@ def test_feature_rows_equal_plain_hashing(spark, monkeypatch):
                 at, sign = (int(d[12:16], 16) % X.BUCKETS, d[0] >= "8") if lane == "md5" else (X.stable_hash(k) % X.BUCKETS, X.stable_hash(k) >> 63)
                 want[at] = want.get(at, 0) + (1 if sign else -1)
             assert dict(zip(r.f.buckets, r.f["values"], strict=True)) == want, (lane, r.id)
+
+
+def test_the_two_draws_share_no_text_and_lack_no_family_when_families_run_out(spark, monkeypatch, tmp_path):
+    from wardstone.operators import evaluate as E
+    from wardstone.plans import learning
+
+    n = 3 * 12 * 600  # payload_splitting has 512 texts
+    spark.range(n).selectExpr("id AS doc_id", "'en' AS lang", "'x' AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(E, "evaluate", lambda training, evaluation, *_, **__: (training, evaluation))
+    training, evaluation = learning.lofo_folds(spark, str(tmp_path))
+    assert training.count() == evaluation.count() == n
+    left = evaluation.join(training.select("text").distinct(), "text", "left_anti")
+    assert left.count() == n and {r.family for r in left.select("family").distinct().collect()} == {*C.FAMILIES, ""}

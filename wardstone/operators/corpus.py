@@ -138,10 +138,16 @@ def space_of(name: str, form: int = 0, half: int | None = None) -> Space:
     return Space(template, half)
 
 
-def permuted(draws: DataFrame, seed: int, spaces: dict[str, Space]) -> DataFrame:
-    """draws (of, k, ...) with left and right: the two groups' numbers of the k-th text of the space that `of` names."""
+def permuted(draws: DataFrame, seed: int, spaces: dict[str, Space], side: int | None = None) -> DataFrame:
+    """draws (of, k, ...) with left and right: the two groups' numbers of the k-th text of the space that `of` names.
+
+    side 0 draws from the first half of the permuted texts alone and side 1 from the others, so that under one seed the
+    two share none however often they come round.
+    """
     known = lambda i: F.element_at(F.create_map(*[F.lit(x) for name, space in spaces.items() for x in (name, space.sizes[i])]), F.col("of"))
-    df = draws.withColumns({"a": known(0).cast("long"), "b": known(1).cast("long")}).withColumn("k", F.col("k") % (F.col("a") * F.col("b")))
+    df = draws.withColumns({"a": known(0).cast("long"), "b": known(1).cast("long")})
+    own = {None: "k % (a * b)", 0: "k % ((a * b + 1) div 2)", 1: "(a * b + 1) div 2 + k % (a * b div 2)"}[side]
+    df = df.withColumn("k", F.expr(own))
     df = df.withColumns({"left": F.expr("k div b"), "right": F.col("k") % F.col("b")})
     for i in range(ROUNDS):
         own, other, size = ("left", "right", "a") if i % 2 == 0 else ("right", "left", "b")
@@ -203,7 +209,7 @@ def _disguised(text: Column, space: Space) -> Column:
     return F.when(way == 0, look_alike(text)).when(way == 1, F.translate(text, N.FULLWIDTH_ASCII, N.FULLWIDTH)).when(way == 2, sprinkled(text)).otherwise(mixed)
 
 
-def attack_texts(draws: DataFrame, seed: int, half: int | None = None) -> DataFrame:
+def attack_texts(draws: DataFrame, seed: int, half: int | None = None, side: int | None = None) -> DataFrame:
     """draws (family, k, ...) with text: the k-th attack of a family, from the whole lexicon or one half of it."""
     spaces, out = {f: space_of(f, half=half) for f in FAMILIES}, F.lit(None).cast("string")
     for family, space in spaces.items():
@@ -212,36 +218,36 @@ def attack_texts(draws: DataFrame, seed: int, half: int | None = None) -> DataFr
             before, after = (fill(t, space, half) for t in AROUND[family])
             text = F.concat(before, (_wrapped if family == "encoding_wrapper" else _disguised)(text, space), after)
         out = F.when(F.col("of") == family, text).otherwise(out)
-    return permuted(draws.withColumn("of", F.col("family")), seed, spaces).withColumn("text", out).drop("of", "left", "right")
+    return permuted(draws.withColumn("of", F.col("family")), seed, spaces, side).withColumn("text", out).drop("of", "left", "right")
 
 
-def attacks(draws: DataFrame, seed: int, half: int | None = None) -> DataFrame:
+def attacks(draws: DataFrame, seed: int, half: int | None = None, side: int | None = None) -> DataFrame:
     """(draw, family, text): one attack per draw; families in turn. Draws give different texts while they are fewer than a
     family's texts times the number of families."""
     n = len(FAMILIES)
     names = F.element_at(F.array(*map(F.lit, FAMILIES)), (F.col("draw") % n + 1).cast("int"))
-    return attack_texts(draws.select("draw", names.alias("family"), F.expr(f"draw div {n}").alias("k")), seed, half).select("draw", "family", "text")
+    return attack_texts(draws.select("draw", names.alias("family"), F.expr(f"draw div {n}").alias("k")), seed, half, side).select("draw", "family", "text")
 
 
-def benign_texts(draws: DataFrame, seed: int) -> DataFrame:
+def benign_texts(draws: DataFrame, seed: int, side: int | None = None) -> DataFrame:
     """draws (kind, k, ...) with text: the k-th harmless message of a kind; its templates take turns."""
     spaces = {f"{kind}-{i}": space_of(kind, i) for kind, (_, _, templates) in BENIGN.items() for i in range(len(templates))}
     forms = F.element_at(F.create_map(*[F.lit(x) for kind, (_, _, t) in BENIGN.items() for x in (kind, len(t))]), F.col("kind"))
     rows = draws.withColumn("of", F.concat_ws("-", "kind", (F.col("k") % forms).cast("string"))).withColumn("k", ((F.col("k") - F.col("k") % forms) / forms).cast("long"))
-    rows, out = permuted(rows, seed, spaces), F.lit(None).cast("string")
+    rows, out = permuted(rows, seed, spaces, side), F.lit(None).cast("string")
     for name, space in spaces.items():
         kind, _, form = name.rpartition("-")
         out = F.when(F.col("of") == name, fill(templates_of(kind)[int(form)], space)).otherwise(out)
     return rows.withColumn("text", out).drop("of", "left", "right")
 
 
-def benign(draws: DataFrame, seed: int) -> DataFrame:
+def benign(draws: DataFrame, seed: int, side: int | None = None) -> DataFrame:
     """(draw, kind, text): one harmless message per draw; kinds by their weights."""
     at, kind, upto = pick(seed, "benign", F.col("draw"), "kind", 1000) / 1000.0, F.lit(next(iter(BENIGN))), 0.0
     for name, (weight, *_) in BENIGN.items():
         kind = F.when((at >= upto) & (at < upto + weight), F.lit(name)).otherwise(kind)
         upto += weight
-    return benign_texts(draws.select("draw", kind.alias("kind"), F.col("draw").alias("k")), seed).select("draw", "kind", "text")
+    return benign_texts(draws.select("draw", kind.alias("kind"), F.col("draw").alias("k")), seed, side).select("draw", "kind", "text")
 
 
 def first_draws(drawn: DataFrame) -> DataFrame:
@@ -300,10 +306,10 @@ def quotas(spark: SparkSession, totals: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "kind", quota.cast("long").alias("quota"))
 
 
-def mixed(draws: DataFrame, seed: int) -> DataFrame:
-    """(ordinal, attack, family, text): a third of the draws attacks, the others harmless."""
-    hit = attacks(draws.where("draw % 3 = 0").select((F.col("draw") / 3).cast("long").alias("draw")), seed).select((F.col("draw") * 3).alias("ordinal"), F.lit(1).alias("attack"), "family", "text")
-    return hit.unionByName(benign(draws.where("draw % 3 <> 0"), seed).select(F.col("draw").alias("ordinal"), F.lit(0).alias("attack"), F.lit("").alias("family"), "text"))
+def mixed(draws: DataFrame, seed: int, side: int | None = None) -> DataFrame:
+    """(ordinal, attack, family, text): a third of the draws attacks, the others harmless; of both sides, or of one (see permuted)."""
+    hit = attacks(draws.where("draw % 3 = 0").select((F.col("draw") / 3).cast("long").alias("draw")), seed, side=side).select((F.col("draw") * 3).alias("ordinal"), F.lit(1).alias("attack"), "family", "text")
+    return hit.unionByName(benign(draws.where("draw % 3 <> 0"), seed, side).select(F.col("draw").alias("ordinal"), F.lit(0).alias("attack"), F.lit("").alias("family"), "text"))
 
 
 # -- the same grammar in SQL -----------------------------------------------------------------------------

@@ -90,22 +90,22 @@ def train_weights(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), found).select("fold", F.round("loss", 9).alias("loss"), "converged", "iterations", F.round("bias", 9).alias("bias"))
 
 
-def _samples(spark, sf_dir, seed):
-    """Messages grown from the documents' ids."""
-    rows = C.mixed(_docs(spark, sf_dir).select(F.col("doc_id").alias("draw")), seed)
+def _samples(spark, sf_dir, side):
+    """Messages grown from the documents' ids; the two sides share no text, however many documents there are."""
+    rows = C.mixed(_docs(spark, sf_dir).select(F.col("doc_id").alias("draw")), 7, side)
     return rows.select("ordinal", "text", F.when(F.col("attack") == 1, "attack").otherwise("benign").alias("label"), "family")
 
 
 def _training(spark, sf_dir):
-    return shared_table(_samples(spark, sf_dir, 7), "training")
+    return shared_table(_samples(spark, sf_dir, 0), "training")
 
 
 def lofo_folds(spark, sf_dir):
     """Bypass of every held-out family at a 1 % budget of false positives, by the model that never saw it; the control is fold 'none'.
 
-    Trained on one draw of messages, all of them, and measured on another; texts that both drew are measured nowhere.
+    Trained on one half of the grammar's texts, a message for every document, and measured on the other half.
     """
-    return E.evaluate(_training(spark, sf_dir), shared_table(_samples(spark, sf_dir, 11), "evaluation"), 0.01, C.FAMILIES, drop_shared=True, steps=T.STEPS)
+    return E.evaluate(_training(spark, sf_dir), shared_table(_samples(spark, sf_dir, 1), "evaluation"), 0.01, C.FAMILIES, drop_shared=True, steps=T.STEPS)
 
 
 def queries() -> dict:
