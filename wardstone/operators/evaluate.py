@@ -15,8 +15,9 @@ from wardstone.functions.scoring import sigmoid
 from wardstone.operators import corpus as C
 from wardstone.operators import descent as D
 from wardstone.operators import metrics as M
+from wardstone.operators import phrases as P
 from wardstone.operators import training as T
-from wardstone.tables import discard, shared_table
+from wardstone.tables import dealt_out, discard, shared_table
 
 
 HEADLINE = "decision"  # fixed value: the layer that decides where a model is loaded
@@ -108,15 +109,23 @@ def feature_rows(samples: DataFrame, disabled: Iterable[str] = ()) -> DataFrame:
 def fitted_folds(training: DataFrame, families: list[str], steps: int = T.STEPS) -> Iterator[tuple[frozenset, list[str], list[str], DataFrame]]:
     """(disabled stages, families held out, folds, models) per distinct set of disabled stages; refused unless converged.
 
-    The folds are the families held out and, where no stage is disabled, the control 'none'. Up to MAX_ROWS rows a fold
-    is fitted in one task; more are fitted over blocks, all folds at once, by the same steps.
+    The folds are the families held out and, where no stage is disabled, the control 'none'. A fold is fitted in one task:
+    up to MAX_ROWS rows by their cells, more by their phrases. Sets beyond P.MAX_SIZE are fitted over blocks, all folds at
+    once. The steps are the same.
     """
     sets: dict[frozenset, list[str]] = {}
     for family in families:
         sets.setdefault(disabled_for("stage", family), []).append(family)
+    order = sorted(sets.items(), key=lambda x: sorted(x[0]))
     few = training.limit(T.MAX_ROWS + 1).count() <= T.MAX_ROWS
-    for disabled, held in sorted(sets.items(), key=lambda x: sorted(x[0])):
+    by_phrases = {} if few else _phrase_folds(training, order, steps)
+    for disabled, held in order:
         own = [*held, "none"] if not disabled else held
+        if disabled in by_phrases:
+            fitted = by_phrases[disabled]
+            check_converged(fitted)
+            yield disabled, held, own, fitted
+            continue
         rows = feature_rows(training, disabled).select("ordinal", "attack", "family", "buckets", "values")
         if few:
             each = rows.select("*", F.explode(F.array(*map(F.lit, own))).alias("fold")).where("family <> fold")
@@ -131,6 +140,28 @@ def fitted_folds(training: DataFrame, families: list[str], steps: int = T.STEPS)
         yield disabled, held, own, fitted
 
 
+def _phrase_folds(training: DataFrame, sets: list[tuple[frozenset, list[str]]], steps: int) -> dict[frozenset, DataFrame]:
+    """Models by disabled stages, fitted by phrases in one job; none for sets that are too large. Equal texts are normalised once."""
+    families = [f for _, held in sets for f in held]
+    number = F.create_map(*[x for i, f in enumerate(families) for x in (F.lit(f), F.lit(i))])
+    texts = training.groupBy("text", "label", "family").agg(F.count("*").alias("n"))
+    texts = shared_table(texts.select("text", (F.col("label") == "attack").cast("int").alias("attack"), F.coalesce(F.element_at(number, F.coalesce("family", F.lit(""))), F.lit(-1)).alias("own"), "n"), "texts")
+    found, made = {}, [texts]
+    for disabled, held in sets:
+        norm = N.with_normalized(dealt_out(texts, "text"), disabled=disabled, exact=True)
+        blocks = shared_table(P.coded(norm.select(F.array_join(X.tokens(F.col("norm")), " ").alias("text"), "attack", "own", "n")), "phrases")
+        made.append(blocks)
+        if P.size_of(blocks) <= P.MAX_SIZE:
+            found[disabled] = (blocks, [(f, families.index(f)) for f in held] + [("none", -2)] * (not disabled))
+    if found:
+        models = P.fit_folds(list(found.values()), X.BUCKETS, steps)
+        rows = models.collect()  # a model per fold
+        own = {k: {name for name, _ in folds} for k, (_, folds) in found.items()}
+        found = {k: training.sparkSession.createDataFrame([r for r in rows if r.fold in names], models.schema) for k, names in own.items()}
+    discard(*made)
+    return found
+
+
 def evaluate(training: DataFrame, evaluation: DataFrame, budget: float = 0.01, families: Iterable[str] = FAMILIES, drop_shared: bool = False, steps: int = T.STEPS) -> DataFrame:
     """measured_results of every family and layer, plus the control fold 'none' that holds nothing out.
 
