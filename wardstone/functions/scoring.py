@@ -92,8 +92,10 @@ def imperative_signal(norm: Column) -> Column:
     return _share(F.regexp_count(F.lower(norm), F.lit(COMMAND)), F.regexp_count(norm, F.lit(SENTENCE)))
 
 
-def _half_count(c: Column, pattern: str, triggers: Iterable[str]) -> Column:
-    return F.when(contains_any(_lowered(c), triggers), F.least(F.lit(1.0), F.regexp_count(c, F.lit(java_regex(pattern))) / 2)).otherwise(0.0)
+def _half_count(c: Column, pattern: str, triggers: Iterable[str], first: str) -> Column:
+    """Half the number of matches, 1 at most. first: the letters that a match can begin with; elsewhere no word boundary is looked for."""
+    led = f"(?=[{first}{first.upper()}])(?:{java_regex(pattern)})"
+    return F.when(contains_any(_lowered(c), triggers), F.least(F.lit(1.0), F.regexp_count(c, F.lit(led)) / 2)).otherwise(0.0)
 
 
 def signal_values(original: Column, norm: Column) -> dict[str, Column]:
@@ -103,8 +105,8 @@ def signal_values(original: Column, norm: Column) -> dict[str, Column]:
         "structure.encoded_blob": encoded_blob_signal(original),
         "structure.expansion": expansion_signal(original, norm),
         "structure.imperative": imperative_signal(norm),
-        "structure.directive": _half_count(norm, DIRECTIVE, ("you ", "your ", "from now on", "going forward", "for the rest of this session")),
-        "structure.context_reference": _half_count(norm, CONTEXT, ("your ", "system prompt", "developer message", "hidden context", "instructions above", "everything above", "the text above")),
+        "structure.directive": _half_count(norm, DIRECTIVE, ("you ", "your ", "from now on", "going forward", "for the rest of this session"), "yfg"),
+        "structure.context_reference": _half_count(norm, CONTEXT, ("your ", "system prompt", "developer message", "hidden context", "instructions above", "everything above", "the text above"), "yte"),
     }
 
 
